@@ -43,12 +43,14 @@ def format_metrics(metrics: Column, decimals: int = 2) -> Column:
 
 def short_number(value: Column, decimals: int = 1) -> Column:
     """1234.0 -> '1.2K', 2500000.0 -> '2.5M', NULL -> 'N/A'."""
-    pattern = f"%.{decimals}f"
+    def text(scaled: Column, suffix: str) -> Column:
+        return F.format_string(f"%.{decimals}f{suffix}", F.bround(scaled.cast("double"), decimals))
+
     return (
         F.when(value.isNull(), F.lit("N/A"))
-        .when(F.abs(value) >= 1_000_000, F.format_string(pattern + "M", value / 1_000_000))
-        .when(F.abs(value) >= 1_000, F.format_string(pattern + "K", value / 1_000))
-        .otherwise(F.format_string(pattern, value.cast("double")))
+        .when(F.abs(value) >= 1_000_000, text(value / 1_000_000, "M"))
+        .when(F.abs(value) >= 1_000, text(value / 1_000, "K"))
+        .otherwise(text(value, ""))
     )
 
 

@@ -47,7 +47,7 @@ def project_inventory(
               'flags', concat(s.flags, array(r.order)),
               'levels', concat(s.levels, array(greatest(0D, r.stock - _demand[i])))))[0],
         s -> zip_with(_demand, arrays_zip(s.levels, s.flags),
-                      (d, z) -> named_struct('demand', d, 'level', z['0'], 'placed', z['1'])))
+                      (d, z) -> named_struct('demand', d, 'level', z.levels, 'placed', z.flags)))
     """
 
     def shown(c: str):

@@ -43,7 +43,9 @@ def quantiles_from_counts(
     else:
         with_edges = counts.withColumn("_edges", counts.agg(edges).scalar())
     sliced = with_edges.select(
-        *keys, value, "weight", F.size(F.filter("_edges", lambda e: e < v)).alias("_slice")
+        *keys, value, "weight",
+        # never NULL, so that no null check on it is pushed below the counting
+        F.coalesce(F.size(F.filter("_edges", lambda e: e < v)), F.lit(0)).alias("_slice"),
     )
     # Ranks below each slice: at most EDGES rows per key.
     up_to = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)

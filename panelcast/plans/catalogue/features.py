@@ -98,7 +98,7 @@ def resample_week(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("A7_resample_month", sql(
     """SELECT store_id, sku_id, last_day(m) AS date, coalesce(units_sold, 0) AS units_sold
-       FROM (SELECT store_id, sku_id, CAST(unnest(generate_series(min(m), max(m), INTERVAL 1 MONTH)) AS DATE) AS m FROM monthly GROUP BY ALL)
+       FROM (SELECT store_id, sku_id, CAST(unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS DATE) AS m FROM (SELECT store_id, sku_id, min(m) AS a, max(m) AS b FROM monthly GROUP BY ALL))
        LEFT JOIN monthly USING (store_id, sku_id, m)""", ["daily"], dates=["date"],
     monthly="SELECT store_id, sku_id, CAST(date_trunc('month', date) AS DATE) AS m, sum(units_sold) AS units_sold FROM daily GROUP BY ALL"))
 def resample_month(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,7 +107,7 @@ def resample_month(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("J7_gap_fill", sql(
     """SELECT store_id, sku_id, date, coalesce(units_sold, 0) AS units_sold
-       FROM (SELECT store_id, sku_id, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM daily GROUP BY ALL)
+       FROM (SELECT store_id, sku_id, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT store_id, sku_id, min(date) AS a, max(date) AS b FROM daily GROUP BY ALL))
        LEFT JOIN daily USING (store_id, sku_id, date)""", ["daily"], dates=["date"]))
 def gap_fill(spark: SparkSession, sf: str) -> DataFrame:
     return shown(calendar.gap_fill(daily(spark, sf), PANEL))

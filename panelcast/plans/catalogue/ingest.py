@@ -14,6 +14,7 @@ from panelcast.session import workspace
 from panelcast.sinks import writers
 from panelcast.sources import readers
 from panelcast.sources.ingest import ingest
+from panelcast.sources.roles import is_wide
 from panelcast.streaming.increments import ingest_available, running_totals
 
 KEY = ["store_id", "sku_id"]
@@ -78,7 +79,9 @@ def _wide(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
        LEFT JOIN totals t USING (date) WHERE t.date IS NOT NULL""", ["totals"], doubles=["demand"], dates=["date"]))
 def unpivot(spark: SparkSession, sf: str) -> DataFrame:
     wide, start = _wide(spark, sf)
-    return shown(readers.melt_wide(wide, start).where(F.col("demand").isNotNull()))
+    stored = readers.read_csv(spark, writers.write_csv(wide, workspace(spark, "wide_csv")))
+    assert is_wide(stored.columns)
+    return shown(readers.melt_wide(stored, start))
 
 
 @query("S10_manifest")

@@ -1 +1,227 @@
-"""To come."""
+"""Fitted models and the registry. Model fits have no SQL twin; what follows from data alone has."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelcast.forecast import arima, hybrid, pooled, residual
+from panelcast.operators import registry as reg
+from panelcast.operators.features import tail_windows
+from panelcast.operators.scaling import fit_minmax
+from panelcast.operators.splits import hybrid_rule, sequence_rule, split_series, split_windows
+from panelcast.plans.catalogue.base import PANEL, daily, query, shown, sql, table, totals
+from panelcast.plans.catalogue.features import BY, as_text, text_of
+from panelcast.plans.catalogue.forecasts import STEPS_SQL, split
+from panelcast.plans.training import future_forecast, generate_submission, train_and_backtest
+from panelcast.session import workspace, written
+from panelcast.spec import keyed
+
+KEY = ["store_id", "sku_id"]
+SEQ = 30
+STEPS = 30
+
+
+def windows(spark: SparkSession, sf: str) -> DataFrame:
+    return split_windows(daily(spark, sf), PANEL, SEQ, sequence_rule(SEQ))
+
+
+def scalers(rows: DataFrame) -> DataFrame:
+    return fit_minmax(split_series(rows, PANEL, sequence_rule(SEQ)), PANEL, ~F.col("is_test"))
+
+
+def training_part(spark: SparkSession, sf: str) -> DataFrame:
+    return split_series(daily(spark, sf), PANEL, hybrid_rule()).where(~F.col("is_test")).select(*PANEL.columns)
+
+
+@query("M1_windows_gbt")
+def sequence_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Back-test of boosted trees trained on the pooled windows."""
+    rows = written(windows(spark, sf), "windows")
+    model = pooled.fit_sequence_model(rows, SEQ)
+    return pooled.predict_windows(model, rows.where("is_test"), PANEL)
+
+
+@query("M2_windows_linear")
+def linear_fit(spark: SparkSession, sf: str) -> DataFrame:
+    rows = written(windows(spark, sf), "windows")
+    model = pooled.fit_sequence_model(rows, SEQ, kind="linear")
+    return pooled.predict_windows(model, rows.where("is_test"), PANEL)
+
+
+@query("M3_recursive")
+def recursive(spark: SparkSession, sf: str) -> DataFrame:
+    """Thirty steps ahead for every series by repeated one-step predictions of the trees."""
+    rows = daily(spark, sf)
+    model = pooled.fit_sequence_model(windows(spark, sf), SEQ)
+    state = pooled.contexts(tail_windows(rows, PANEL, SEQ, pad=False), scalers(rows), PANEL)
+    return pooled.sequence_forecast(model, state, PANEL, STEPS)
+
+
+@query("M3_recursive_linear")
+def recursive_linear(spark: SparkSession, sf: str) -> DataFrame:
+    rows = daily(spark, sf)
+    model = pooled.fit_sequence_model(windows(spark, sf), SEQ, kind="linear")
+    state = pooled.contexts(tail_windows(rows, PANEL, SEQ, pad=False), scalers(rows), PANEL)
+    return pooled.sequence_forecast(model, state, PANEL, STEPS)
+
+
+@query("M4_arima")
+def arima_future(spark: SparkSession, sf: str) -> DataFrame:
+    params = written(arima.fit_arima(daily(spark, sf), PANEL, (1, 1, 1)), "params")
+    return arima.arima_forecast(params, PANEL, STEPS)
+
+
+@query("M9_panel_fit", sql(
+    "SELECT status, count(*) AS n_series FROM (SELECT CASE WHEN count(*) < 20 THEN 'skipped' ELSE 'fitted' END AS status FROM history GROUP BY store_id, sku_id) GROUP BY status",
+    ["placed"], **STEPS_SQL))
+def panel_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Number of series by fit status."""
+    return arima.fit_counts(arima.fit_arima(training_part(spark, sf), PANEL, (1, 1, 1), min_rows=20))
+
+
+@query("M11_model_info")
+def model_info(spark: SparkSession, sf: str) -> DataFrame:
+    return arima.model_info(arima.fit_arima(training_part(spark, sf), PANEL), PANEL)
+
+
+@query("F6_residual_lags", sql(
+    f"""SELECT store_id, sku_id, date, x AS target, {text_of("w")} AS "window"
+        FROM (SELECT *, list(x) OVER ({BY} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS w
+              FROM (SELECT *, units_sold - lag(units_sold) OVER ({BY}) AS x FROM daily) WHERE x IS NOT NULL)
+        WHERE len(w) = 10""", ["daily"], doubles=["target"], dates=["date"]))
+def residual_lags(spark: SparkSession, sf: str) -> DataFrame:
+    """Lag matrix of the residuals of order (0,1,0), whose fit has nothing to estimate."""
+    params = arima.fit_arima(daily(spark, sf), PANEL, (0, 1, 0))
+    rows = residual.residual_windows(arima.residuals(params, PANEL), PANEL)
+    return shown(rows.select(*KEY, "date", "target", as_text(F.col("window")).alias("window")))
+
+
+@query("M6_residual")
+def boosted_residuals(spark: SparkSession, sf: str) -> DataFrame:
+    """In-sample correction of every residual window."""
+    from pyspark.ml.functions import array_to_vector
+
+    params = written(arima.fit_arima(training_part(spark, sf), PANEL, (1, 1, 1), min_rows=20), "params")
+    rows = written(residual.residual_windows(arima.residuals(params, PANEL), PANEL), "residual_windows")
+    booster = residual.fit_booster(rows)
+    scored = booster.transform(rows.withColumn("features", array_to_vector("window_std")))
+    return scored.select(*KEY, "date", F.col("target").alias("resid"), F.col("prediction").alias("correction"))
+
+
+@query("M8_hybrid")
+def hybrid_future(spark: SparkSession, sf: str) -> DataFrame:
+    """ARIMA plus recursive residual corrections, thirty steps for every series."""
+    model = hybrid.fit_hybrid(training_part(spark, sf), PANEL)
+    return hybrid.hybrid_forecast(model, PANEL, STEPS)
+
+
+@query("M13_single_series")
+def single(spark: SparkSession, sf: str) -> DataFrame:
+    """Both models on the daily totals, judged on the same dates."""
+    from panelcast.plans.catalogue.base import SINGLE
+
+    rows, spec = keyed(totals(spark, sf), SINGLE)
+    return train_and_backtest(rows, spec, SEQ, kind="linear").metrics
+
+
+@query("M14_panel_training")
+def panel_training(spark: SparkSession, sf: str) -> DataFrame:
+    return train_and_backtest(daily(spark, sf), PANEL, SEQ).metrics
+
+
+@query("M15_future")
+def panel_future(spark: SparkSession, sf: str) -> DataFrame:
+    rows = daily(spark, sf)
+    trained = train_and_backtest(rows, PANEL, SEQ, kind="linear")
+    return future_forecast(trained, rows, PANEL, STEPS)
+
+
+@query("M17_submission_models")
+def model_submission(spark: SparkSession, sf: str) -> DataFrame:
+    """The best model fills one record per test row."""
+    history, test = split(spark, sf)
+    history = written(history, "history")
+    trained = train_and_backtest(history, PANEL, SEQ, kind="linear")
+    rows = test.drop("units_sold").withColumn("record_ID", F.concat_ws("_", *KEY, F.col("date").cast("string")))
+    return generate_submission(trained, history, rows, PANEL)
+
+
+@query("M19_runs")
+def runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Training record: model, number of iterations, last loss."""
+    model = pooled.fit_sequence_model(windows(spark, sf), SEQ)
+    rows = [("Sequence", i, float(loss)) for i, loss in enumerate(model.losses)]  # one per boosting round
+    return spark.createDataFrame(rows, "model string, iteration int, loss double")
+
+
+# ---- registry: each user of the event log is a model, registered by its first event and updated by the others
+
+
+def registry_events(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "events")
+    name = F.concat(F.lit("user_"), F.col("user_id").cast("string"))
+    first = rows.groupBy("user_id").agg(F.min(F.struct("ts", "event_id")).alias("_first"))
+    return rows.join(first, "user_id").select(
+        F.lpad(F.col("event_id").cast("string"), 20, "0").alias("event_id"),
+        F.col("ts").alias("at"),
+        F.when(F.col("event_id") == F.col("_first.event_id"), "register")
+        .when(F.col("event_type") == "error", "remove").otherwise("update").alias("action"),
+        name.alias("name"), F.col("event_type").alias("model_type"), F.lit("1.0.0").alias("version"),
+        F.create_map(F.col("event_type"), F.col("value")).alias("metrics"),
+        F.create_map(F.lit("props"), F.col("props")).alias("config"),
+        F.array("event_type").alias("tags"), F.lit(None).cast("string").alias("file_path"), F.lit("").alias("description"),
+    )
+
+
+LIVE = {
+    "log": """SELECT event_id, ts, 'user_' || user_id AS name, event_type, value,
+                     CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 THEN 'register'
+                          WHEN event_type = 'error' THEN 'remove' ELSE 'update' END AS action FROM events""",
+    "epochs": "SELECT *, sum(CASE WHEN action <> 'update' THEN 1 ELSE 0 END) OVER (PARTITION BY name ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM log",
+    "recent": "SELECT * FROM (SELECT *, max(e) OVER (PARTITION BY name) AS last FROM epochs) WHERE e = last",
+    "live": "SELECT * FROM (SELECT *, count(*) FILTER (WHERE action = 'remove') OVER (PARTITION BY name) AS gone FROM recent) WHERE gone = 0",
+    "kept": "SELECT name, event_type AS model_type, ts AS created_at FROM live WHERE action = 'register'",
+}
+
+
+@query("R2_models", sql("SELECT name, model_type, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM kept", **LIVE))
+def registered(spark: SparkSession, sf: str) -> DataFrame:
+    found = reg.models(registry_events(spark, sf))
+    return found.select("name", "model_type", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+@query("R3_latest", sql(
+    "SELECT model_type, arg_max(name, created_at) AS name FROM kept GROUP BY model_type", **LIVE))
+def latest(spark: SparkSession, sf: str) -> DataFrame:
+    return reg.latest_by_type(registry_events(spark, sf)).select("model_type", "name")
+
+
+def _always_live(spark: SparkSession, sf: str) -> DataFrame:
+    """The same log without removals."""
+    action = F.when(F.col("action") == "remove", "update").otherwise(F.col("action"))
+    return registry_events(spark, sf).withColumn("action", action)
+
+
+@query("R4_merge", "SELECT 'user_' || user_id AS name, event_type AS key, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL")
+def merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Newest value per model and metric."""
+    return reg.merged_entries(_always_live(spark, sf), "metrics")
+
+
+@query("R5_tags", """SELECT DISTINCT 'user_' || e.user_id AS name, f.event_type AS model_type
+                     FROM events e JOIN (SELECT user_id, arg_min(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1) f USING (user_id) WHERE e.event_type = 'purchase'""")
+def tags(spark: SparkSession, sf: str) -> DataFrame:
+    return reg.with_tag(_always_live(spark, sf), "purchase").select("name", "model_type")
+
+
+@query("R7_save_load")
+def save_load(spark: SparkSession, sf: str) -> DataFrame:
+    """A linear window model registered, stored, loaded again and applied."""
+    rows = written(windows(spark, sf), "windows")
+    trained = pooled.fit_sequence_model(rows, SEQ, kind="linear")
+    store = reg.Registry(spark, workspace(spark, "registry"))
+    store.register("windows", "sequence", metrics={"loss": trained.losses[-1]})
+    store.save_model("windows", trained.model, workspace(spark, "window_model"))
+    loaded = pooled.TrainedModel(store.load_model("windows"), SEQ, 0.0)
+    return pooled.predict_windows(loaded, rows.where("is_test"), PANEL)

@@ -97,11 +97,14 @@ def melt_wide(df: DataFrame, start_date: str, keys: Sequence[str] = (), demand:
     days = day_columns(df.columns)
     if not days:
         raise IngestError("no day columns d_<number> found")
-    numbers = F.array(*[F.lit(int(d[2:])) for d in days])
-    cells = F.array(*[F.col(d).try_cast("double") for d in days])
-    long = df.select(*keys, F.inline(F.arrays_zip(numbers.alias("day"), cells.alias(demand))))
-    date = F.date_add(F.lit(start_date).cast("date"), F.col("day") - 1).alias("date")
-    return long.groupBy(*keys, date).agg(F.sum(demand).alias(demand))
+    by_day = {int(d[2:]): d for d in days}
+    first = min(by_day)
+    slots = [F.col(by_day[i]) if i in by_day else F.lit(None) for i in range(first, max(by_day) + 1)]
+    cells = df.select(*keys, F.array(*slots).alias("_cells"))
+    long = cells.select(*keys, F.posexplode("_cells").alias("_i", "_text")).where(F.col("_text").isNotNull())
+    sums = long.groupBy(*keys, "_i").agg(F.sum(F.col("_text").try_cast("double")).alias(demand))
+    date = F.date_add(F.lit(start_date).cast("date"), F.col("_i") + (first - 1))
+    return sums.select(*keys, date.alias("date"), demand)
 
 
 def aggregate_rows(df: DataFrame, spec: SeriesSpec) -> DataFrame:
