@@ -26,10 +26,16 @@ def _innovations(w: np.ndarray, const: float, ar: np.ndarray, ma: np.ndarray) ->
     e = x.copy()
     for i, phi in enumerate(ar, start=1):
         e[i:] -= phi * x[:-i]
-    if len(ma):
+    if len(ma) == 1:
+        theta, last = float(ma[0]), 0.0
+        out = e.tolist()
+        for t, value in enumerate(out):
+            out[t] = last = value - theta * last
+        e = np.array(out)
+    elif len(ma):
         out, theta = e.tolist(), ma.tolist()
         for t in range(1, len(out)):
-            for j, th in enumerate(theta[: t], start=1):
+            for j, th in enumerate(theta[:t], start=1):
                 out[t] -= th * out[t - j]
         e = np.array(out)
     return e

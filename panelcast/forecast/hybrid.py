@@ -45,13 +45,14 @@ def fit_hybrid(
     return HybridModel(params, scalers, model, time.perf_counter() - started)
 
 
-def hybrid_forecast(model: HybridModel, spec: SeriesSpec, steps: int, horizon: DataFrame | None = None) -> DataFrame:
-    """Sum of both parts per series and step. ``horizon`` may shorten it per series (column ``horizon``)."""
+def hybrid_forecast(model: HybridModel, spec: SeriesSpec, steps: int | None = None, horizon: DataFrame | None = None) -> DataFrame:
+    """Sum of both parts per series and step, for ``steps`` or for the column ``horizon`` of each series."""
     params = model.params
     if horizon is not None:
         params = params.join(horizon.select(*spec.keys, "horizon"), list(spec.keys))
     base = arima.arima_forecast(params, spec, steps, "horizon" if horizon is not None else None)
-    added = corrections(model.booster, params, model.scalers, spec, steps)
+    until = steps if horizon is None else F.col("horizon")
+    added = corrections(model.booster, params, model.scalers, spec, until)
     return base.join(added, [*spec.keys, "step"], "left").select(
         *spec.keys, F.lit(HYBRID).alias("model"), "step", "date",
         (F.col("yhat") + F.coalesce("correction", F.lit(0.0))).alias("yhat"),

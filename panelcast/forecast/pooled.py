@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.ml import Model
@@ -12,13 +11,11 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.forecast.recursion import roll_forward
 from panelcast.operators.alignment import SEQUENCE
 from panelcast.operators.scaling import scaled, unscaled
-from panelcast.session import cut_lineage
 from panelcast.spec import SeriesSpec
 
-STEPS_PER_CHECKPOINT = 10
-
 
 @dataclass
 class TrainedModel:
@@ -82,53 +79,12 @@ def contexts(tails: DataFrame, scalers: DataFrame, spec: SeriesSpec) -> DataFram
     return joined.withColumn("window", F.transform("window", lambda v: scaled(v)))
 
 
-def roll_forward(model: Model, state: DataFrame, steps: int, features: Callable[[Column], Column]) -> DataFrame:
-    """Predict, drop the oldest value, append the prediction, repeat; all series advance together.
+def sequence_forecast(trained: TrainedModel, state: DataFrame, spec: SeriesSpec, steps: int | Column) -> DataFrame:
+    """Recursive forecast of every context in the scale of its series.
 
-    Every tenth step the growing plan is cut by a reliable checkpoint. ``state`` carries
-    ``window``; the result gains ``path`` with one prediction per step.
+    ``steps`` may be a column of ``state``, for a horizon of each series of its own.
     """
-    size = F.size("window")
-    rows = state.withColumn("path", F.expr("cast(array() as array<double>)"))
-    columns = rows.columns
-    for step in range(1, steps + 1):
-        scored = model.transform(rows.withColumn("features", array_to_vector(features(F.col("window")))))
-        rows = scored.withColumns(
-            {
-                "window": F.concat(F.slice("window", 2, size - 1), F.array("prediction")),
-                "path": F.concat("path", F.array("prediction")),
-            }
-        ).select(columns)
-        if step % STEPS_PER_CHECKPOINT == 0:
-            rows = cut_lineage(rows)
-    return rows
-
-
-def roll_linear(model, state: DataFrame, steps: int) -> DataFrame:
-    """The same recursion for a linear model: its coefficients fit in one literal, so a fold does all steps."""
-    weights = F.array(*[F.lit(float(c)) for c in model.coefficients])
-    start = F.struct(F.col("window").alias("w"), F.expr("cast(array() as array<double>)").alias("out"))
-
-    def advance(s: Column, _: Column) -> Column:
-        dot = F.aggregate(F.zip_with(s["w"], weights, lambda x, c: x * c), F.lit(float(model.intercept)), lambda a, v: a + v)
-        return F.transform(
-            F.array(dot),
-            lambda y: F.struct(
-                F.concat(F.slice(s["w"], 2, F.size(s["w"]) - 1), F.array(y)).alias("w"),
-                F.concat(s["out"], F.array(y)).alias("out"),
-            ),
-        )[0]
-
-    path = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, advance, lambda s: s["out"])
-    return state.withColumn("path", path)
-
-
-def sequence_forecast(trained: TrainedModel, state: DataFrame, spec: SeriesSpec, steps: int) -> DataFrame:
-    """Recursive forecast of every context in the scale of its series."""
-    if hasattr(trained.model, "coefficients"):
-        rolled = roll_linear(trained.model, state, steps)
-    else:
-        rolled = roll_forward(trained.model, state, steps, lambda w: w)
+    rolled = roll_forward(trained.model, state, steps)
     return rolled.select(*spec.keys, "last_date", "min", "max", F.posexplode("path").alias("_i", "_v")).select(
         *spec.keys, F.lit(SEQUENCE).alias("model"), (F.col("_i") + 1).alias("step"),
         F.date_add(F.col("last_date").cast("date"), F.col("_i") + 1).alias("date"), unscaled(F.col("_v")).alias("yhat"),

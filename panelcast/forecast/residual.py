@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.forecast.pooled import roll_forward
+from panelcast.forecast.recursion import roll_forward
 from panelcast.operators.features import sliding_windows
 from panelcast.operators.scaling import standardise_windows, standardised
 from panelcast.spec import SeriesSpec
@@ -39,7 +39,7 @@ def fit_booster(windows: DataFrame, overrides: dict | None = None) -> Model:
 
 
 def corrections(
-    booster: Model | None, params: DataFrame, scalers: DataFrame, spec: SeriesSpec, steps: int, lags: int = RESIDUAL_LAGS
+    booster: Model | None, params: DataFrame, scalers: DataFrame, spec: SeriesSpec, steps: int | Column, lags: int = RESIDUAL_LAGS
 ) -> DataFrame:
     """Recursive residual corrections per series and step.
 
@@ -47,8 +47,8 @@ def corrections(
     """
     if booster is None:
         return params.limit(0).select(*spec.keys, F.lit(1).alias("step"), F.lit(0.0).alias("correction"))
-    state = params.where((F.col("status") == "fitted") & (F.size("resid") >= lags)).select(
-        *spec.keys, F.slice("resid", -lags, lags).alias("window")
+    state = params.where((F.col("status") == "fitted") & (F.size("resid") >= lags)).withColumn(
+        "window", F.slice("resid", -lags, lags)
     ).join(scalers, list(spec.keys))
     rolled = roll_forward(booster, state, steps, standardised)
     return rolled.select(*spec.keys, F.posexplode("path").alias("_i", "correction")).select(

@@ -133,7 +133,7 @@ def panel_training(spark: SparkSession, sf: str) -> DataFrame:
 @query("M15_future")
 def panel_future(spark: SparkSession, sf: str) -> DataFrame:
     rows = daily(spark, sf)
-    trained = train_and_backtest(rows, PANEL, SEQ, kind="linear")
+    trained = train_and_backtest(rows, PANEL, SEQ, kind="linear", booster={"maxIter": 20})
     return future_forecast(trained, rows, PANEL, STEPS)
 
 
@@ -142,7 +142,7 @@ def model_submission(spark: SparkSession, sf: str) -> DataFrame:
     """The best model fills one record per test row."""
     history, test = split(spark, sf)
     history = written(history, "history")
-    trained = train_and_backtest(history, PANEL, SEQ, kind="linear")
+    trained = train_and_backtest(history, PANEL, SEQ, kind="linear", booster={"maxIter": 20})
     rows = test.drop("units_sold").withColumn("record_ID", F.concat_ws("_", *KEY, F.col("date").cast("string")))
     return generate_submission(trained, history, rows, PANEL)
 

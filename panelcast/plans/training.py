@@ -53,9 +53,8 @@ def train_and_backtest(
     hybrid = fit_hybrid(train, spec, order, booster=booster)
     held = parts.where("is_test")
     horizon = held.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("horizon"))
-    steps = horizon.agg(F.max("horizon")).first()[0] or 0
     # Test rows are matched by their position past the split, so gaps in the calendar do not shift dates.
-    ahead = hybrid_forecast(hybrid, spec, steps, horizon)
+    ahead = hybrid_forecast(hybrid, spec, horizon=horizon)
     hybrid_test = attach_forecasts(held, ahead, spec).where(F.col("yhat").isNotNull()).select(
         *spec.keys, spec.date, F.lit(HYBRID).alias("model"), F.col(spec.demand).alias("y"), "yhat"
     )
@@ -100,11 +99,10 @@ def generate_submission(
     """
     selected = model or choose_model(trained.metrics.where(F.col("model").isin(SEQUENCE, HYBRID)))
     needs = test.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("n_test"))
-    longest = needs.agg(F.max("n_test")).first()[0] or 0
     asked = tail_windows(clean, spec, trained.seq, pad=True).join(needs, list(spec.keys))
     state = contexts(asked, trained.scalers, spec)
     on = [*spec.keys, "step"]
-    sequence = sequence_forecast(trained.sequence, state, spec, longest)
+    sequence = sequence_forecast(trained.sequence, state, spec, F.col("n_test"))
     gaps = _gaps(clean, trained, spec).join(needs, list(spec.keys))
     hybrid = _hybrid_past_gap(trained.hybrid, gaps, spec)
     chosen = select_predictions(side_by_side(sequence, hybrid, on, ("sequence", "hybrid")), selected)
@@ -139,6 +137,5 @@ def _gaps(clean: DataFrame, trained: Trained, spec: SeriesSpec) -> DataFrame:
 
 def _hybrid_past_gap(model: HybridModel, needs: DataFrame, spec: SeriesSpec) -> DataFrame:
     horizon = needs.withColumn("horizon", F.col("gap") + F.col("n_test"))
-    steps = horizon.agg(F.max("horizon")).first()[0] or 0
-    ahead = hybrid_forecast(model, spec, int(steps), horizon)
+    ahead = hybrid_forecast(model, spec, horizon=horizon)
     return past_the_gap(ahead, needs, spec)

@@ -51,12 +51,6 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/panelcast/{uuid.uuid4().hex}/{name}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the plan restarts from files that outlive any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Store a frame that several later jobs read, and continue from the stored table."""
     path = workspace(df.sparkSession, name)
