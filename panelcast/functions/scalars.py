@@ -15,9 +15,10 @@ DEFAULT_ORDER = (1, 1, 1)
 
 def to_number(value: Column) -> Column:
     """Text or number to DOUBLE; anything unreadable, and NaN, becomes NULL."""
-    text = value.cast("string")
-    number = F.when(~text.rlike(r"[0-9.][dDfF]\s*$"), text.try_cast("double"))
-    return F.when(~F.isnan(number), number)
+    text = F.rtrim(value.cast("string"))
+    # The cast would also take type suffixes such as 3d or 1.5f; the pattern runs only for those endings.
+    suffixed = F.right(text, F.lit(1)).isin("d", "D", "f", "F") & text.rlike(r"[0-9.][dDfF]$")
+    return F.nanvl(F.when(~suffixed, text.try_cast("double")), F.lit(None).cast("double"))
 
 
 def to_timestamp_or_null(value: Column) -> Column:

@@ -8,15 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from panelcast.functions.scalars import to_number, to_timestamp_or_null
+from panelcast.functions.scalars import to_number
 from panelcast.spec import SeriesSpec
 
 
 def parse_columns(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Read dates and demand; rows whose date cannot be read are dropped."""
-    date = to_timestamp_or_null(F.col(spec.date))
     return df.withColumns(
-        {spec.date: spec.period(date), spec.demand: to_number(F.col(spec.demand))}
+        {spec.date: spec.period(F.col(spec.date)), spec.demand: to_number(F.col(spec.demand))}
     ).where(F.col(spec.date).isNotNull())
 
 

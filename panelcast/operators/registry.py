@@ -26,21 +26,29 @@ EVENTS = T.StructType(
 )
 
 
+def _boundaries(events: DataFrame) -> DataFrame:
+    """The last registration or removal of each model, by partial aggregates: one row per model."""
+    when = F.struct("at", "event_id")
+    fields = F.struct("at", "event_id", "action", "model_type", "version", "file_path", "description")
+    ends = events.where(F.col("action").isin("register", "remove"))
+    return ends.groupBy("name").agg(F.max_by(fields, when).alias("_start")).where("_start.action = 'register'")
+
+
 def live_events(events: DataFrame) -> DataFrame:
-    """Events since the last registration of each model that has not been removed."""
-    order = Window.partitionBy("name").orderBy("at", "event_id")
-    starts = F.col("action").isin("register", "remove").cast("int")
-    marked = events.withColumn("_epoch", F.sum(starts).over(order)).withColumns(
-        {"_last": F.max("_epoch").over(Window.partitionBy("name"))}
-    ).where(F.col("_epoch") == F.col("_last"))
-    gone = F.max((F.col("action") == "remove").cast("int")).over(Window.partitionBy("name"))
-    return marked.withColumn("_gone", gone).where("_gone = 0").drop("_epoch", "_last", "_gone")
+    """Events since the last registration of each model that has not been removed.
+
+    The start of each model is joined on, so that a model with very many events is split like
+    any other skewed join key.
+    """
+    starts = _boundaries(events).select("name", F.col("_start.at").alias("_at"), F.col("_start.event_id").alias("_id"))
+    since = F.struct("at", "event_id") >= F.struct(F.col("_at").alias("at"), F.col("_id").alias("event_id"))
+    return events.join(starts, "name").where(since).drop("_at", "_id")
 
 
 def models(events: DataFrame) -> DataFrame:
     """Registration data of every live model."""
-    return live_events(events).where("action = 'register'").select(
-        "name", "model_type", "version", F.col("at").alias("created_at"), "file_path", "description"
+    return _boundaries(events).select(
+        "name", "_start.model_type", "_start.version", F.col("_start.at").alias("created_at"), "_start.file_path", "_start.description"
     )
 
 

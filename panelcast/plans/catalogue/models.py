@@ -122,7 +122,7 @@ def single(spark: SparkSession, sf: str) -> DataFrame:
     from panelcast.plans.catalogue.base import SINGLE
 
     rows, spec = keyed(totals(spark, sf), SINGLE)
-    return train_and_backtest(rows, spec, SEQ, kind="linear").metrics
+    return train_and_backtest(rows, spec, SEQ, kind="linear", booster={"maxIter": 20}).metrics
 
 
 @query("M14_panel_training")

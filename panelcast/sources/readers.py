@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.functions.scalars import to_number, to_timestamp_or_null
+from panelcast.functions.scalars import to_number
 from panelcast.sources.roles import day_columns
 from panelcast.spec import SeriesSpec
 
@@ -112,7 +112,7 @@ def aggregate_rows(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     return (
         df.select(
             *spec.keys,
-            spec.period(to_timestamp_or_null(F.col(spec.date))).alias(spec.date),
+            spec.period(F.col(spec.date)).alias(spec.date),
             to_number(F.col(spec.demand)).alias(spec.demand),
         )
         .where(F.col(spec.date).isNotNull() & (F.col(spec.demand) >= 0))

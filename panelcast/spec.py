@@ -37,8 +37,13 @@ class SeriesSpec:
         return self.series().orderBy(self.date)
 
     def period(self, stamp: Column) -> Column:
-        """Truncate a timestamp to the grain; day grain gives a DATE."""
-        return stamp.cast("date") if self.grain == "day" else F.date_trunc(self.grain, stamp)
+        """Read a date or timestamp, or text holding one, at the grain; unreadable text gives NULL.
+
+        Day grain gives a DATE, a finer one a truncated TIMESTAMP.
+        """
+        if self.grain == "day":
+            return stamp.try_cast("date")
+        return F.date_trunc(self.grain, stamp.try_cast("timestamp"))
 
     def single(self) -> SeriesSpec:
         return replace(self, keys=())

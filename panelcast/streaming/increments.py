@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.functions.scalars import to_number, to_timestamp_or_null
+from panelcast.functions.scalars import to_number
 from panelcast.spec import SeriesSpec
 
 
@@ -24,7 +24,7 @@ def ingest_available(
     )
     rows = source.select(*columns).select(
         *spec.keys,
-        spec.period(to_timestamp_or_null(F.col(spec.date))).alias(spec.date),
+        spec.period(F.col(spec.date)).alias(spec.date),
         to_number(F.col(spec.demand)).alias(spec.demand),
     ).where(F.col(spec.date).isNotNull() & (F.col(spec.demand) >= 0))
     query = (
