@@ -31,7 +31,8 @@ def label_of(names: list[str], index: Column) -> Column:
 
 
 def iso_date(value: Column) -> Column:
-    return F.date_format(value, "yyyy-MM-dd")
+    """yyyy-MM-dd; the plain cast is several times faster than a pattern formatter."""
+    return value.cast("date").cast("string")
 
 
 def round_to_nearest(value: Column, base: float = 5) -> Column:

@@ -15,11 +15,11 @@ SEQ = 30
 
 def as_text(values: Column) -> Column:
     """Array of numbers as text with six places, so that engines compare cell by cell."""
-    return F.array_join(F.transform(values, lambda x: F.format_string("%.6f", F.round(x, 6) + F.lit(0.0))), ",")
+    return F.array_join(values.cast("array<decimal(18,6)>").cast("array<string>"), ",")
 
 
 def text_of(items: str) -> str:
-    return f"array_to_string(list_transform({items}, lambda x: printf('%.6f', round(x, 6) + 0)), ',')"
+    return f"array_to_string(list_transform({items}, lambda x: CAST(CAST(x AS DECIMAL(18, 6)) AS VARCHAR)), ',')"
 
 
 @query("F1_calendar", sql(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelcast.forecast import closed_form as cf
 from panelcast.operators import alignment as al
 from panelcast.operators import evaluate as ev
-from panelcast.operators.splits import hybrid_rule, split_series
+from panelcast.operators.splits import SplitRule, hybrid_rule, split_series
 from panelcast.plans.catalogue.base import PANEL, daily, query, shown, sql
 from panelcast.plans.catalogue.features import split_of
 from panelcast.plans.training import finish_submission
@@ -23,7 +23,7 @@ STEPS_SQL = {
     "parts": f"SELECT store_id, sku_id, date, units_sold, pos, n_rows, {split_of(10)} AS split_idx FROM placed WHERE n_rows >= 20",
     "history": "SELECT store_id, sku_id, date, units_sold, pos, split_idx AS n_rows FROM parts WHERE pos < split_idx",
     "test": "SELECT store_id, sku_id, date, units_sold, CAST(pos - split_idx + 1 AS INTEGER) AS step FROM parts WHERE pos >= split_idx",
-    "fitted": f"SELECT store_id, sku_id, date, units_sold, pos FROM history WHERE n_rows >= 20 AND pos < {split_of(10)}",
+    "fitted": f"SELECT store_id, sku_id, date, units_sold, pos FROM history WHERE pos < {split_of(10)}",
 }
 
 
@@ -157,7 +157,7 @@ def missing_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fitted_part(history: DataFrame) -> DataFrame:
-    return split_series(history, PANEL, hybrid_rule()).where(~F.col("is_test")).select(*PANEL.columns)
+    return split_series(history, PANEL, SplitRule(min_train=10)).where(~F.col("is_test")).select(*PANEL.columns)
 
 
 GAP = """SELECT store_id, sku_id, n_train, n_fitted, greatest(n_train - n_fitted, 0) AS gap

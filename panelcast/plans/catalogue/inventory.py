@@ -237,7 +237,8 @@ def params(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("I11_source", sql(
     """SELECT store_id, sku_id, CAST(pos - split_idx + 1 AS INTEGER) AS step, units_sold AS yhat, 'test predictions' AS source FROM parts WHERE pos >= split_idx AND store_id <> 'S4'
-       UNION ALL SELECT store_id, sku_id, step, yhat, 'future forecast' FROM future WHERE model = 'Ensemble' AND store_id = 'S4'""",
+       UNION ALL SELECT store_id, sku_id, step, yhat, 'future forecast' FROM future WHERE model = 'Ensemble'
+         AND (store_id, sku_id) NOT IN (SELECT (store_id, sku_id) FROM parts WHERE store_id <> 'S4')""",
     ["placed"], doubles=["yhat"], **FUTURE_SQL,
     parts="""SELECT *, least(greatest(CAST(floor(CAST(n_rows AS DOUBLE) * CAST(0.8 AS DOUBLE)) AS BIGINT), 10), n_rows - 1) AS split_idx FROM placed WHERE n_rows >= 20"""))
 def source(spark: SparkSession, sf: str) -> DataFrame:
