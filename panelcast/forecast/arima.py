@@ -168,6 +168,8 @@ def fit_arima(
     A failing series is reported, not raised. Rows are one per period, so the group a task
     holds is bounded by the calendar.
     """
+    if not isinstance(train.schema[spec.date].dataType, T.DateType):
+        raise ValueError("forecasts are daily: clean the series at day grain first")
     schema = params_schema(train, spec)
     keys = list(spec.keys)
     names = schema.fieldNames()

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from panelcast.forecast import closed_form as cf
 from panelcast.operators import alignment as al
 from panelcast.operators import evaluate as ev
+from panelcast.operators.features import tail_windows
 from panelcast.operators.splits import SplitRule, hybrid_rule, split_series
 from panelcast.plans.catalogue.base import PANEL, daily, query, shown, sql
-from panelcast.plans.catalogue.features import split_of
+from panelcast.plans.catalogue.features import BY, as_text, split_of, text_of
 from panelcast.plans.training import finish_submission
 from panelcast.session import written
 
@@ -137,6 +138,20 @@ def history_join(spark: SparkSession, sf: str) -> DataFrame:
     return shown(al.history_of(test, history.where("store_id <> 'S4'"), PANEL))
 
 
+@query("X6_context", sql(
+    f"""SELECT store_id, sku_id, n_test, CAST(least(n, 30) AS INTEGER) AS n_history,
+               {text_of("CASE WHEN len(w) < 30 THEN list_concat(list_transform(range(30 - len(w)), lambda i: m), w) ELSE w END")} AS "window"
+        FROM (SELECT *, list(units_sold) OVER ({BY} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS w, avg(units_sold) OVER ({BY} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS m,
+                     row_number() OVER (PARTITION BY store_id, sku_id ORDER BY date DESC) AS back, count(*) OVER (PARTITION BY store_id, sku_id) AS n FROM history)
+        JOIN (SELECT store_id, sku_id, count(*) AS n_test FROM test GROUP BY ALL) USING (store_id, sku_id) WHERE back = 1""", ["placed"], **STEPS_SQL))
+def context(spark: SparkSession, sf: str) -> DataFrame:
+    """Last window of the history of each series asked for, and how many rows are asked."""
+    history, test = split(spark, sf)
+    asked = test.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_test"))
+    rows = tail_windows(history, PANEL, 30).join(asked, KEY)
+    return rows.select(*KEY, "n_test", "n_history", as_text(F.col("window")).alias("window"))
+
+
 MISSING = sql("SELECT DISTINCT store_id, sku_id FROM test WHERE store_id = 'S4'", ["placed"], **STEPS_SQL)
 
 

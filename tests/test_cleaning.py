@@ -150,3 +150,10 @@ def test_autocorrelation_matches_numpy(panel):
 def test_unknown_frequency(panel):
     with pytest.raises(ValueError):
         calendar.resample(panel({("A", "x"): [1]}), SPEC, "Q")
+
+
+def test_finer_grain(spark):
+    hourly = SeriesSpec(grain="hour")
+    stamps = ["2024-01-01 10:05:00", "2024-01-01 10:50:00", "2024-01-01 11:00:00", "bad"]
+    df = spark.createDataFrame([("A", "x", t, "2") for t in stamps], "store_id string, sku_id string, date string, units_sold string")
+    assert values(clean.clean_data(df, hourly)) == [4, 2]
