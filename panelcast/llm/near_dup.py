@@ -32,7 +32,7 @@ from panelcast.llm.common import Scratch, in_chunks, mix64, sorted_groups, table
 
 SHINGLE, PERCENT = 5, 85
 REGISTERS, ROWS, BASE, RATE = 128, 4, 1.001, 20.0
-CHUNK, CHUNK_SHINGLES = 256, 1 << 20
+CHUNK, CHUNK_SHINGLES = 1024, 1 << 21
 BROADCAST_KEYS = 1 << 21  # ids of texts to read again: 16 bytes each
 _rng = np.random.default_rng(5)
 _A = _rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -317,15 +317,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     opened = member.join(state, ["band", "key"]).where("node <> leader").join(side, "node")
     weight = opened.groupBy("band", "key").agg(
         F.sum("n").alias("weight"), F.sum((F.col("comp") != F.col("lead_comp")).cast("long")).alias("outside")).where("outside > 0")
-    opened = opened.join(weight, ["band", "key"]).withColumn(
-        "chunks", F.greatest(F.ceil(F.col("size") / CHUNK), F.ceil(F.col("weight") / CHUNK_SHINGLES)).cast("int")).withColumn(
-        "chunk", F.pmod(F.xxhash64("node", "band"), F.col("chunks")).cast("int"))
+    # Fewest blocks: members outside are cut into as many parts as they need, all members likewise.
+    parts = F.greatest(F.ceil(F.col("size") / CHUNK), F.ceil(F.col("weight") / CHUNK_SHINGLES)).cast("int")
+    opened = opened.join(weight, ["band", "key"]).withColumn("all_parts", parts).withColumn(
+        "out_parts", F.ceil(F.col("all_parts") * F.col("outside") / F.col("size")).cast("int"))
+    name = F.xxhash64("node", "band")
     columns = ["band", "node", "comp", "n", "registers"]
-    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    rows = opened.where("comp <> lead_comp").withColumn("other", every).select(
-        F.xxhash64("band", "key", "chunk", "other").alias("block"), F.lit(True).alias("first"), *columns,
-    ).unionAll(opened.withColumn("other", every).select(
-        F.xxhash64("band", "key", "other", "chunk").alias("block"), F.lit(False).alias("first"), *columns))
+    rows = opened.where("comp <> lead_comp").withColumn("x", F.pmod(name, "out_parts")).withColumn(
+        "y", F.explode(F.sequence(F.lit(0), F.col("all_parts") - 1))).select(
+        F.xxhash64("band", "key", F.col("x").cast("int"), "y").alias("block"), F.lit(True).alias("first"), *columns,
+    ).unionAll(opened.withColumn("y", F.pmod(name, "all_parts")).withColumn(
+        "x", F.explode(F.sequence(F.lit(0), F.col("out_parts") - 1))).select(
+        F.xxhash64("band", "key", "x", F.col("y").cast("int")).alias("block"), F.lit(False).alias("first"), *columns))
     open_blocks = rows.repartition("block").sortWithinPartitions("block").mapInPandas(
         _open_pairs(threshold), "block long, node long, first boolean")
     more = verify(open_blocks, "open")
