@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import SPACE, table, words
+from panelcast.llm.common import SPACE, Scratch, table, words
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT = 20, 30
@@ -89,11 +89,11 @@ def quality(
         "base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT))
 
     # One row per document and distinct line, with the words that all its occurrences hold.
-    lines = (
+    lines = Scratch(docs.sparkSession, "quality").write(
         named.select(*key, F.explode(F.split(F.coalesce("_text", F.lit("")), "\n")).alias("line"))
         .where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
         .select(*key, F.xxhash64(normal_line(F.col("line"))).alias("line"),
-                F.size(words(F.col("line"))).cast("long").alias("w")))
+                F.size(words(F.col("line"))).cast("long").alias("w")), "lines")
     texts = lines.select("_host", "line", "_text_hash").distinct()
     held = texts.groupBy("_host", "line").agg(F.count("*").alias("n"))
     hosts = named.select("_host", "_text_hash").distinct().groupBy("_host").agg(F.count("*").alias("host_texts"))
