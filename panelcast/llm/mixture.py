@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import SPACE, table, words
+from panelcast.llm.common import Scratch, table, words
 
 WEIGHTS, FACTOR, MAX_REPEAT = (3.0, 1.0, 2.0), 1.5, 2.0
 BLOCK, SHARD, SEED = 32, 1 << 18, 20
@@ -171,6 +171,7 @@ def mix(
         F.col(id_col).alias("_id"), F.col(source_col).alias("_source"),
         F.size(words(F.col(text_col))).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("h"), *kept)
+    named = Scratch(spark, "mixture").write(named, "sizes")  # words are counted once, for three uses
     rows = named.groupBy("_source").agg(F.sum("size").alias("n")).collect()  # one row per source
     rows.sort(key=lambda r: (r["_source"] is None, (r["_source"] or "").encode("utf-8")))
     sizes = [r["n"] for r in rows]
