@@ -37,7 +37,7 @@ class Encoder:
         if not text:
             return np.zeros(0, np.uint32)
         if self.quick and _LATIN.fullmatch(text):
-            return np.array(self.quick.encode_ordinary(text), np.uint32)
+            return self.quick.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
         return np.array(self.full.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
