@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -125,17 +125,15 @@ def word_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(s, first)
 
 
-def in_chunks(frames: Iterator, size: Callable, limit: int) -> Iterator[list]:
-    """Groups of input frames whose sizes add up to about ``limit``."""
-    held, total = [], 0
+def text_chunks(frames: Iterator, limit: int, column: str = "_text") -> Iterator:
+    """Frames cut into runs of rows with about ``limit`` characters; a longer text is a run of its own."""
     for frame in frames:
-        held.append(frame)
-        total += size(frame)
-        if total >= limit:
-            yield held
-            held, total = [], 0
-    if held:
-        yield held
+        if not len(frame):
+            continue
+        part = np.cumsum(frame[column].str.len().to_numpy()) // limit
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(frame)]
+        for at, to in zip(cuts[:-1], cuts[1:]):
+            yield frame.iloc[at:to].reset_index(drop=True)
 
 
 def sorted_groups(frames: Iterator, key: str) -> Iterator:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import Scratch, in_chunks, mix64, sorted_groups, table, word_hashes
+from panelcast.llm.common import Scratch, mix64, sorted_groups, table, text_chunks, word_hashes
 
 SHINGLE, PERCENT = 5, 85
 REGISTERS, ROWS, BASE, RATE = 128, 4, 1.001, 20.0
@@ -112,8 +112,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def _sketch(frames):
-    for held in in_chunks(frames, lambda f: int(f["_text"].str.len().sum()), 4 << 20):
-        f = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+    for f in text_chunks(frames, 4 << 20):
         sets = shingle_sets(f["_text"].tolist())
         yield pd.DataFrame({
             "_id": f["_id"], "text_key": f["text_key"],
@@ -123,8 +122,7 @@ def _sketch(frames):
 
 
 def _sets(frames):
-    for held in in_chunks(frames, lambda f: int(f["_text"].str.len().sum()), 4 << 20):
-        f = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+    for f in text_chunks(frames, 4 << 20):
         sets = shingle_sets(f["_text"].tolist())
         yield pd.DataFrame({"node": [_set_id(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
 

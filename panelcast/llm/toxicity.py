@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import Scratch, crc_fold, in_chunks, table
+from panelcast.llm.common import Scratch, crc_fold, table, text_chunks
 
 MAX_LABELS, LEAST_TOXIC, Z = 20_000, 3, 2.0
 PREFIXES = (3, 4, 5, 6)
@@ -177,8 +177,8 @@ class Words:
 
 def _count_trigrams(frames):
     total = np.zeros(SYMBOLS**3, np.int64)
-    for held in in_chunks(frames, lambda f: int(f["_text"].str.len().sum()), 4 << 20):
-        total += trigram_cells([t for f in held for t in f["_text"]])
+    for f in text_chunks(frames, 4 << 20):
+        total += trigram_cells(f["_text"].tolist())
     at = np.flatnonzero(total)
     yield pd.DataFrame({"cell": at, "n": total[at]})
 
