@@ -24,7 +24,7 @@ from panelcast.llm.common import table
 
 def attribute(ends: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """Section number of each token (-1: none), for token byte ends and section byte spans in order, without overlap."""
-    begins = np.concatenate(([0], ends[:-1])).astype(np.int64)
+    begins = np.concatenate(([0], ends[:-1])).astype(np.int64)[: len(ends)]
     if not len(starts):
         return np.full(len(ends), -1)
     # Edges of all pieces of the line of bytes: gap, section, gap, section, ..., gap.
@@ -64,7 +64,7 @@ def section_tokens(
         where = files or public_files()
         enc, lengths = encoder(**where), byte_lengths(where["path"])
         for f in frames:
-            out = []
+            out, ids, totals = [], [], []
             for row in f.itertuples(index=False):
                 text = row[1] or ""
                 raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
@@ -87,22 +87,25 @@ def section_tokens(
                 crossing[inside] = (begins[inside] < starts[section[inside]]) | (ends[inside] > stops[section[inside]])
                 n = np.bincount(section + 1, minlength=len(starts) + 1)
                 c = np.bincount(section[crossing] + 1, minlength=len(starts) + 1)
-                part = pd.DataFrame({
-                    "section": np.arange(-1, len(starts)),
-                    "start": np.concatenate(([0], points[starts])), "stop": np.concatenate(([points[-1]], points[stops])),
-                    "n_tokens": n, "n_crossing": c})
-                part.insert(0, "_id", [row[0]] * len(part))
-                part["doc_tokens"] = len(ends)
-                out.append(part[(part["section"] >= 0) | (part["n_tokens"] > 0)])
+                keep = slice(0 if n[0] else 1, None)  # a row for tokens outside all sections only where there are any
+                out.append((
+                    np.arange(-1, len(starts))[keep], np.concatenate(([0], points[starts]))[keep],
+                    np.concatenate(([points[-1]], points[stops]))[keep], n[keep], c[keep]))
+                ids += [row[0]] * len(out[-1][0])
+                totals += [len(ends)] * len(out[-1][0])
             if out:
-                yield pd.concat(out, ignore_index=True)
+                parts = [np.concatenate(x) for x in zip(*out)]
+                yield pd.DataFrame({
+                    "_id": ids, "section": parts[0],
+                    "start": parts[1], "stop": parts[2], "n_tokens": parts[3], "n_crossing": parts[4], "doc_tokens": totals})
 
-    columns = [F.col(id_col).alias("_id"), F.col(text_col).alias("_text")]
+    columns = [F.col(id_col).cast("string").alias("_id"),  # text, as pandas has no NULL for integers
+                F.col(text_col).alias("_text")]
     if sections_col:
         columns.append(F.col(sections_col).alias("_sections"))
     return docs.select(*columns).mapInPandas(
-        fill, f"_id {id_type}, section long, start long, stop long, n_tokens long, n_crossing long, doc_tokens long",
-    ).withColumnRenamed("_id", id_col)
+        fill, "_id string, section long, start long, stop long, n_tokens long, n_crossing long, doc_tokens long",
+    ).withColumn("_id", F.col("_id").cast(id_type)).withColumnRenamed("_id", id_col)
 
 
 def op8_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
