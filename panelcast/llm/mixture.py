@@ -24,8 +24,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from panelcast.llm.common import Scratch, table, words
 
@@ -124,24 +126,24 @@ def _shard_quotas(block: int, max_repeat: float):
 
 
 def _taken(seed: int, block: int):
-    def fill(frames):
+    def run(batches):
         """Words taken of each row: overlaps of its span with the shard's blocks, times the blocks' counts."""
-        for f in frames:
-            lists = []
-            for rank, shard, quota, blocks, at, size in zip(
-                    f["source_rank"], f["shard"], f["quota"], f["blocks"], f["at"], f["size"]):
-                if size == 0 or quota == 0:
-                    lists.append([0] * (1 if size else 0))
-                    continue
-                base, more = divmod(int(quota), int(blocks))
-                first, last = at // block, (at + size - 1) // block
-                lists.append((base + (_ranks(seed, int(rank), int(shard), int(blocks))[first:last + 1] < more)).tolist())
-            f["times"] = lists
-            f["taken"] = [
-                sum(t * (min((b + 1) * block, at + size) - max(b * block, at)) for b, t in enumerate(ts, at // block))
-                for ts, at, size in zip(lists, f["at"], f["size"])]
-            yield f
-    return fill
+        for batch in batches:  # Arrow, so that carried columns pass through unchanged
+            columns = {c: batch.column(c).to_pylist() for c in ("source_rank", "shard", "quota", "blocks", "at", "size")}
+            lists, taken = [], []
+            for rank, shard, quota, blocks, at, size in zip(*columns.values()):
+                first, last = at // block, (at + max(size, 1) - 1) // block
+                times = [0] * (last - first + 1 if size else 0)
+                if size and quota:
+                    base, more = divmod(quota, blocks)
+                    times = (base + (_ranks(seed, rank, shard, blocks)[first:last + 1] < more)).tolist()
+                lists.append(times)
+                taken.append(sum(
+                    t * (min((b + 1) * block, at + size) - max(b * block, at)) for b, t in enumerate(times, first)))
+            table = pa.Table.from_batches([batch])
+            table = table.append_column("times", pa.array(lists, pa.list_(pa.int64()))).append_column("taken", pa.array(taken, pa.int64()))
+            yield from table.to_batches()
+    return run
 
 
 _rank_cache: dict[tuple, np.ndarray] = {}
@@ -196,8 +198,8 @@ def mix(
     columns = ["_id", *(f"c{i}" for i in range(len(carry))), "size", "source_size", "target", "source_rank", "shard",
                "blocks", "quota", "at"]
     out = joined.select(*columns)
-    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in out.schema)}, times array<long>, taken long"
-    return out.mapInPandas(_taken(seed, block), schema).withColumn(
+    schema = StructType([*out.schema, StructField("times", ArrayType(LongType())), StructField("taken", LongType())])
+    return out.mapInArrow(_taken(seed, block), schema).withColumn(
         "first_block", F.least(F.lit(block) - F.col("at") % block, F.col("size"))).drop(
         "source_rank", "shard", "blocks", "quota", "at")
 

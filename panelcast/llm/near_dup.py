@@ -265,7 +265,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn(
         "text_key", F.xxhash64("_text"))
     sketches = scratch.write(
-        named.mapInPandas(_sketch, f"_id {id_type}, text_key long, node long, n long, registers binary"), "sketches")
+        named.withColumn("_id", F.col("_id").cast("string"))  # text, as pandas has no NULL for integers
+        .mapInPandas(_sketch, "_id string, text_key long, node long, n long, registers binary")
+        .withColumn("_id", F.col("_id").cast(id_type)), "sketches")
     nodes = scratch.write(
         sketches.where("n > 0").groupBy("node").agg(
             F.min(F.struct("_id", "text_key")).alias("at"), F.any_value("n").alias("n"),

@@ -166,10 +166,7 @@ def _pack(idf_value, window, query_terms, kind, keep_ids):
                     rows.append((*row, part.astype(np.int64)) if keep_ids else row)
                     offset += k
             columns = ["_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-            frame = pd.DataFrame(rows, columns=columns + ["ids"] * keep_ids)
-            if frame["_id"].isna().any():
-                frame["_id"] = frame["_id"].astype("Int64") if g["_id"].dtype.kind in "fiu" else frame["_id"]
-            yield frame
+            yield pd.DataFrame(rows, columns=columns + ["ids"] * keep_ids)
     return run
 
 
@@ -183,8 +180,9 @@ def pack(
     id_type = dict(docs.dtypes)[id_col]
     vocab = max(end_id + 1, len(byte_lengths((files or public_files())["path"])))
     kind = "<u2" if vocab <= 65536 else "<u4"
-    named = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    tokens = scratch.write(named.mapInPandas(_encode(files, end_id, vocab), f"row long, _id {id_type}, ids binary, n long"), "tokens")
+    named = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text"))
+    # Ids travel as text, as pandas has no NULL for integers.
+    tokens = scratch.write(named.mapInPandas(_encode(files, end_id, vocab), "row long, _id string, ids binary, n long"), "tokens")
     total, rows = tokens.agg(F.sum("n"), F.count("*")).first()
     frequency = tokens.select("ids").mapInPandas(_frequencies(kind), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     df = np.zeros(vocab, np.float64)
@@ -193,10 +191,11 @@ def pack(
     idf = spark.sparkContext.broadcast(np.log1p((rows - df + 0.5) / (df + 0.5)))
     shards = max(1, math.ceil((total or 0) / shard_tokens))
     dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
-    out = f"_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    out = "_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     out += ", ids array<long>" if keep_ids else ""
     return dealt.repartition("shard").sortWithinPartitions("shard").mapInPandas(
-        _pack(idf, window, query_terms, kind, keep_ids), out).withColumnRenamed("_id", id_col)
+        _pack(idf, window, query_terms, kind, keep_ids), out).withColumn(
+        "_id", F.col("_id").cast(id_type)).withColumnRenamed("_id", id_col)
 
 
 def op4_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,8 +25,10 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from panelcast.llm.common import Scratch, crc_fold, table, text_chunks
 
@@ -242,11 +244,12 @@ def _evidence(cells, bounds, cut: float):
 
 
 def _score(cells, bounds, cut):
-    def run(frames):
+    def run(batches):
         score = _evidence(cells, bounds, cut)
-        for f in frames:
-            f["score"] = [score(t) for t in f["_text"]]
-            yield f.drop(columns="_text")
+        for batch in batches:  # Arrow, so that the other columns pass through unchanged
+            table = pa.Table.from_batches([batch])
+            scores = pa.array([score(t) for t in table["_text"].to_pylist()], pa.float64())
+            yield from table.drop_columns("_text").append_column("score", scores).to_batches()
     return run
 
 
@@ -258,8 +261,7 @@ class Model:
 
     def scores(self, frame: DataFrame) -> DataFrame:
         """``frame`` has a column ``_text`` without NULLs; it becomes ``score``, other columns stay."""
-        schema = ", ".join(f"`{n}` {t}" for n, t in frame.dtypes if n != "_text")
-        return frame.mapInPandas(_score(self.cells, self.bounds, self.cut), f"{schema}, score double")
+        return frame.mapInArrow(_score(self.cells, self.bounds, self.cut), StructType([*(f for f in frame.schema if f.name != "_text"), StructField("score", DoubleType())]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labels: int = MAX_LABELS) -> Model:
