@@ -61,7 +61,7 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
 # --- vectorised words of many texts -------------------------------------------------------------------------------
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SEGMENT = 1 << 21
+_SEGMENT = 1 << 20
 _powers: list[np.ndarray] = []
 
 _is_space = np.zeros(256, dtype=bool)
