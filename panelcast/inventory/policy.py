@@ -15,7 +15,9 @@ HISTORY_BASIS = "historical demand variability"
 
 
 def safety_stock(z: Column, std: Column, lead_time: Column) -> Column:
-    return F.greatest(F.lit(0.0), z * std * F.sqrt(lead_time.cast("double")))
+    """NULL when an input is missing."""
+    stock = z * std * F.sqrt(lead_time.cast("double"))
+    return F.when(stock.isNotNull(), F.greatest(F.lit(0.0), stock))
 
 
 def lead_time_demand(mean: Column, lead_time: Column) -> Column:
@@ -84,7 +86,7 @@ def recommendations(
     keys = list(spec.keys)
     stats = demand_statistics(demand, spec)
     if isinstance(params, DataFrame):
-        rows = stats.join(params, keys)
+        rows = stats.join(params, keys, "left")  # a series without parameters keeps its row, with NULL figures
         z = normal_inverse(F.col("service_level"))
     else:
         params = params or InventoryParams()

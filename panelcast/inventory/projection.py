@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.inventory.policy import safety_stock
 from panelcast.spec import SeriesSpec
 
 # Fixed value: an order covers this many average days, or twice the reorder point if that is more.
@@ -26,7 +27,7 @@ def project_inventory(
     gathered = forecasts.groupBy(*spec.keys).agg(
         F.sort_array(F.collect_list(F.struct("step", "yhat"))).alias("_pairs"), F.avg("yhat").alias("_mean")
     )
-    rows = gathered.join(policy.select(*spec.keys, "current_stock", "reorder_point", "lead_time"), list(spec.keys)).withColumns(
+    rows = gathered.join(policy.select(*spec.keys, "current_stock", "reorder_point", "lead_time"), list(spec.keys), "left").withColumns(
         {
             "_demand": F.transform("_pairs", lambda p: p["yhat"]),
             "_qty": F.greatest(F.col("_mean") * DAYS_PER_ORDER, F.col("reorder_point") * 2),
@@ -53,17 +54,20 @@ def project_inventory(
     def shown(c: str):
         return F.bround(c, 1) if display else F.col(c)
 
-    return rows.withColumn("_days", F.expr(fold)).select(*spec.keys, F.posexplode("_days").alias("period", "_day")).select(
+    # A series without a policy keeps its periods; level and orders are unknown.
+    known = F.col("current_stock").isNotNull() & F.col("reorder_point").isNotNull() & F.col("lead_time").isNotNull()
+    rows = rows.withColumn("_days", F.expr(fold)).withColumn("_known", known)
+    return rows.select(*spec.keys, "_known", F.posexplode("_days").alias("period", "_day")).select(
         *spec.keys, "period",
-        shown("_day.demand").alias("forecast_demand"), shown("_day.level").alias("inventory_level"),
-        F.col("_day.placed").alias("order_placed"),
+        shown("_day.demand").alias("forecast_demand"), F.when(F.col("_known"), shown("_day.level")).alias("inventory_level"),
+        F.when(F.col("_known"), F.col("_day.placed")).alias("order_placed"),
     )
 
 
 def default_policy(spread: DataFrame, spec: SeriesSpec, z: float, current_stock: float, lead_time: int) -> DataFrame:
     """Policy from the forecast itself where none is given; ``spread`` comes from ``forecast_spread``."""
     lead = F.lit(lead_time)
-    stock = F.greatest(F.lit(0.0), F.lit(z) * F.col("forecast_std") * F.sqrt(lead.cast("double")))
+    stock = safety_stock(F.lit(z), F.col("forecast_std"), lead)
     return spread.select(
         *spec.keys, F.lit(float(current_stock)).alias("current_stock"), stock.alias("safety_stock"),
         (F.col("forecast_mean") * lead + stock).alias("reorder_point"), lead.alias("lead_time"),

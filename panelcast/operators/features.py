@@ -48,7 +48,8 @@ def sliding_windows(df: DataFrame, spec: SeriesSpec, size: int, value: str | Non
     value = value or spec.demand
     before = spec.ordered().rowsBetween(-size, -1)
     return (
-        df.withColumn("window", F.collect_list(value).over(before))
+        df.withColumn("window", F.transform(  # structs keep missing values, which a plain list would leave out
+            F.collect_list(F.struct(F.col(value).alias("v"))).over(before), lambda x: x["v"]))
         .where(F.size("window") == size)
         .withColumnRenamed(value, "target")
     )

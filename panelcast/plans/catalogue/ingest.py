@@ -76,7 +76,7 @@ def _wide(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
 @query("S9_unpivot", sql(
     """SELECT d.date AS date, coalesce(t.units_sold, 0) AS demand
        FROM (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM totals) d
-       LEFT JOIN totals t USING (date) WHERE t.date IS NOT NULL""", ["totals"], doubles=["demand"], dates=["date"]))
+       LEFT JOIN totals t USING (date)""", ["totals"], doubles=["demand"], dates=["date"]))
 def unpivot(spark: SparkSession, sf: str) -> DataFrame:
     wide, start = _wide(spark, sf)
     stored = readers.read_csv(spark, writers.write_csv(wide, workspace(spark, "wide_csv")))

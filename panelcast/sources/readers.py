@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,34 @@ class IngestError(Exception):
 
 
 def read_csv(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
-    """Every column as text, so that no inference pass reads the files; cleaning casts later."""
-    return spark.read.options(header=True, inferSchema=False, **options).csv(path)
+    """Every column as text, so that no inference pass reads the files; cleaning casts later.
+
+    Several files are read by column name: those with the same header form one scan, and a column that a file lacks is NULL.
+    """
+    one = spark.read.options(header=True, inferSchema=False, **options).csv(path)
+    if len(one.inputFiles()) < 2:
+        return one
+    groups = _files_by_header(spark, path, options)
+    if len(groups) < 2:
+        return one
+    parts = [spark.read.options(header=True, inferSchema=False, **options).csv(files) for files in groups]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def _files_by_header(spark: SparkSession, path: str | list[str], options: Mapping[str, str]) -> list[list[str]]:
+    """Paths of the files of each distinct first line, in the order of the paths; one row per file reaches the driver."""
+    lines = spark.read.options(**{k: v for k, v in options.items() if k == "pathGlobFilter"}).text(path)
+    first = (
+        lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                     F.monotonically_increasing_id().alias("at"))
+        .where("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header")).orderBy("file").collect())
+    groups: dict[str, list[str]] = {}
+    for row in first:
+        groups.setdefault(row["header"], []).append(unquote(row["file"]))
+    return list(groups.values())
 
 
 def peek_columns(spark: SparkSession, path: str) -> list[str]:
@@ -98,12 +125,11 @@ def melt_wide(df: DataFrame, start_date: str, keys: Sequence[str] = (), demand:
     if not days:
         raise IngestError("no day columns d_<number> found")
     by_day = {int(d[2:]): d for d in days}
-    first = min(by_day)
-    slots = [F.col(by_day[i]) if i in by_day else F.lit(None) for i in range(first, max(by_day) + 1)]
-    cells = df.select(*keys, F.array(*slots).alias("_cells"))
-    long = cells.select(*keys, F.posexplode("_cells").alias("_i", "_text")).where(F.col("_text").isNotNull())
-    sums = long.groupBy(*keys, "_i").agg(F.sum(F.col("_text").try_cast("double")).alias(demand))
-    date = F.date_add(F.lit(start_date).cast("date"), F.col("_i") + (first - 1))
+    slots = [F.struct(F.lit(i).alias("i"), F.col(by_day[i]).alias("text")) for i in sorted(by_day)]
+    long = df.select(*keys, F.explode(F.array(*slots)).alias("_cell"))
+    value = F.sum(F.col("_cell.text").try_cast("double"))  # a day without any value sums to 0
+    sums = long.groupBy(*keys, F.col("_cell.i").alias("_i")).agg(F.coalesce(value, F.lit(0.0)).alias(demand))
+    date = F.date_add(F.lit(start_date).cast("date"), F.col("_i") - 1)
     return sums.select(*keys, date.alias("date"), demand)
 
 

@@ -21,6 +21,8 @@ class SeriesSpec:
     demand: str = "units_sold"
     keys: tuple[str, ...] = ("store_id", "sku_id")
     grain: str = "day"
+    # Tried in order after ISO text; month first where a day could be a month. Put the day first for such sources.
+    date_formats: tuple[str, ...] = ("yyyyMMdd", "yyyy/M/d", "M/d/yyyy", "d-M-yyyy", "MMM d, yyyy")
 
     @property
     def panel(self) -> bool:
@@ -41,9 +43,10 @@ class SeriesSpec:
 
         Day grain gives a DATE, a finer one a truncated TIMESTAMP.
         """
-        if self.grain == "day":
-            return stamp.try_cast("date")
-        return F.date_trunc(self.grain, stamp.try_cast("timestamp"))
+        kind = "date" if self.grain == "day" else "timestamp"
+        others = [F.try_to_timestamp(stamp.cast("string"), F.lit(f)).cast(kind) for f in self.date_formats]
+        read = F.coalesce(stamp.try_cast(kind), *others)
+        return read if self.grain == "day" else F.date_trunc(self.grain, read)
 
     def single(self) -> SeriesSpec:
         return replace(self, keys=())

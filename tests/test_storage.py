@@ -43,7 +43,7 @@ def test_csv_round_trip_and_skipped_sources(spark, panel, tmp_path):
 def test_wide_melt(spark):
     wide = spark.createDataFrame([("a", "1", "2", None), ("b", "10", None, "x")], "item_id string, d_1 string, d_2 string, d_4 string")
     got = {str(r.date): r.demand for r in readers.melt_wide(wide, "2024-01-01").collect()}
-    assert got == {"2024-01-01": 11.0, "2024-01-02": 2.0, "2024-01-04": None}
+    assert got == {"2024-01-01": 11.0, "2024-01-02": 2.0, "2024-01-04": 0.0}
 
 
 def test_manifest(spark, sf_dir):
