@@ -73,8 +73,11 @@ def _start(x: np.ndarray, p: int, q: int) -> np.ndarray:
     return np.zeros(p + q)
 
 
-def fit_css(y: np.ndarray, order: Order, iterations: int = 30) -> dict:
-    """Conditional-sum-of-squares fit by damped Gauss-Newton steps inside the stable region."""
+def fit_css(y: np.ndarray, order: Order, iterations: int = 300) -> dict:
+    """Conditional-sum-of-squares fit by damped Gauss-Newton steps inside the stable region.
+
+    ``converged`` is false when the steps ran out while the sum of squares still fell.
+    """
     p, d, q = order
     if min(order) < 0 or d > 2:
         raise ValueError(f"unsupported order {order}")
@@ -95,6 +98,7 @@ def fit_css(y: np.ndarray, order: Order, iterations: int = 30) -> dict:
     e = errors(beta)
     sse = float(e @ e)
     scale = max(float(np.std(w)), 1e-8)
+    converged = not len(beta)
     for _ in range(iterations if len(beta) else 0):
         jac = np.empty((len(w), len(beta)))
         for i in range(len(beta)):
@@ -113,10 +117,12 @@ def fit_css(y: np.ndarray, order: Order, iterations: int = 30) -> dict:
                     break
             damp /= 2
         if better is None:
+            converged = True
             break
         beta, e = better
         gain, sse = sse - float(e @ e), float(e @ e)
         if gain <= 1e-10 * max(sse, 1e-12):
+            converged = True
             break
     n = len(w)
     sigma2 = sse / n
@@ -126,22 +132,30 @@ def fit_css(y: np.ndarray, order: Order, iterations: int = 30) -> dict:
     return {
         "const": const, "ar": beta[k : k + p], "ma": beta[k + p :], "sigma2": sigma2,
         "aic": 2 * n_params - 2 * log_lik, "bic": n_params * np.log(n) - 2 * log_lik,
-        "w": w - const, "resid": e,
+        "w": w - const, "resid": e, "converged": converged,
     }
 
 
 def fit_with_fallback(y: np.ndarray, order: Order) -> tuple[Order, dict]:
+    """First order that converges; where none does, the first that could be fitted at all."""
     if len(y) < LEAST_OBSERVATIONS:
         raise ValueError(f"at least {LEAST_OBSERVATIONS} observations are needed, got {len(y)}")
     broken = int((~np.isfinite(y)).sum())
     if broken:
         raise ValueError(f"{broken} non-finite value(s)")
     problem: Exception | None = None
+    unfinished: tuple[Order, dict] | None = None
     for candidate in dict.fromkeys((tuple(order), *FALLBACK_ORDERS)):
         try:
-            return candidate, fit_css(y, candidate)
+            found = fit_css(y, candidate)
         except (ValueError, np.linalg.LinAlgError) as err:
             problem = err
+            continue
+        if found["converged"]:
+            return candidate, found
+        unfinished = unfinished or (candidate, found)
+    if unfinished:
+        return unfinished
     raise ValueError(f"no order could be fitted: {problem}")
 
 
@@ -156,6 +170,7 @@ def params_schema(df: DataFrame, spec: SeriesSpec) -> T.StructType:
         T.StructField("level", number), T.StructField("slope", number),
         T.StructField("resid_dates", T.ArrayType(T.DateType())), T.StructField("resid", numbers),
         T.StructField("status", T.StringType()), T.StructField("reason", T.StringType()),
+        T.StructField("converged", T.BooleanType()),
     ]
     return T.StructType(fields)
 
@@ -181,7 +196,7 @@ def fit_arima(
         row: dict = dict.fromkeys(names)
         row.update({k: pdf[k].iloc[0] for k in keys}, n_train=len(y), last_date=pdf[date_col].iloc[-1])
         if len(y) < min_rows:
-            row.update(status="skipped", reason=f"Insufficient training data: {len(y)}")
+            row.update(status="skipped", reason=f"{len(y)} periods, needs {min_rows}")
         else:
             try:
                 used, fit_ = fit_with_fallback(y, order)
@@ -193,9 +208,10 @@ def fit_arima(
                     w_tail=list(fit_["w"][::-1][:p]), e_tail=list(fit_["resid"][::-1][:q]),
                     level=float(y[-1]), slope=float(y[-1] - y[-2]) if d > 1 else 0.0,
                     resid_dates=list(pdf[date_col].iloc[d:]), resid=list(fit_["resid"]), status="fitted",
+                    converged=bool(fit_["converged"]),
                 )
             except Exception as err:  # reported per series
-                row.update(status="failed", reason=f"Fitting failed: {err}")
+                row.update(status="failed", reason=f"no fit: {err}")
         return pd.DataFrame([row], columns=names)
 
     return train.select(*spec.columns).groupBy(*keys).applyInPandas(fit, schema)
@@ -244,7 +260,7 @@ def arima_forecast(params: DataFrame, spec: SeriesSpec, steps: int | None = None
 
 def model_info(params: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Order and information criteria per series."""
-    return params.select(*spec.keys, "order", "aic", "bic", "status", "reason")
+    return params.select(*spec.keys, "order", "aic", "bic", "converged", "status", "reason")
 
 
 def fit_counts(params: DataFrame) -> DataFrame:

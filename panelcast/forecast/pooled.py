@@ -16,13 +16,17 @@ from panelcast.operators.alignment import SEQUENCE
 from panelcast.operators.scaling import scaled, unscaled
 from panelcast.spec import SeriesSpec
 
+# Fixed value: rounds without a better validation loss before boosting stops.
+PATIENCE = 8
+
 
 @dataclass
 class TrainedModel:
     model: Model
     seq: int
     seconds: float
-    losses: list[float] = field(default_factory=list)
+    losses: list[float] = field(default_factory=list)  # training loss after each round
+    val_losses: list[float] = field(default_factory=list)  # validation loss after each round; none for the linear model
 
 
 def training_rows(windows: DataFrame, seq: int, validation_share: float = 0.1) -> DataFrame:
@@ -37,21 +41,45 @@ def training_rows(windows: DataFrame, seq: int, validation_share: float = 0.1) -
     )
 
 
+def best_round(val_losses: list[float], patience: int = PATIENCE) -> tuple[int, int]:
+    """Number of rounds with the lowest loss, and the number looked at before patience ran out."""
+    best = 0
+    for i, loss in enumerate(val_losses):
+        if loss < val_losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, i + 1
+    return best + 1, len(val_losses)
+
+
 def fit_sequence_model(
     windows: DataFrame, seq: int, kind: str = "gbt", max_iter: int = 30, validation_share: float = 0.1, **overrides
 ) -> TrainedModel:
-    """Distributed fit of boosted trees (early stopping on validation rows) or of a linear model."""
+    """Distributed fit of boosted trees or of a linear model.
+
+    Trees are fitted on training rows; the rounds up to the lowest validation loss are kept, looked for with patience.
+    A fit with fewer rounds grows the same first trees, so the kept prefix is fitted once more. Without validation rows all
+    rounds are kept.
+    """
     rows = training_rows(windows, seq, validation_share).persist()
     started = time.perf_counter()
+    val_losses: list[float] = []
     try:
         if kind == "linear":
             model = LinearRegression(**{"regParam": 1e-6, "elasticNetParam": 0.0, **overrides}).fit(rows)
             losses = [model.summary.meanSquaredError]
         else:
             options = {"maxIter": max_iter, "maxDepth": 5, "stepSize": 0.1, "seed": 42, **overrides}
-            model = GBTRegressor(validationIndicatorCol="is_validation", **options).fit(rows)
-            losses = list(model.evaluateEachIteration(rows, "squared"))
-        return TrainedModel(model, seq, time.perf_counter() - started, losses)
+            train, held = rows.where(~F.col("is_validation")), rows.where("is_validation")
+            model = GBTRegressor(**options).fit(train)
+            losses = list(model.evaluateEachIteration(train, "squared"))
+            if not held.isEmpty():
+                val_losses = list(model.evaluateEachIteration(held, "squared"))
+                best, seen = best_round(val_losses)
+                losses, val_losses = losses[:seen], val_losses[:seen]
+                if best < len(model.trees):
+                    model = GBTRegressor(**{**options, "maxIter": best}).fit(train)
+        return TrainedModel(model, seq, time.perf_counter() - started, losses, val_losses)
     finally:
         rows.unpersist()
 

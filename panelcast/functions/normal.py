@@ -73,7 +73,10 @@ def normal_cdf(x: Column) -> Column:
 
 
 def normal_inverse(p: Column) -> Column:
-    """Inverse normal per row: rational start, then one Newton step; NULL outside (0, 1)."""
+    """Inverse normal per row: rational start, then one Newton step; NULL outside (0, 1).
+
+    The start is bound once as a lambda argument; pasted in at each use it would outgrow generated code.
+    """
     centre = p - 0.5
     square = centre * centre
     middle = centre * _horner(ACKLAM_A, square) / _horner(ACKLAM_B, square)
@@ -82,6 +85,8 @@ def normal_inverse(p: Column) -> Column:
     low = _horner(ACKLAM_C, low_t) / _horner(ACKLAM_D, low_t)
     high = -_horner(ACKLAM_C, high_t) / _horner(ACKLAM_D, high_t)
     start = F.when(p < ACKLAM_TAIL, low).when(p > 1 - ACKLAM_TAIL, high).otherwise(middle)
-    density = F.exp(-start * start / 2.0) / math.sqrt(2 * math.pi)
-    refined = start - (normal_cdf(start) - p) / density
-    return F.when((p > 0) & (p < 1), refined)
+
+    def refined(z: Column) -> Column:
+        return z - (normal_cdf(z) - p) / (F.exp(-z * z / 2.0) / math.sqrt(2 * math.pi))
+
+    return F.when((p > 0) & (p < 1), F.transform(F.array(start), refined)[0])

@@ -69,7 +69,7 @@ def series_status(df: DataFrame, spec: SeriesSpec, rule: SplitRule, seq: int | N
         "n_rows",
         split.alias("split_idx"),
         F.when(enough, "ok").otherwise("skipped").alias("status"),
-        F.when(~enough, F.format_string("Insufficient data: %d rows", "n_rows")).alias("reason"),
+        F.when(~enough, F.format_string("too short: %d rows", "n_rows")).alias("reason"),
     ]
     if seq is not None:
         columns += [

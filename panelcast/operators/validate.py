@@ -72,7 +72,7 @@ def validate_data(df: DataFrame, spec: SeriesSpec, seq_length: int = 30) -> Data
     """Findings as (rule, severity, value, message); an error means the data cannot be used."""
     absent = missing_columns(df, spec.columns)
     if absent:
-        found = [_finding("missing_column", "error", F.lit(None), F.lit(f"Column '{c}' not found in dataset."), F.lit(True)) for c in absent]
+        found = [_finding("missing_column", "error", F.lit(None), F.lit(f"There is no column {c}."), F.lit(True)) for c in absent]
         return _findings(df.sparkSession.range(1), found)
     demand = to_number(F.col(spec.demand))
     unreadable = F.col(spec.date).isNotNull() & to_timestamp_or_null(F.col(spec.date)).isNull()
@@ -111,7 +111,7 @@ def validate_data(df: DataFrame, spec: SeriesSpec, seq_length: int = 30) -> Data
         _finding("dates", "warning", F.col("bad_dates"),
                  F.format_string("%d dates cannot be read and their rows will be dropped.", "bad_dates"),
                  some & (F.col("bad_dates") > 0) & (F.col("bad_dates") < F.col("dates"))),
-        _finding("numeric", "error", bad, F.lit(f"Column '{spec.demand}' contains no numeric values."), some & (numeric == 0)),
+        _finding("numeric", "error", bad, F.lit(f"No value of {spec.demand} is a number."), some & (numeric == 0)),
         _finding("numeric", "warning", bad, F.format_string("%d non-numeric demand values found.", bad), some & (numeric > 0) & (bad > 0)),
         _finding("row_count", "warning", rows, F.format_string(f"Only %d rows found, at least {LEAST_ROWS} are needed.", rows), some & (rows < LEAST_ROWS)),
         _finding("variance", "warning", F.lit(0), F.lit("Demand has zero variance."), usable & (numeric > 1) & (F.col("low") == F.col("high"))),

@@ -129,7 +129,7 @@ def position(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("J1_history", sql(
-    """SELECT store_id, sku_id, n_test, n_train, last_train_date, CASE WHEN n_train IS NULL THEN 'No training data for this group' ELSE 'ok' END AS status
+    """SELECT store_id, sku_id, n_test, n_train, last_train_date, CASE WHEN n_train IS NULL THEN 'no history' ELSE 'ok' END AS status
        FROM (SELECT store_id, sku_id, count(*) AS n_test FROM test GROUP BY ALL)
        LEFT JOIN (SELECT store_id, sku_id, count(*) AS n_train, max(date) AS last_train_date FROM history WHERE store_id <> 'S4' GROUP BY ALL) USING (store_id, sku_id)""",
     ["placed"], dates=["last_train_date"], **STEPS_SQL))

@@ -220,6 +220,35 @@ def overstock(spark: SparkSession, sf: str) -> DataFrame:
     return shown(risk.overstock_risk(demand(spark, sf), PANEL, 900, 0.5, 30))
 
 
+STOCKS = "SELECT 'S' || CAST(s AS VARCHAR) AS store_id, p_brand AS sku_id, CAST(sum(p_size) AS DOUBLE) AS current_stock, CAST(max(p_size) % 9 + 1 AS INTEGER) AS lead_time, min(p_size) / CAST(8 AS DOUBLE) AS holding_cost FROM part, range(4) r(s) GROUP BY ALL"
+
+
+def stocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Stock, lead time and holding cost per series, from part sizes; one store has no row."""
+    by_brand = table(spark, sf, "part").groupBy(F.col("p_brand").alias("sku_id")).agg(
+        F.sum("p_size").cast("double").alias("current_stock"), (F.max("p_size") % 9 + 1).cast("int").alias("lead_time"),
+        (F.min("p_size") / F.lit(8.0)).alias("holding_cost"),
+    )
+    stores = F.explode(F.array(*[F.lit(f"S{i}") for i in range(4)]))
+    return by_brand.withColumn("store_id", stores)
+
+
+@query("I8_stockout_table", sql(
+    f"""SELECT store_id, sku_id, CASE WHEN std = 0 THEN CASE WHEN current_stock >= mean * lead_time THEN 0 WHEN current_stock < mean * lead_time THEN 1 END
+               WHEN z IS NOT NULL THEN greatest(0, least(1, 1 - ({cdf_sql('z')}))) END AS stockout_probability
+        FROM (SELECT *, (current_stock - mean * lead_time) / nullif(std * sqrt(lead_time), 0) AS z FROM stats LEFT JOIN stocks USING (store_id, sku_id))""",
+    ["clean"], doubles=["stockout_probability"], stocks=STOCKS, **STATS))
+def stockout_table(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(risk.stockout_risk(demand(spark, sf), PANEL, stocks(spark, sf).drop("holding_cost")))
+
+
+@query("I9_overstock_table", sql(
+    """SELECT store_id, sku_id, CASE WHEN current_stock IS NOT NULL THEN greatest(current_stock - mean * 30, 0) * holding_cost * 30 END AS overstock_cost
+       FROM stats LEFT JOIN stocks USING (store_id, sku_id)""", ["clean"], doubles=["overstock_cost"], stocks=STOCKS, **STATS))
+def overstock_table(spark: SparkSession, sf: str) -> DataFrame:
+    return shown(risk.overstock_risk(demand(spark, sf), PANEL, stocks(spark, sf).drop("lead_time"), horizon=30))
+
+
 @query("I10_params", """
     SELECT p_partkey, concat_ws('; ', CASE WHEN NOT (level > 0 AND level < 1) THEN 'service_level must lie strictly between 0 and 1' END,
                CASE WHEN NOT lead BETWEEN 1 AND 365 THEN 'lead_time must be 1 to 365 days' END, CASE WHEN p_size - 3 <= 0 THEN 'ordering_cost must be positive' END) AS reason

@@ -12,7 +12,7 @@ from panelcast.operators.scaling import fit_minmax
 from panelcast.operators.splits import hybrid_rule, sequence_rule, split_series, split_windows
 from panelcast.plans.catalogue.base import PANEL, daily, query, shown, sql, table, totals
 from panelcast.plans.catalogue.features import BY, as_text, text_of
-from panelcast.plans.catalogue.forecasts import STEPS_SQL, split
+from panelcast.plans.catalogue.forecasts import STEP_LIST, STEPS_SQL, split
 from panelcast.plans.training import future_forecast, generate_submission, train_and_backtest
 from panelcast.session import workspace, written
 from panelcast.spec import keyed
@@ -52,16 +52,16 @@ def linear_fit(spark: SparkSession, sf: str) -> DataFrame:
 @query("M3_recursive")
 def recursive(spark: SparkSession, sf: str) -> DataFrame:
     """Thirty steps ahead for every series by repeated one-step predictions of the trees."""
-    rows = daily(spark, sf)
-    model = pooled.fit_sequence_model(windows(spark, sf), SEQ)
+    rows = written(daily(spark, sf), "daily")
+    model = pooled.fit_sequence_model(split_windows(rows, PANEL, SEQ, sequence_rule(SEQ)), SEQ)
     state = pooled.contexts(tail_windows(rows, PANEL, SEQ, pad=False), scalers(rows), PANEL)
     return pooled.sequence_forecast(model, state, PANEL, STEPS)
 
 
 @query("M3_recursive_linear")
 def recursive_linear(spark: SparkSession, sf: str) -> DataFrame:
-    rows = daily(spark, sf)
-    model = pooled.fit_sequence_model(windows(spark, sf), SEQ, kind="linear")
+    rows = written(daily(spark, sf), "daily")
+    model = pooled.fit_sequence_model(split_windows(rows, PANEL, SEQ, sequence_rule(SEQ)), SEQ, kind="linear")
     state = pooled.contexts(tail_windows(rows, PANEL, SEQ, pad=False), scalers(rows), PANEL)
     return pooled.sequence_forecast(model, state, PANEL, STEPS)
 
@@ -72,6 +72,27 @@ def arima_future(spark: SparkSession, sf: str) -> DataFrame:
     return arima.arima_forecast(params, PANEL, STEPS)
 
 
+@query("M4_arima_walk", sql(
+    f"""SELECT store_id, sku_id, 'ARIMA' AS model, step, CAST(last_date + step AS DATE) AS date, level AS yhat
+        FROM (SELECT store_id, sku_id, max(date) AS last_date, arg_max(units_sold, date) AS level FROM daily GROUP BY ALL HAVING count(*) >= 3), {STEP_LIST}""",
+    ["daily"], doubles=["yhat"], dates=["date"]))
+def arima_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """The fitter and its fold at order (0,1,0), where the forecast is the last value."""
+    return shown(arima.arima_forecast(arima.fit_arima(daily(spark, sf), PANEL, (0, 1, 0), min_rows=3), PANEL, STEPS))
+
+
+@query("M11_info_walk", sql(
+    """SELECT store_id, sku_id, n, sse / n AS sigma2, 2 + n * (ln(2 * pi() * greatest(sse / n, 1e-12)) + 1) AS aic,
+              ln(n) + n * (ln(2 * pi() * greatest(sse / n, 1e-12)) + 1) AS bic
+       FROM (SELECT store_id, sku_id, count(d) AS n, sum(d * d) AS sse
+             FROM (SELECT *, units_sold - lag(units_sold) OVER (PARTITION BY store_id, sku_id ORDER BY date) AS d FROM daily)
+             GROUP BY ALL HAVING count(*) >= 3)""", ["daily"], doubles=["sigma2", "aic", "bic"]))
+def info_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """Variance and information criteria at order (0,1,0), whose closed form is known."""
+    params = arima.fit_arima(daily(spark, sf), PANEL, (0, 1, 0), min_rows=3).where("status = 'fitted'")
+    return shown(params.select(*KEY, (F.col("n_train") - 1).alias("n"), "sigma2", "aic", "bic"))
+
+
 @query("M9_panel_fit", sql(
     "SELECT status, count(*) AS n_series FROM (SELECT CASE WHEN count(*) < 20 THEN 'skipped' ELSE 'fitted' END AS status FROM history GROUP BY store_id, sku_id) GROUP BY status",
     ["placed"], **STEPS_SQL))
@@ -122,7 +143,7 @@ def single(spark: SparkSession, sf: str) -> DataFrame:
     from panelcast.plans.catalogue.base import SINGLE
 
     rows, spec = keyed(totals(spark, sf), SINGLE)
-    return train_and_backtest(rows, spec, SEQ, kind="linear", booster={"maxIter": 20}).metrics
+    return train_and_backtest(rows, spec, SEQ).metrics
 
 
 @query("M14_panel_training")
@@ -132,27 +153,25 @@ def panel_training(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("M15_future")
 def panel_future(spark: SparkSession, sf: str) -> DataFrame:
-    rows = daily(spark, sf)
-    trained = train_and_backtest(rows, PANEL, SEQ, kind="linear", booster={"maxIter": 20})
-    return future_forecast(trained, rows, PANEL, STEPS)
+    trained = train_and_backtest(daily(spark, sf), PANEL, SEQ)
+    return future_forecast(trained, trained.clean, PANEL, STEPS)
 
 
 @query("M17_submission_models")
 def model_submission(spark: SparkSession, sf: str) -> DataFrame:
     """The best model fills one record per test row."""
     history, test = split(spark, sf)
-    history = written(history, "history")
-    trained = train_and_backtest(history, PANEL, SEQ, kind="linear", booster={"maxIter": 20})
+    trained = train_and_backtest(history, PANEL, SEQ)
     rows = test.drop("units_sold").withColumn("record_ID", F.concat_ws("_", *KEY, F.col("date").cast("string")))
-    return generate_submission(trained, history, rows, PANEL)
+    return generate_submission(trained, trained.clean, rows, PANEL)
 
 
 @query("M19_runs")
 def runs(spark: SparkSession, sf: str) -> DataFrame:
-    """Training record: model, number of iterations, last loss."""
+    """Both losses after each boosting round, up to the round at which patience ran out."""
     model = pooled.fit_sequence_model(windows(spark, sf), SEQ)
-    rows = [("Sequence", i, float(loss)) for i, loss in enumerate(model.losses)]  # one per boosting round
-    return spark.createDataFrame(rows, "model string, iteration int, loss double")
+    rows = [("Sequence", i, float(a), float(b)) for i, (a, b) in enumerate(zip(model.losses, model.val_losses))]
+    return spark.createDataFrame(rows, "model string, iteration int, loss double, val_loss double")
 
 
 # ---- registry: each user of the event log is a model, registered by its first event and updated by the others

@@ -22,6 +22,7 @@ from panelcast.spec import SeriesSpec
 
 @dataclass
 class Trained:
+    clean: DataFrame
     sequence: TrainedModel
     hybrid: HybridModel
     scalers: DataFrame
@@ -41,6 +42,7 @@ def train_and_backtest(
 
     A single series takes part as a panel of one; see ``panelcast.spec.keyed``.
     """
+    clean = written(clean, "clean")  # read by windows, split, alignment, scalers, status and later forecasts
     rule = sequence_rule(seq, test_size)
     windows = split_windows(clean, spec, seq, rule).persist()
     try:
@@ -66,13 +68,13 @@ def train_and_backtest(
         align_actuals(clean, shared, spec).join(both, on, "left_semi"), "backtest"
     )
     runs = clean.sparkSession.createDataFrame(
-        [("Sequence", sequence.seconds, sequence.losses), ("Hybrid", hybrid.seconds, [])],
-        "model string, seconds double, losses array<double>",
+        [("Sequence", sequence.seconds, sequence.losses, sequence.val_losses), ("Hybrid", hybrid.seconds, [], [])],
+        "model string, seconds double, losses array<double>, val_losses array<double>",
     )
     metrics = error_metrics(backtest)
     scaler_rows = split_series(clean, spec, rule)
     scalers = fit_minmax(scaler_rows, spec, ~F.col("is_test"))
-    return Trained(sequence, hybrid, scalers, train, backtest, metrics, series_status(clean, spec, rule, seq), runs, seq)
+    return Trained(clean, sequence, hybrid, scalers, train, backtest, metrics, series_status(clean, spec, rule, seq), runs, seq)
 
 
 def future_forecast(trained: Trained, clean: DataFrame, spec: SeriesSpec, steps: int) -> DataFrame:
@@ -97,7 +99,8 @@ def generate_submission(
     Each series continues from the end of its own history. A series that cannot be predicted
     raises an error instead of getting made-up values.
     """
-    selected = model or choose_model(trained.metrics.where(F.col("model").isin(SEQUENCE, HYBRID)))
+    losses = trained.runs.select("model", F.array_min("val_losses").alias("val_loss"))
+    selected = model or choose_model(trained.metrics.where(F.col("model").isin(SEQUENCE, HYBRID)), losses)
     needs = test.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("n_test"))
     asked = tail_windows(clean, spec, trained.seq, pad=True).join(needs, list(spec.keys))
     state = contexts(asked, trained.scalers, spec)

@@ -103,7 +103,7 @@ def test_window_counts_and_skips(panel):
     assert windows.select("store_id").distinct().count() == 1
     assert windows.where("is_test").count() == 60 - 48 and windows.count() == 30
     status = {r.store_id: r for r in splits.series_status(df, SPEC, rule, 30).collect()}
-    assert status["A"].split_idx == 48 and status["B"].reason == "Insufficient data: 39 rows"
+    assert status["A"].split_idx == 48 and status["B"].reason == "too short: 39 rows"
 
 
 def test_constant_series_scales_to_itself(panel):

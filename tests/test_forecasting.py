@@ -74,7 +74,7 @@ def test_status_per_series(panel):
     df = panel({("A", "x"): np.arange(30) % 7, ("B", "x"): range(10), ("C", "x"): [*range(29), None]})
     out = {r.store_id: (r.status, r.reason) for r in arima.fit_arima(df, SPEC, min_rows=20).collect()}
     assert out["A"] == ("fitted", None)
-    assert out["B"] == ("skipped", "Insufficient training data: 10")
+    assert out["B"] == ("skipped", "10 periods, needs 20")
     assert out["C"][0] == "failed" and "non-finite" in out["C"][1]
 
 
@@ -151,3 +151,28 @@ def test_train_forecast_submit(spark, panel):
     stranger = test.limit(1).withColumn("store_id", F.lit("S9"))
     with pytest.raises(ValueError, match="S9"):
         generate_submission(trained, history, test.unionByName(stranger), SPEC)
+
+
+def test_best_round_waits_for_patience():
+    assert pooled.best_round([3.0, 2.0, 1.0]) == (3, 3)
+    assert pooled.best_round([3.0, 1.0, 2.0, 0.5, 2.0], patience=2) == (4, 5)
+    assert pooled.best_round([3.0, 1.0, 2.0, 2.0, 0.5], patience=2) == (2, 4)
+
+
+def test_trees_are_kept_where_a_signal_exists(spark):
+    """A seasonal panel keeps more than one tree, and the kept rounds end at the lowest validation loss."""
+    days = spark.range(3 * 200).select(
+        F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("store_id"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") / 3).cast("int")).alias("date"),
+        (20 + 10 * F.sin(F.floor(F.col("id") / 3) * 2 * 3.141592653589793 / 7)).alias("units_sold"))
+    windows = split_windows(days, SPEC, 14, sequence_rule(14))
+    trained = pooled.fit_sequence_model(windows, 14)
+    best = min(trained.val_losses)
+    assert len(trained.model.trees) == trained.val_losses.index(best) + 1 > 1
+    assert best < trained.val_losses[0] / 4
+
+
+def test_fit_says_whether_it_converged():
+    y = np.cumsum(np.random.default_rng(3).normal(size=200))
+    assert arima.fit_css(y, (1, 1, 1))["converged"]
+    assert not arima.fit_css(y, (1, 1, 1), iterations=0)["converged"]
