@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ from panelcast.llm.common import Scratch, crc_fold, table, text_chunks
 
 MAX_LABELS, LEAST_TOXIC, Z = 20_000, 3, 2.0
 PREFIXES = (3, 4, 5, 6)
-CACHE = 400_000
+CACHE, FEATURE_CACHE = 400_000, 100_000
 
 # Letters that signs commonly stand for.
 LEET = {
@@ -54,9 +55,9 @@ for _i in range(0x250):
     _c = chr(_i).lower()
     _table[_i] = _code.get(_c, DIGIT if _c.isdigit() else OTHER if _c.isalpha() else GAP)
 _NOISY = re.compile(r"(.)\1\1|[^\W\d_][\W\d_]+[^\W\d_]|^[\W\d_]+[^\W\d_]{2}|[^\W\d_]{2}[\W\d_]+$", re.S)
-_SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][\x20\x09-\x0D]){2,}[^\W\d_](?!\S)")
+_THRICE = re.compile(r"(.)\1\1", re.S)
+_SPACED = re.compile(r"(?<!\S)(?:[^\W\d_]\s){2,}[^\W\d_](?!\S)")
 _SPELLED = re.compile(r"(?:[^\W\d_][\W_])+[^\W\d_]")
-_SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 _EDGE = ".,;:?\"'()[]{}…«»“”‘’"
 
 
@@ -109,7 +110,7 @@ class Decoder:
     def decode(self, word: str) -> str:
         edges, log_p = self.lattice(word), self.log_p
         layers: list[dict] = [{} for _ in range(len(edges) + 1)]
-        layers[0] = {(GAP, GAP): (0.0, "")}
+        layers[0] = {(GAP, GAP): (0.0, None)}  # a path is (path before, letter): long words are not copied at every step
         for at, options in enumerate(edges):
             states = layers[at]
             if not states:
@@ -118,64 +119,68 @@ class Decoder:
                 states = dict(sorted(states.items(), key=lambda kv: -kv[1][0])[:BEAM])
             for to, symbols, cost in options:
                 target = layers[to]
-                for (a, b), (score, text) in states.items():
-                    s, x, y, done = score + cost, a, b, text
+                for (a, b), (score, path) in states.items():
+                    s, x, y, done = score + cost, a, b, path
                     for c in symbols:
                         k = GAP if c == " " else _code.get(c) or (DIGIT if c.isdigit() else OTHER)
                         if k == GAP and y == GAP:
                             continue
                         s += log_p[x][y][k]
-                        x, y, done = y, k, done + c
+                        x, y, done = y, k, (done, c)
                     held = target.get((x, y))
                     if held is None or s > held[0]:
                         target[(x, y)] = (s, done)
             layers[at] = {}
         best = max(layers[-1].items(), key=lambda kv: kv[1][0] + (0 if kv[0][1] == GAP else log_p[kv[0][0]][kv[0][1]][GAP]))
-        return best[1][1]
+        path, letters = best[1][1], []
+        while path is not None:
+            path, c = path
+            letters.append(c)
+        return "".join(reversed(letters))
 
     def restored(self, word: str) -> list[str]:
         """Words that a lower-cased run of non-space characters stands for."""
         bare = word.strip(_EDGE)
-        if not bare or bare.isalpha() and not _NOISY.search(bare) or not _NOISY.search(bare):
+        if not bare or not (_THRICE if bare.isalpha() else _NOISY).search(bare):
             return [bare] if bare else []
         return [w for w in self.decode(bare).split(" ") if w]
 
 
 def restore_text(decoder: Decoder, text: str) -> str:
     """A whole text with disguised words restored; single letters set apart by spaces are read as one lattice."""
-    text = _SPACED.sub(lambda m: _SPLIT.sub("-", m[0]), text.lower())
-    return " ".join(w for x in _SPLIT.split(text) if x for w in decoder.restored(x))
+    text = _SPACED.sub(lambda m: "-".join(m[0].split()), text.lower())
+    return " ".join(w for x in text.split() for w in decoder.restored(x))
 
 
 def features(word: str) -> list[str]:
     return ["=" + word] + [word[:k] for k in PREFIXES if len(word) >= k]
 
 
+def distinct_words(text: str) -> set[str]:
+    """Lower-cased words of a text, and its rows of single letters, each joined by hyphens."""
+    text = text.lower()
+    found = set(text.split())
+    for m in _SPACED.finditer(text):
+        found.add("-".join(m[0].split()))
+    return found
+
+
 class Words:
-    """Restored words of texts, with a cache of the words met before."""
+    """What ``value`` gives for the restored words of a word, with a cache of the words met before."""
 
-    def __init__(self, decoder: Decoder, value=None):
-        self.decoder, self.value, self.cache = decoder, value, {}
+    def __init__(self, decoder: Decoder, value, room: int = CACHE):
+        self.decoder, self.value, self.room, self.cache = decoder, value, room, {}
 
     def look_up(self, word: str):
         got = self.cache.get(word)
         if got is None:
-            if len(self.cache) >= CACHE:
+            if len(self.cache) >= self.room:
                 self.cache.clear()
-            words = self.decoder.restored(word)
-            got = words if self.value is None else max((self.value.get(f, 0.0) for w in words for f in features(w)), default=0.0)
+            got = self.value(self.decoder.restored(word))
             if len(word) < 200:
                 self.cache[word] = got
         return got
 
-    def distinct(self, text: str) -> set[str]:
-        text = text.lower()
-        found = set(_SPLIT.split(text))
-        for m in _SPACED.finditer(text):
-            found.add(_SPLIT.sub("-", m[0]))
-        found.discard("")
-        return found
-
 
 def _count_trigrams(frames):
     total = np.zeros(SYMBOLS**3, np.int64)
@@ -187,16 +192,15 @@ def _count_trigrams(frames):
 
 def _count_features(cells):
     def run(frames):
-        words = Words(Decoder(cells.value))
+        words = Words(Decoder(cells.value), lambda restored: tuple({x for r in restored for x in features(r)}), FEATURE_CACHE)
         for f in frames:
-            held: dict[str, list[int]] = {}
+            held, taught = Counter(), Counter()
             for text, toxic in zip(f["_text"], f["toxic"]):
-                mine = {x for w in words.distinct(text) for r in words.look_up(w) for x in features(r)}
-                for x in mine:
-                    n = held.setdefault(x, [0, 0])
-                    n[0] += 1
-                    n[1] += toxic
-            yield pd.DataFrame([(k, d, t) for k, (d, t) in held.items()], columns=["feature", "d", "t"])
+                mine = set().union(*map(words.look_up, distinct_words(text)))
+                held.update(mine)
+                if toxic:
+                    taught.update(mine)
+            yield pd.DataFrame([(k, d, taught[k]) for k, d in held.items()], columns=["feature", "d", "t"])
     return run
 
 
@@ -209,11 +213,12 @@ def _left_out(cells, counts):
     """Evidence of the labelled texts without their own label, in thousandths."""
     def run(frames):
         table = counts.value
-        words = Words(Decoder(cells.value))
+        words = Words(
+            Decoder(cells.value), lambda restored: tuple({x for r in restored for x in features(r) if x in table}), FEATURE_CACHE)
         for f in frames:
             evidence = []
             for text, toxic in zip(f["_text"], f["toxic"]):
-                mine = {x for w in words.distinct(text) for r in words.look_up(w) for x in features(r)} & table.keys()
+                mine = set().union(*map(words.look_up, distinct_words(text)))
                 evidence.append(max((
                     lower_bound(table[x][0] - toxic, table[x][1] - 1) for x in mine if table[x][1] > 1), default=0.0))
             yield pd.DataFrame({"e": np.floor(np.array(evidence) * 1000).astype(int), "toxic": f["toxic"]})
@@ -234,11 +239,22 @@ def best_cut(rows: list[tuple[int, int, int]]) -> float:
     return cut
 
 
+_worker: list = []  # the last model used by this worker process and its words, kept from task to task
+
+
+def _known_words(cells, bounds) -> Words:
+    table = bounds.value
+    if not _worker or _worker[0] is not table:
+        _worker[:] = [table, Words(Decoder(cells.value), lambda restored: max(
+            (table.get(x, 0.0) for r in restored for x in features(r)), default=0.0))]
+    return _worker[1]
+
+
 def _evidence(cells, bounds, cut: float):
-    words = Words(Decoder(cells.value), bounds.value)
+    words = _known_words(cells, bounds)
 
     def score(text: str) -> float:
-        e = max((words.look_up(w) for w in words.distinct(text)), default=0.0) if text else 0.0
+        e = max(map(words.look_up, distinct_words(text)), default=0.0)
         return 0.5 * e / cut if e < cut else 0.5 + 0.5 * (e - cut) / max(1 - cut, 1e-9)
     return score
 
