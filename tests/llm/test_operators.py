@@ -341,6 +341,38 @@ def test_toxicity(spark, docs, none):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_decoding_finds_the_best_path():
+    decoder = toxicity.Decoder(toxicity.trigram_cells(["the cat sat on a mat", "gross slime oozes", "tell all trolls", None]))
+
+    def paths(edges, at):
+        if at == len(edges):
+            yield 0.0, ()
+            return
+        for to, symbols, cost in edges[at]:
+            for rest, tail in paths(edges, to):
+                yield cost + rest, symbols + tail
+
+    def worth(cost, symbols):
+        x = y = toxicity.GAP
+        for c in symbols:
+            k = toxicity.GAP if c == " " else toxicity._code.get(c) or (toxicity.DIGIT if c.isdigit() else toxicity.OTHER)
+            if k == toxicity.GAP and y == toxicity.GAP:
+                continue
+            cost += decoder.log_p[x][y][k]
+            x, y = y, k
+        return cost if y == toxicity.GAP else cost + decoder.log_p[x][y][toxicity.GAP]
+
+    for word in ["c@t", "tr0ll", "t-r-o-l-l", "sl!!me", "gro$$", "cccat", "7e1l", "a.b", "###", "saaat0n", "te||"]:
+        best = max(worth(*p) for p in paths(decoder.lattice(word), 0))
+        # The decoded text, as some path of the lattice, is worth as much as the best of all paths.
+        texts = {}
+        for cost, symbols in paths(decoder.lattice(word), 0):
+            text = "".join(c for i, c in enumerate(symbols) if c != " " or i and symbols[i - 1] != " ").lstrip(" ")
+            texts[text] = max(texts.get(text, -1e9), worth(cost, symbols))
+        assert abs(texts[decoder.decode(word)] - best) < 1e-9, word
+    assert len(decoder.decode("a1b!" * 20_000)) >= 40_000  # one very long word
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(1500, 12)).astype(np.float32)
