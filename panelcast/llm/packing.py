@@ -1,14 +1,20 @@
 """Packing by lexical retrieval: a sharded BM25 inverted index fills each window with unused neighbours of its seed.
 
 Documents are encoded once and stored (an end id closes each). Windows that one document fills alone are cut off first. What
-is left of every document, less than a window, is dealt by row to shards of about ``shard_tokens`` tokens. A shard builds an
+is left of every document, less than a window, goes to a shard of at most about ``shard_tokens`` tokens that holds its lexical
+neighbours: its BM25 weights are projected to ``DIM`` numbers, a tree of median splits along principal directions, fitted on a
+bounded sample, gives its leaf, and shards are cut from the leaves in tree order, each leaf ordered by a hash of the document's
+strongest term. Only a leaf and term that alone exceed a shard are dealt to several by row. A shard builds an
 inverted index over token ids (BM25; document frequencies come from the whole table, a vector as long as the vocabulary).
 The first unused document seeds a window; its ``query_terms`` strongest terms are looked up, and the best-scoring unused
 documents follow until the window is full. The last one is cut to fit and its rest is unused again. At the end of a shard the
 last window is cut into sequences whose lengths are powers of two, which need no padding.
 
+Neighbours on two sides of a cut between shards do not meet; the README states how many do.
+
 Scale: a shard bounds what a task holds, whatever a source or a group of copies holds; only the encoded documents are
-shuffled, once. Token ids take two bytes where the vocabulary allows.
+shuffled, once. Token ids take two bytes where the vocabulary allows. The driver holds the sample's projections and one total
+for each leaf and hash (``2 ** MAX_DEPTH * TERM_BINS`` at most).
 
 Defined results: a NULL or empty text is the end id alone. Repeated rows are packed each. A longer text is cut into many
 windows. An empty table gives no pieces. Other columns are not read.
@@ -30,6 +36,7 @@ from panelcast.llm.common import Scratch, sorted_groups, table
 WINDOW, END_ID = 2048, 1
 SHARD_TOKENS, QUERY_TERMS = 1 << 20, 24
 K1, B = 1.2, 0.75
+DIM, SAMPLE, MAX_DEPTH, TERM_BINS, SEED = 64, 16_384, 12, 64, 4
 
 
 def _encode(files, end_id, vocab):
@@ -127,6 +134,103 @@ def binary_cuts(pieces, window: int):
     return out
 
 
+def projection(vocab: int) -> np.ndarray:
+    return np.random.default_rng(SEED).standard_normal((vocab, DIM), dtype=np.float32)
+
+
+def signature(ids: np.ndarray, window: int, idf: np.ndarray, project: np.ndarray) -> tuple[np.ndarray, int]:
+    """Direction of the projected BM25 weights of what full windows leave of a document, and its strongest term."""
+    term, tf = np.unique(ids[len(ids) // window * window:] if len(ids) % window else ids, return_counts=True)
+    weight = idf[term] * (tf * (K1 + 1) / (tf + K1))
+    v = weight.astype(np.float32) @ project[term]
+    return v / max(float(np.sqrt(v @ v)), 1e-9), int(term[np.argmax(weight)])
+
+
+def fit_tree(x: np.ndarray, depth: int) -> list[tuple[np.ndarray, float]]:
+    """Splits of a complete binary tree in heap order: (direction, median) for ``2 ** depth - 1`` nodes."""
+    rng = np.random.default_rng(SEED)
+    rows, splits = [np.arange(len(x))], []
+    for node in range(2**depth - 1):
+        held = x[rows[node]].astype(np.float64)
+        u = rng.standard_normal(x.shape[1])
+        if len(held) > 1:
+            spread = np.cov(held.T)
+            for _ in range(30):
+                u = spread @ u + 1e-12 * u
+                u /= max(float(np.sqrt(u @ u)), 1e-30)
+        along = held @ u
+        cut = float(np.median(along)) if len(held) else 0.0
+        splits.append((u, cut))
+        rows += [rows[node][along <= cut], rows[node][along > cut]]
+    return splits
+
+
+def leaves(x: np.ndarray, splits: list[tuple[np.ndarray, float]]) -> np.ndarray:
+    """Number of each row's leaf, from left to right."""
+    node = np.zeros(len(x), np.int64)
+    if splits:
+        direction, cut = np.stack([u for u, _ in splits]), np.array([c for _, c in splits])
+        for _ in range(len(splits).bit_length()):
+            node = 2 * node + 1 + (np.einsum("ij,ij->i", x, direction[node]) > cut[node])
+    return node - len(splits)
+
+
+def cut_shards(codes: np.ndarray, tokens: np.ndarray, shard_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """First shard and number of shards of each code; neighbouring codes share a shard while they fit."""
+    order = np.argsort(codes)
+    first, parts = np.zeros(len(codes), np.int64), np.ones(len(codes), np.int64)
+    shard, held = 0, 0
+    for i in order:
+        if held and held + tokens[i] > shard_tokens:
+            shard, held = shard + 1, 0
+        first[i], parts[i] = shard, max(1, math.ceil(tokens[i] / shard_tokens))
+        held += tokens[i]
+        if parts[i] > 1:
+            shard, held = shard + int(parts[i]), 0
+    return first, parts
+
+
+def _signatures(idf_value, window, kind):
+    def run(frames):
+        idf = idf_value.value
+        project = projection(len(idf))
+        for f in frames:
+            yield pd.DataFrame({"v": [signature(np.frombuffer(b, kind), window, idf, project)[0] for b in f["ids"]]})
+    return run
+
+
+def _codes(idf_value, splits_value, window, kind, keep):
+    def run(frames):
+        idf, splits = idf_value.value, splits_value.value
+        project = projection(len(idf))
+        for f in frames:
+            if len(f):
+                found = [signature(np.frombuffer(b, kind), window, idf, project) for b in f["ids"]]
+                term = np.array([t for _, t in found], np.int64)
+                leaf = leaves(np.stack([v for v, _ in found]).astype(np.float64), splits)
+                yield f[keep].assign(code=leaf * TERM_BINS + term * 40503 % 65536 // (65536 // TERM_BINS))
+    return run
+
+
+def route(tokens: DataFrame, rows: int, idf, window: int, kind: str, shards: int, shard_tokens: int) -> DataFrame:
+    """``tokens`` with a column ``shard``: lexical neighbours get the same one."""
+    spark = tokens.sparkSession
+    depth = min(MAX_DEPTH, math.ceil(math.log2(4 * shards)))
+    chance = min(1.0, min(SAMPLE, 64 << depth) / max(1, rows))
+    drawn = tokens.where(F.pmod(F.xxhash64("row", F.lit(SEED)), F.lit(1 << 30)) < int(chance * (1 << 30))).select("ids")
+    vectors = drawn.mapInPandas(_signatures(idf, window, kind), "v array<float>").limit(SAMPLE).toPandas()["v"]
+    x = np.stack(vectors) if len(vectors) else np.zeros((1, DIM), np.float32)
+    depth = min(depth, max(0, (len(x) // 8).bit_length() - 1))  # eight sampled documents a leaf at least
+    splits = spark.sparkContext.broadcast(fit_tree(x, depth))
+    coded = lambda keep, shape: tokens.mapInPandas(_codes(idf, splits, window, kind, keep), f"{shape}, code long")
+    # Codes are worked out twice, as a stored or joined copy of the encoded documents would cost more.
+    totals = coded(["n"], "n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    first, parts = cut_shards(totals["code"].to_numpy(), totals["n"].to_numpy(), shard_tokens)
+    cuts = spark.createDataFrame(pd.DataFrame({"code": totals["code"], "first": first, "parts": parts}))
+    every = coded(["row", "_id", "ids", "n"], "row long, _id string, ids binary, n long").join(F.broadcast(cuts), "code")
+    return every.withColumn("shard", F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts"))).drop("code", "first", "parts")
+
+
 def _pack(idf_value, window, query_terms, kind, keep_ids):
     def run(frames):
         idf = idf_value.value
@@ -190,7 +294,9 @@ def pack(
         df[r["term"]] = r["df"]
     idf = spark.sparkContext.broadcast(np.log1p((rows - df + 0.5) / (df + 0.5)))
     shards = max(1, math.ceil((total or 0) / shard_tokens))
-    dealt = tokens.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
+    dealt = tokens.withColumn("shard", F.lit(0).cast("long"))
+    if shards > 1:
+        dealt = route(tokens, rows, idf, window, kind, shards, shard_tokens)
     out = "_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     out += ", ids array<long>" if keep_ids else ""
     return dealt.repartition("shard").sortWithinPartitions("shard").mapInPandas(

@@ -172,6 +172,18 @@ def test_packing_takes_neighbours():
     assert windows[0] == [(0, 0, 60), (2, 0, 40)]
 
 
+def test_packing_brings_neighbours_of_all_shards_together(spark):
+    """48 topics of 6 documents over some 40 shards: dealt at random, the topics' documents would hardly meet."""
+    rng = np.random.default_rng(9)
+    pool = [[f"{a}{b}{c}" for a, b, c in rng.choice(["ba", "lo", "mi", "se", "ta", "ru", "ke", "no", "fi", "gu", "pe", "va", "zo", "du"], (25, 3))] for _ in range(48)]
+    data = [(i, " ".join(rng.choice(pool[i % 48], 60))) for i in range(288)]
+    pieces = packing.pack(spark.createDataFrame(data, "doc_id long, text string").repartition(4), window=512, shard_tokens=1024).collect()
+    assert len({r["sequence_id"] >> 32 for r in pieces}) > 20
+    shard_of = {r["doc_id"]: r["sequence_id"] >> 32 for r in pieces}
+    pairs = [(i, j) for i in range(288) for j in range(i) if i % 48 == j % 48]
+    assert sum(shard_of[i] == shard_of[j] for i, j in pairs) / len(pairs) >= 0.25
+
+
 def test_encoder_matches_tokenizers():
     enc = bpe.Encoder(**bpe.public_files())
     odd = ["a  b", "a \n b", "\n\n x \n", "x ", "  ", "a\tb c\r\n d", "don't  stop", "é ü\u3000x", "日本 語 12.5", "a\x1cb c", "",
