@@ -5,10 +5,11 @@ characters on either side of every mention the terms (words of letters) are coll
 counted how many hold the entity, n(e), how many hold the term, n(t), and in how many the term stands beside the entity,
 n(t, e). The term's pointwise mutual information with the entity, as a share of the entity's information content,
 
-    log2(N n(t, e) / (n(t) n(e))) / log2(N / n(e))
+    log2(N p / n(e)) / log2(N / n(e))    with    p = (n(t, e) + SHRINK n(e) / N) / (n(t) + SHRINK)
 
-says how much of the entity the term discloses; 1 means that whoever sees the term knows the entity. Terms with a share of
-at least ``GENERALISE``, seen beside the entity in at least ``SUPPORT`` distinct texts, become a general word where they stand
+says how much of the entity the term discloses; 1 means that whoever sees the term knows the entity. The probability p of the
+entity given the term is shrunk towards n(e) / N by ``SHRINK`` texts, so that every entity is judged, also one that occurs
+once, and little evidence weighs less. Terms with a share of at least ``GENERALISE`` become a general word where they stand
 beside it; from ``REMOVE`` on they are removed. Copies of a text count once.
 
 Scale: pairs exist only inside windows, so they grow with the mentions, and a hot term or entity meets partial aggregates
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from panelcast.llm.common import Scratch, lower_ascii, table
 from panelcast.llm.url_filter import _bit_array, _passes, _positions
 
-WINDOW, SUPPORT, GENERALISE, REMOVE = 96, 3, 0.85, 0.97
+WINDOW, SHRINK, GENERALISE, REMOVE = 96, 1.0, 0.85, 0.97
 MAX_BITS, BITS_PER_TERM = 1 << 27, 10
 BROADCAST_DOCS = 100_000
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -128,8 +129,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     mentions = base.where(F.size("base") > 0).select("_id", "text_key", F.explode("base").alias("m"))
     entity = F.concat_ws(":", F.col("m.k"), F.when(F.col("m.k") == 0, lower_ascii(F.col("m.v"))).otherwise(_digits(F.col("m.v"))))
     mentions = mentions.withColumn("entity", entity)
-    held = mentions.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(
-        F.col("n_e") >= SUPPORT)
+    held = mentions.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     # Terms of the document's own personal data are not terms.
     beside = scratch.write(
         mentions.join(held, "entity").select("_id", "text_key", "entity", "n_e", F.explode(_beside(F.col("m"))).alias("t")).select(
@@ -137,7 +137,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             F.lower("t.v").alias("term")), "beside")
     pairs = scratch.write(
         beside.select("term", "entity", "n_e", "text_key").distinct().groupBy("term", "entity", "n_e").agg(
-            F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT), "pairs")
+            F.count("*").alias("n_te")), "pairs")
     terms = scratch.write(pairs.select("term").distinct(), "terms")
     n_terms, n_texts = terms.count(), base.select("text_key").distinct().count()
     if n_terms:
@@ -150,7 +150,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         every = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0))))
         spread = named.select("text_key", every.alias("term")).where(_passes(_bit_array(words), F.col("term"), 0, 0, bits))
         n_t = spread.distinct().groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
-        share = F.log2(F.col("n_te") * F.lit(float(n_texts)) / (F.col("n_t") * F.col("n_e"))) / F.log2(F.lit(float(n_texts)) / F.col("n_e"))
+        known = F.lit(float(n_texts)) / F.col("n_e")
+        share = F.log2((F.col("n_te") + SHRINK / known) / (F.col("n_t") + SHRINK) * known) / F.log2(known)
         telling = pairs.where(F.col("n_e") < n_texts).join(n_t, "term").withColumn("share", share).where(
             F.col("share") >= GENERALISE).select("term", "entity", "share")
         added = beside.join(telling, ["term", "entity"]).groupBy("_id", "text_key", "s", "e").agg(

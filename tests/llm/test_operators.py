@@ -288,6 +288,13 @@ def test_terms_disclose(spark):
     assert {data[200 + i][1][t["s"]:t["e"]] for i in range(5) for t in got[300 + i]["terms"]} == {"note", "about", "zebra", "and", "end"}
 
 
+def test_entity_seen_once_is_judged(spark):
+    data = [(i, f"plain words here {i}") for i in range(3000)] + [(5000, "plain quagga ann@mail.org words here")]
+    got = {r["_id"]: r["terms"] for r in sanitise.find(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert [(data[3000][1][t["s"]:t["e"]], t["removed"]) for t in got[5000]] == [("quagga", False)]
+    assert not any(got[i] for i in range(3000))
+
+
 def test_base_patterns_on_adjoining_matches(spark):
     text = "a@b.com_x@y.com +12345678 +1 2 3 4111111111111111-1 256.1.1.1 1.2.3.4.5.6.7.8 5 " + "9" * 40
     got = spark.createDataFrame([(text,)], "t string").select(sanitise.base_spans(F.col("t")).alias("b")).first()["b"]
