@@ -1,20 +1,21 @@
 """Personal data and the terms that give it away, in DataFrame functions only.
 
-Base spans (email, ip, card, phone) come from patterns. The values found are the protected entities. In the ``WINDOW``
-characters on either side of every mention the terms (words of letters) are collected, and over all distinct texts it is
-counted how many hold the entity, n(e), how many hold the term, n(t), and in how many the term stands beside the entity,
-n(t, e). The term's pointwise mutual information with the entity, as a share of the entity's information content,
+Base spans (email, ip, card, phone) come from patterns. The values found are the protected entities. Terms are the words of
+letters outside base spans. Over all distinct texts it is counted how many hold the entity, n(e), how many hold the term,
+n(t), and how many hold both, n(t, e). The term's pointwise mutual information with the entity, as a share of the entity's information content,
 
     log2(N p / n(e)) / log2(N / n(e))    with    p = (n(t, e) + SHRINK n(e) / N) / (n(t) + SHRINK)
 
 says how much of the entity the term discloses; 1 means that whoever sees the term knows the entity. The probability p of the
 entity given the term is shrunk towards n(e) / N by ``SHRINK`` texts, so that every entity is judged, also one that occurs
-once, and little evidence weighs less. Terms with a share of at least ``GENERALISE`` become a general word where they stand
-beside it; from ``REMOVE`` on they are removed. Copies of a text count once.
+once, and little evidence weighs less. Terms with a share of at least ``GENERALISE`` become a general word wherever
+they stand, also in documents without the entity; from ``REMOVE`` on they are removed. Copies of a text count once.
 
-Scale: pairs exist only inside windows, so they grow with the mentions, and a hot term or entity meets partial aggregates
-only. Term counts over the corpus are taken for candidate terms alone: a Bloom bit array of at most ``MAX_BITS`` bits (a scalar
-subquery) drops other words before anything is shuffled, and the exact join follows.
+Scale: pairs exist only in texts that hold an entity, as distinct terms, and meet partial aggregates. Entities that occur in one
+text only are counted as one, as they share their terms' values. A pair goes on only if n(t) is small enough for the share to
+be reached at all, so common terms leave before pairs are made. Term counts and hits over the corpus are taken for candidate
+terms alone: a Bloom bit array of at most ``MAX_BITS`` bits (a scalar subquery) drops other words before anything is shuffled,
+and the exact join follows.
 
 Patterns start only where a match can start (look-behind) and use possessive runs, so long texts without white space take
 linear time. Positions are code points; ends are exclusive.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from panelcast.llm.common import Scratch, lower_ascii, table
 from panelcast.llm.url_filter import _bit_array, _passes, _positions
 
-WINDOW, SHRINK, GENERALISE, REMOVE = 96, 1.0, 0.85, 0.97
+SHRINK, GENERALISE, REMOVE = 1.0, 0.85, 0.97
 MAX_BITS, BITS_PER_TERM = 1 << 27, 10
 BROADCAST_DOCS = 100_000
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -44,16 +45,16 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"\p{L}[\p{L}\p{M}'’-]*+"
 
 
-def matches(text: Column, pattern: str, offset: Column | None = None) -> Column:
-    """Array of (s, e, v) of all matches, from the pieces between them and their lengths."""
-    shift = F.lit(0) if offset is None else offset
+def matches(text: Column, pattern: str, keep=None) -> Column:
+    """Array of (s, e, v) of all matches, from the pieces between them and their lengths; ``keep`` tells by v which to list."""
 
     def spans(b: Column) -> Column:
         def add(acc: Column, i: Column) -> Column:
             s = acc["at"] + F.length(F.get(b["pieces"], i))
             e = s + F.length(F.get(b["found"], i))
-            one = F.struct((s + shift).alias("s"), (e + shift).alias("e"), F.get(b["found"], i).alias("v"))
-            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+            v = F.get(b["found"], i)
+            more = F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), v.alias("v"))))
+            return F.struct(e.alias("at"), (more if keep is None else F.when(keep(v), more).otherwise(acc["out"])).alias("out"))
 
         none = F.array().cast("array<struct<s:int,e:int,v:string>>")
         turns = F.when(F.size(b["found"]) > 0, F.sequence(F.lit(0), F.size(b["found"]) - 1)).otherwise(F.array().cast("array<int>"))
@@ -104,70 +105,97 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda m: F.concat_ws(":", F.get(names, m["k"]), m["s"], m["e"])), ",")
 
 
-def _beside(mention: Column) -> Column:
-    """Terms in the stored text on both sides of a mention, with their places; words cut by the window's edge are left out."""
-    left = F.filter(matches(mention["left"], TERM, mention["s"] - F.length(mention["left"])),
-                    lambda t: (t["s"] > mention["s"] - F.length(mention["left"])) | (t["s"] == 0))
-    right = F.filter(matches(mention["right"], TERM, mention["e"]),
-                     lambda t: (t["e"] < mention["e"] + F.length(mention["right"])) | (F.length(mention["right"]) < WINDOW))
-    return F.concat(left, right)
+def _replaced(text: Column, spans: Column, instead) -> Column:
+    """``text`` with sorted spans replaced by ``instead(span, furthest end before it)``."""
+    # Where spans overlap, the later one starts at the furthest end so far.
+    ends = F.aggregate(spans, F.array(F.lit(0)), lambda a, m: F.concat(a, F.array(F.greatest(F.element_at(a, -1), m["e"]))))
+    return F.transform(F.array(ends), lambda far: F.concat(
+        F.array_join(F.transform(spans, lambda m, i: F.concat(
+            F.substring(text, F.get(far, i) + 1, F.greatest(m["s"] - F.get(far, i), F.lit(0))), instead(m, F.get(far, i)))), ""),
+        F.substring(text, F.element_at(far, -1) + 1, F.length(text))))[0]
+
+
+def _blanked(text: Column, base: Column) -> Column:
+    """``text`` with spaces in place of base spans, as long as before."""
+    spans = F.array_sort(F.transform(base, lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"))))
+    gap = lambda m, far: F.repeat(F.lit(" "), F.greatest(m["e"] - F.greatest(m["s"], far), F.lit(0)))
+    return F.when(F.size(base) == 0, text).otherwise(_replaced(text, spans, gap))
+
+
+def _terms_of(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda v: F.lower(v)))
+
+
+def _marked(terms: DataFrame, scratch: Scratch, name: str) -> tuple[Column, int] | None:
+    """Bloom bits of the terms as an array in the plan, and their number; None without terms."""
+    n = terms.count()
+    if not n:
+        return None
+    bits = min(MAX_BITS, max(64, math.ceil(n * BITS_PER_TERM / 64) * 64))
+    marks = (
+        terms.select(F.explode(F.array(*_positions(F.col("term"), 0, bits))).alias("p"))
+        .groupBy(F.shiftright("p", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits")))
+    words = scratch.write(terms.sparkSession.range(0, bits // 64).join(marks, "id", "left").select(
+        F.col("id").alias("word"), F.coalesce("bits", F.lit(0)).alias("bits")), name)
+    return _bit_array(words), bits
+
+
+def telling_terms(base: DataFrame, scratch: Scratch) -> DataFrame:
+    """Terms (term, removed) of the table ``base`` that disclose an entity."""
+    mentions = base.where(F.size("base") > 0).select("text_key", F.explode("base").alias("m"))
+    entity = F.concat_ws(":", F.col("m.k"), F.when(F.col("m.k") == 0, lower_ascii(F.col("m.v"))).otherwise(_digits(F.col("m.v"))))
+    held = scratch.write(mentions.select("text_key", entity.alias("entity")).distinct(), "held")
+    n_e = held.groupBy("entity").agg(F.count("*").alias("n_e"))
+    # All entities that only one text holds have the same counts with its terms.
+    held = held.join(n_e, "entity").select("text_key", "n_e", F.when(
+        F.col("n_e") == 1, F.col("text_key").cast("string")).otherwise(F.concat(F.lit("e"), "entity")).alias("entity")).distinct()
+    own = scratch.write(base.where(F.size("base") > 0).select("text_key", F.explode(_terms_of(F.col("bare"))).alias("term")).distinct(), "own")
+    none = own.select("term", F.lit(False).alias("removed")).where(F.lit(False))
+    terms = scratch.write(own.select("term").distinct(), "terms")
+    marked = _marked(terms, scratch, "bits")
+    if marked is None:
+        return none
+    times = scratch.write(base.groupBy("text_key").agg(F.count("*").alias("times")), "times")
+    n_texts = float(times.count())
+    # The copies of a text count as one together; the sum of their shares is a whole number up to rounding.
+    every = base.join(times.where("times > 1"), "text_key", "left").select(
+        (1.0 / F.coalesce("times", F.lit(1))).alias("w"), F.explode(_terms_of(F.col("bare"))).alias("term"))
+    n_t = every.where(_passes(marked[0], F.col("term"), 0, 0, marked[1])).groupBy("term").agg(
+        F.round(F.sum("w")).cast("long").alias("n_t")).join(terms, "term", "left_semi")
+    known = F.lit(n_texts) / F.col("n_e")
+
+    def share(both: Column) -> Column:
+        return F.log2((both + SHRINK / known) / (F.col("n_t") + SHRINK) * known) / F.log2(known)
+
+    pairs = own.join(n_t, "term").join(held.where(F.col("n_e") < n_texts), "text_key").where(
+        share(F.least("n_t", "n_e")) >= GENERALISE).groupBy("term", "entity", "n_t", "n_e").agg(F.count("*").alias("n_te"))
+    return scratch.write(pairs.withColumn("share", share(F.col("n_te"))).where(F.col("share") >= GENERALISE).groupBy("term").agg(
+        F.max(F.col("share") >= REMOVE).alias("removed")), "telling")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``_id``, ``text_key``, ``base`` (k, s, e, v) and ``terms`` (s, e, removed)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "pii")
+    scratch = Scratch(docs.sparkSession, "pii")
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("text_key"))
-    with_sides = F.transform(F.col("base"), lambda m: F.struct(
-        m["k"].alias("k"), m["s"].alias("s"), m["e"].alias("e"), m["v"].alias("v"),
-        F.substring(F.col("_text"), F.greatest(m["s"] - WINDOW, F.lit(0)) + 1, F.least(m["s"], F.lit(WINDOW))).alias("left"),
-        F.substring(F.col("_text"), m["e"] + 1, F.lit(WINDOW)).alias("right")))
-    base = scratch.write(
-        named.withColumn("base", base_spans(F.col("_text"))).select("_id", "text_key", with_sides.alias("base")), "base")
-
-    mentions = base.where(F.size("base") > 0).select("_id", "text_key", F.explode("base").alias("m"))
-    entity = F.concat_ws(":", F.col("m.k"), F.when(F.col("m.k") == 0, lower_ascii(F.col("m.v"))).otherwise(_digits(F.col("m.v"))))
-    mentions = mentions.withColumn("entity", entity)
-    held = mentions.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    # Terms of the document's own personal data are not terms.
-    beside = scratch.write(
-        mentions.join(held, "entity").select("_id", "text_key", "entity", "n_e", F.explode(_beside(F.col("m"))).alias("t")).select(
-            "_id", "text_key", "entity", "n_e", F.col("t.s").alias("s"), F.col("t.e").alias("e"),
-            F.lower("t.v").alias("term")), "beside")
-    pairs = scratch.write(
-        beside.select("term", "entity", "n_e", "text_key").distinct().groupBy("term", "entity", "n_e").agg(
-            F.count("*").alias("n_te")), "pairs")
-    terms = scratch.write(pairs.select("term").distinct(), "terms")
-    n_terms, n_texts = terms.count(), base.select("text_key").distinct().count()
-    if n_terms:
-        bits = min(MAX_BITS, max(64, math.ceil(n_terms * BITS_PER_TERM / 64) * 64))
-        marks = (
-            terms.select(F.explode(F.array(*_positions(F.col("term"), 0, bits))).alias("p"))
-            .groupBy(F.shiftright("p", 6).alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("bits")))
-        words = scratch.write(spark.range(0, bits // 64).join(marks, "id", "left").select(
-            F.col("id").alias("word"), F.coalesce("bits", F.lit(0)).alias("bits")), "bits")
-        every = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0))))
-        spread = named.select("text_key", every.alias("term")).where(_passes(_bit_array(words), F.col("term"), 0, 0, bits))
-        n_t = spread.distinct().groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term", "left_semi")
-        known = F.lit(float(n_texts)) / F.col("n_e")
-        share = F.log2((F.col("n_te") + SHRINK / known) / (F.col("n_t") + SHRINK) * known) / F.log2(known)
-        telling = pairs.where(F.col("n_e") < n_texts).join(n_t, "term").withColumn("share", share).where(
-            F.col("share") >= GENERALISE).select("term", "entity", "share")
-        added = beside.join(telling, ["term", "entity"]).groupBy("_id", "text_key", "s", "e").agg(
-            F.max(F.col("share") >= REMOVE).alias("removed")).groupBy("_id", "text_key").agg(
-            F.array_sort(F.collect_list(F.struct("s", "e", "removed"))).alias("terms"))
-        added = scratch.write(added, "added")
-    else:
-        added = base.select("_id", "text_key", F.lit(None).cast("array<struct<s:int,e:int,removed:boolean>>").alias("terms")).where(F.lit(False))
-    a, b = base.alias("a"), added.alias("b")
-    found = a.join(b, (F.col("a.text_key") == F.col("b.text_key")) & F.col("a._id").eqNullSafe(F.col("b._id")), "left")
-    # A term inside a base span is covered already.
-    clear = F.filter("b.terms", lambda t: ~F.exists("a.base", lambda m: (m["s"] < t["e"]) & (t["s"] < m["e"])))
-    return found.select(
-        F.col("a._id").alias("_id"), F.col("a.text_key").alias("text_key"),
-        F.transform("a.base", lambda m: F.struct(m["k"].alias("k"), m["s"].alias("s"), m["e"].alias("e"))).alias("base"),
-        F.coalesce(clear, F.array().cast("array<struct<s:int,e:int,removed:boolean>>")).alias("terms"))
+    based = named.withColumn("base", base_spans(F.col("_text")))
+    base = scratch.write(based.select("_id", "text_key", "base", _blanked(F.col("_text"), F.col("base")).alias("bare")), "base")
+    telling = telling_terms(base, scratch)
+    marked = _marked(telling.select("term"), scratch, "told")
+    none = F.array().cast("array<struct<s:int,e:int,removed:boolean>>")
+    spans = F.transform("base", lambda m: F.struct(m["k"].alias("k"), m["s"].alias("s"), m["e"].alias("e"))).alias("base")
+    if marked is None:
+        return base.select("_id", "text_key", spans, none.alias("terms"))
+    hits = scratch.write(
+        base.select("text_key", F.explode(_terms_of(F.col("bare"))).alias("term"))
+        .where(_passes(marked[0], F.col("term"), 0, 0, marked[1])).distinct().join(telling, "term").groupBy("text_key").agg(
+            F.collect_list("term").alias("told"), F.collect_list(F.when(F.col("removed"), F.col("term"))).alias("gone")), "hits")
+    found = matches(F.col("bare"), TERM, lambda v: F.array_contains(F.col("told"), F.lower(v)))
+    added = scratch.write(base.join(hits, "text_key").select("text_key", F.transform(found, lambda t: F.struct(
+        t["s"].alias("s"), t["e"].alias("e"), F.array_contains("gone", F.lower(t["v"])).alias("removed"))).alias("terms")
+        ).dropDuplicates(["text_key"]), "added")
+    return base.select("_id", "text_key", spans).join(added, "text_key", "left").select(
+        "_id", "text_key", "base", F.coalesce("terms", none).alias("terms"))
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
@@ -186,16 +214,8 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         F.broadcast(found) if few else found,
         (F.xxhash64(text) == F.col("__key")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
 
-    def pieces(spans: Column) -> Column:
-        # Where spans overlap, the later one starts at the furthest end so far.
-        ends = F.aggregate(spans, F.array(F.lit(0)), lambda a, m: F.concat(a, F.array(F.greatest(F.element_at(a, -1), m["e"]))))
-        return F.transform(F.array(ends), lambda far: F.concat(
-            F.array_join(F.transform(spans, lambda m, i: F.concat(
-                F.substring(text, F.get(far, i) + 1, F.greatest(m["s"] - F.get(far, i), F.lit(0))),
-                F.when(m["s"] >= F.get(far, i), m["tag"]).otherwise(""))), ""),
-            F.substring(text, F.element_at(far, -1) + 1, F.length(text))))[0]
-
-    new = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(pieces(F.col("__spans")))
+    tag = lambda m, far: F.when(m["s"] >= far, m["tag"]).otherwise("")
+    new = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(_replaced(text, F.col("__spans"), tag))
     types = dict(docs.dtypes)
     out = joined.withColumn("__new", new)
     return out.select(*[

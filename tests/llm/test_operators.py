@@ -295,6 +295,15 @@ def test_entity_seen_once_is_judged(spark):
     assert not any(got[i] for i in range(3000))
 
 
+def test_terms_are_treated_in_whole_texts(spark):
+    far = "plain words here " * 40
+    data = [(i, f"{far}{i}") for i in range(2000)] + [(5000, f"Quagga {far} ann@mail.org quagga"), (5001, "plain quagga here")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in sanitise.sanitised(df, length_col="none").collect()}
+    assert clean[5000] == f"<TERM> {far} <EMAIL> <TERM>" and clean[5001] == "plain <TERM> here"
+    assert all(clean[i] == data[i][1] for i in range(2000))
+
+
 def test_base_patterns_on_adjoining_matches(spark):
     text = "a@b.com_x@y.com +12345678 +1 2 3 4111111111111111-1 256.1.1.1 1.2.3.4.5.6.7.8 5 " + "9" * 40
     got = spark.createDataFrame([(text,)], "t string").select(sanitise.base_spans(F.col("t")).alias("b")).first()["b"]
