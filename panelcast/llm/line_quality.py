@@ -6,13 +6,15 @@ line found in at least ``min_docs`` distinct texts of its host and in more than
 removed. A document of which less than ``min_left`` of the words is left is rejected.
 
 Counting takes one shuffle of (host, line hash, text hash) with partial aggregation; the counts come back by an equality
-join on (host, line), where adaptive execution splits a host's very common line. Only lines of one document meet in a row.
+join on (host, line), where adaptive execution splits a host's very common line. Only lines of one document meet in a row; they
+are dropped from its text there, and the share left follows from the cleaned text.
 
 Repeated words inside a document are found without a shuffle: hashes of 8-word windows are sorted within the row, equal
 neighbours mark repeated windows, and the union of their spans is counted. Equality of windows and lines is by 64-bit hash.
 
 Defined results: a NULL or empty text has no words, fails the base rules and is not kept. A NULL host is a host of its own.
-Rows with the same id, host and text are judged alike. Other columns are not read.
+Rows with the same id, host and text are judged alike. A text
+without boilerplate is returned as it is (NULL stays NULL), otherwise its other lines joined by line feeds. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -79,40 +81,38 @@ def quality(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
     min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT,
 ) -> DataFrame:
-    """One row per document: id, base counts, ``base_failed``, ``left_share`` of its words, ``kept``."""
+    """One row per document: id, base counts, ``base_failed``, ``kept``, ``left_share`` of its words, ``cleaned`` text."""
     key = ["_id", "_host", "_text_hash"]
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = docs.select(
         F.col(id_col).alias("_id"), F.col(host_col).alias("_host"), F.xxhash64(text).alias("_text_hash"),
         F.col(text_col).alias("_text"))
-    counts = base_counts(named, "_text", key).withColumn(
+    counts = base_counts(named, "_text", [*key, "_text"]).withColumn(
         "base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT))
 
-    # One row per document and distinct line, with the words that all its occurrences hold.
     lines = Scratch(docs.sparkSession, "quality").write(
-        named.select(*key, F.explode(F.split(F.coalesce("_text", F.lit("")), "\n")).alias("line"))
+        named.select("_host", "_text_hash", F.explode(F.split(F.coalesce("_text", F.lit("")), "\n")).alias("line"))
         .where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-        .select(*key, F.xxhash64(normal_line(F.col("line"))).alias("line"),
-                F.size(words(F.col("line"))).cast("long").alias("w")), "lines")
-    texts = lines.select("_host", "line", "_text_hash").distinct()
-    held = texts.groupBy("_host", "line").agg(F.count("*").alias("n"))
+        .select("_host", "_text_hash", F.xxhash64(normal_line(F.col("line"))).alias("line")).distinct(), "lines")
+    held = lines.groupBy("_host", "line").agg(F.count("*").alias("n"))
     hosts = named.select("_host", "_text_hash").distinct().groupBy("_host").agg(F.count("*").alias("host_texts"))
     common = (
         held.where(F.col("n") >= min_docs).alias("c").join(hosts.alias("h"), F.col("c._host").eqNullSafe(F.col("h._host")))
         .where(F.col("n") > F.col("host_texts") * max_share)
         .select(F.col("c._host").alias("common_host"), F.col("line").alias("common_line"), F.lit(True).alias("common")))
-    marked = lines.join(
-        common, (F.col("line") == F.col("common_line")) & F.col("_host").eqNullSafe(F.col("common_host")), "left")
-    left = marked.groupBy(*key).agg(
-        (F.sum(F.when(F.col("common").isNull(), F.col("w")).otherwise(0)) / F.sum("w")).alias("left_share"))
-
-    a, b = counts.alias("a"), left.alias("b")
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key]
-    joined = a.join(b, same[0] & same[1] & same[2], "left")
-    return joined.select(
+    marks = lines.join(
+        common, (F.col("line") == F.col("common_line")) & F.col("_host").eqNullSafe(F.col("common_host"))).groupBy(
+        "_host", "_text_hash").agg(F.collect_set("line").alias("common_lines"))
+
+    a, b = counts.alias("a"), marks.alias("b")
+    joined = a.join(b, (F.col("a._text_hash") == F.col("b._text_hash")) & F.col("a._host").eqNullSafe(F.col("b._host")), "left")
+    own = F.filter(F.split("_text", "\n"), lambda x: ~F.array_contains("common_lines", F.xxhash64(normal_line(x))))
+    cleaned = F.when(F.col("common_lines").isNull(), F.col("_text")).otherwise(F.array_join(own, "\n"))
+    share = F.when(F.col("n_words") == 0, 0.0).when(F.col("common_lines").isNull(), 1.0).otherwise(
+        F.size(words(F.col("cleaned"))) / F.col("n_words"))
+    return joined.withColumn("cleaned", cleaned).withColumn("left_share", share).select(
         F.col("a._id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.coalesce("left_share", F.lit(0.0)) >= min_left)).alias("kept"),
-        F.coalesce("left_share", F.lit(0.0)).alias("left_share"))
+        (~F.col("base_failed") & (F.col("left_share") >= min_left)).alias("kept"), "left_share", "cleaned")
 
 
 def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

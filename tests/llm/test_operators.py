@@ -145,6 +145,14 @@ def test_common_lines_deplete(spark):
     assert got[1]["left_share"] == pytest.approx(40 / 52)
 
 
+def test_common_lines_are_removed(spark):
+    data = [(i, f"Same old line {i}\n\nown{'ab'[i % 2] * (i + 1)} words\nsame  OLD line 7", "h") for i in range(40)] + [(50, None, "h"), (51, "same old line 1", None)]
+    got = {r["doc_id"]: r["cleaned"] for r in line_quality.quality(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
+    # The number counts as zeros: lines with one digit are one line, lines with two digits another.
+    assert all(got[i] == f"\nown{'ab'[i % 2] * (i + 1)} words" for i in range(40))
+    assert got[50] is None and got[51] == "same old line 1"
+
+
 def test_packing_round_trip(docs, none):
     enc = bpe.Encoder(**bpe.public_files())
     pieces = packing.pack(docs, window=256, shard_tokens=4000).collect()
