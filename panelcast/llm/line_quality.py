@@ -2,8 +2,8 @@
 
 A line is normalised (A-Z lower-cased, digits to 0, white space squeezed) and hashed. For every host the number of distinct
 texts that hold a line is counted; copies of a whole text count once, so that copying a document does not condemn it. A
-line found in at least ``min_docs`` distinct texts of its host and in more than ``max_share`` of them is boilerplate and is
-removed. A document of which less than ``min_left`` of the words is left is rejected.
+line found in at least ``min_docs`` distinct texts of its host and in more than ``max_share`` of them, or in more than
+``max_docs`` whatever the host's size, is boilerplate and is removed. A document of which less than ``min_left`` of the words is left is rejected.
 
 Counting takes one shuffle of (host, line hash, text hash) with partial aggregation; the counts come back by an equality
 join on (host, line), where adaptive execution splits a host's very common line. Only lines of one document meet in a row; they
@@ -26,7 +26,7 @@ from panelcast.llm.common import SPACE, Scratch, table, words
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT = 20, 30
-MIN_DOCS, MAX_SHARE, MIN_LEFT = 10, 0.005, 0.3
+MIN_DOCS, MAX_SHARE, MAX_DOCS, MIN_LEFT = 10, 0.005, 100, 0.3
 
 
 def _bind(value: Column, body) -> Column:
@@ -80,6 +80,7 @@ def base_counts(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 def quality(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
     min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT,
+    max_docs: int = MAX_DOCS,
 ) -> DataFrame:
     """One row per document: id, base counts, ``base_failed``, ``kept``, ``left_share`` of its words, ``cleaned`` text."""
     key = ["_id", "_host", "_text_hash"]
@@ -98,7 +99,7 @@ def quality(
     hosts = named.select("_host", "_text_hash").distinct().groupBy("_host").agg(F.count("*").alias("host_texts"))
     common = (
         held.where(F.col("n") >= min_docs).alias("c").join(hosts.alias("h"), F.col("c._host").eqNullSafe(F.col("h._host")))
-        .where(F.col("n") > F.col("host_texts") * max_share)
+        .where(F.col("n") > F.least(F.col("host_texts") * max_share, F.lit(float(max_docs))))
         .select(F.col("c._host").alias("common_host"), F.col("line").alias("common_line"), F.lit(True).alias("common")))
     marks = lines.join(
         common, (F.col("line") == F.col("common_line")) & F.col("_host").eqNullSafe(F.col("common_host"))).groupBy(

@@ -153,6 +153,13 @@ def test_common_lines_are_removed(spark):
     assert got[50] is None and got[51] == "same old line 1"
 
 
+def test_common_lines_of_a_hot_host(spark):
+    text = F.expr("concat(translate(cast(id AS string), '0123456789', 'abcdefghij'), if(id < 120, '\\nsame line', ''))")
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("hot").alias("source"))
+    got = line_quality.quality(df).where("doc_id < 120").collect()
+    assert len(got) == 120 and all("\n" not in r["cleaned"] for r in got)
+
+
 def test_packing_round_trip(docs, none):
     enc = bpe.Encoder(**bpe.public_files())
     pieces = packing.pack(docs, window=256, shard_tokens=4000).collect()
