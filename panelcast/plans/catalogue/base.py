@@ -120,6 +120,8 @@ _STEPS = {
         SELECT *, row_number() OVER (PARTITION BY store_id, sku_id ORDER BY date) - 1 AS pos,
                count(*) OVER (PARTITION BY store_id, sku_id) AS n_rows FROM daily""",
 }
+# Steps that are read more than once further on; worked out once.
+_KEPT = {"filled"}
 _NEEDS = {
     "parsed": ["dirty"], "collapsed": ["parsed"], "filled": ["collapsed"], "clean": ["filled"],
     "daily": ["panel"], "placed": ["daily"],
@@ -137,7 +139,7 @@ def _closure(names: Sequence[str]) -> list[str]:
 
 def sql(body: str, use: Sequence[str] = (), doubles: Sequence[str] = (), dates: Sequence[str] = (), recursive: bool = False, **extra: str) -> str:
     """Assemble the steps, further named steps and the body; round and format like ``shown``."""
-    parts = [f"{name} AS ({_STEPS[name]})" for name in _closure(use)]
+    parts = [f"{name} AS {'MATERIALIZED ' if name in _KEPT else ''}({_STEPS[name]})" for name in _closure(use)]
     parts += [f"{name} AS ({text})" for name, text in extra.items()]
     parts.append(f"answer AS ({body})")
     fixes = [f"round({c}, {DIGITS}) + 0 AS {c}" for c in doubles]

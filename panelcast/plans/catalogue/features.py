@@ -145,7 +145,7 @@ def split_panel(spark: SparkSession, sf: str) -> DataFrame:
 def _status_sql(floor: int, least: int, windows: str = "") -> str:
     return f"""SELECT store_id, sku_id, n_rows, CASE WHEN n_rows >= {least} THEN {split_of(floor)} END AS split_idx,
                       CASE WHEN n_rows >= {least} THEN 'ok' ELSE 'skipped' END AS status,
-                      CASE WHEN n_rows < {least} THEN 'Insufficient data: ' || n_rows || ' rows' END AS reason {windows}
+                      CASE WHEN n_rows < {least} THEN 'too short: ' || n_rows || ' rows' END AS reason {windows}
                FROM (SELECT store_id, sku_id, count(*) AS n_rows FROM daily GROUP BY ALL)"""
 
 
