@@ -1,4 +1,4 @@
-"""ARIMA(p, d, q) per series: numeric fit in a grouped-map function, recursion as a SQL fold."""
+"""ARIMA(p, d, q) per series: numeric fits of many series at once in a task, recursion as a SQL fold."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelcast.forecast.batches import map_series, series_starts
+from panelcast.forecast.likelihood import fit_batch
 from panelcast.spec import SeriesSpec
 
 Order = tuple[int, int, int]
@@ -136,27 +138,87 @@ def fit_css(y: np.ndarray, order: Order, iterations: int = 300) -> dict:
     }
 
 
-def fit_with_fallback(y: np.ndarray, order: Order) -> tuple[Order, dict]:
-    """First order that converges; where none does, the first that could be fitted at all."""
-    if len(y) < LEAST_OBSERVATIONS:
-        raise ValueError(f"at least {LEAST_OBSERVATIONS} observations are needed, got {len(y)}")
-    broken = int((~np.isfinite(y)).sum())
-    if broken:
-        raise ValueError(f"{broken} non-finite value(s)")
-    problem: Exception | None = None
-    unfinished: tuple[Order, dict] | None = None
+def too_few(n: int, order: Order) -> bool:
+    """Whether ``n`` observations leave too few after differencing for the parameters of an order."""
+    p, d, q = order
+    return n - d < p + q + 1 + int(d == 0)
+
+
+def fit_exact(ys: Sequence[np.ndarray], order: Order) -> list[dict]:
+    """Maximum-likelihood fits of one order to many series, all in step; same entries as ``fit_css``.
+
+    The constant is a mean and only fitted without differencing.
+    """
+    p, d, q = order
+    if min(order) < 0 or d > 2:
+        raise ValueError(f"unsupported order {order}")
+    if any(too_few(len(y), order) for y in ys):
+        raise ValueError(f"too few observations for order {order}")
+    ws = [np.diff(y, n=d) if d else y for y in ys]
+    starts = np.stack([_start(w - (w.mean() if d == 0 else 0.0), p, q) for w in ws])
+    out = []
+    for w, fit in zip(ws, fit_batch(ws, p, q, d == 0, starts)):
+        n_params = p + q + int(d == 0) + 1
+        out.append({
+            "const": fit.const, "ar": fit.ar, "ma": fit.ma, "sigma2": fit.sigma2, "aic": 2 * n_params - 2 * fit.log_lik,
+            "bic": n_params * np.log(len(w)) - 2 * fit.log_lik, "w": w - fit.const, "resid": fit.resid, "converged": fit.converged,
+        })
+    return out
+
+
+def _fit_css_all(ys: Sequence[np.ndarray], order: Order) -> list[dict]:
+    return [fit_css(y, order) for y in ys]
+
+
+METHODS = {"exact": fit_exact, "css": _fit_css_all}
+
+
+def fit_many(ys: Sequence[np.ndarray], order: Order, method: str = "exact") -> list[tuple[Order, dict] | str]:
+    """For each series the first order that converges, or the first that could be fitted at all; else the reason as text.
+
+    All series that still need a fit try an order together.
+    """
+    fit = METHODS[method]
+    found: list = [None] * len(ys)
+    unfinished: dict[int, tuple[Order, dict]] = {}
+    open_ = []
+    for i, y in enumerate(ys):
+        broken = int((~np.isfinite(y)).sum())
+        if len(y) < LEAST_OBSERVATIONS:
+            found[i] = f"a series of {len(y)} values is too short to fit, {LEAST_OBSERVATIONS} are needed"
+        elif broken:
+            found[i] = f"{broken} of the values cannot be used, as they are missing or infinite"
+        else:
+            open_.append(i)
     for candidate in dict.fromkeys((tuple(order), *FALLBACK_ORDERS)):
-        try:
-            found = fit_css(y, candidate)
-        except (ValueError, np.linalg.LinAlgError) as err:
-            problem = err
+        able = [i for i in open_ if found[i] is None and not too_few(len(ys[i]), candidate)]
+        if not able:
             continue
-        if found["converged"]:
-            return candidate, found
-        unfinished = unfinished or (candidate, found)
-    if unfinished:
-        return unfinished
-    raise ValueError(f"no order could be fitted: {problem}")
+        try:
+            fits = fit([ys[i] for i in able], candidate)
+        except np.linalg.LinAlgError:  # one series can spoil a batch: take them one by one
+            fits = []
+            for i in able:
+                try:
+                    fits += fit([ys[i]], candidate)
+                except np.linalg.LinAlgError:
+                    fits.append(None)
+        for i, one in zip(able, fits):
+            if one is None:
+                continue
+            if one["converged"]:
+                found[i] = (candidate, one)
+            else:
+                unfinished.setdefault(i, (candidate, one))
+    return [f or unfinished.get(i) or "no order could be fitted" for i, f in enumerate(found)]
+
+
+def fit_with_fallback(y: np.ndarray, order: Order, method: str = "exact") -> tuple[Order, dict]:
+    """``fit_many`` for one series; raises where it cannot be fitted."""
+    found = fit_many([y], order, method)[0]
+    if isinstance(found, str):
+        raise ValueError(found)
+    return found
 
 
 def params_schema(df: DataFrame, spec: SeriesSpec) -> T.StructType:
@@ -176,45 +238,55 @@ def params_schema(df: DataFrame, spec: SeriesSpec) -> T.StructType:
 
 
 def fit_arima(
-    train: DataFrame, spec: SeriesSpec, order: Order = (1, 1, 1), min_rows: int = LEAST_OBSERVATIONS
+    train: DataFrame, spec: SeriesSpec, order: Order = (1, 1, 1), min_rows: int = LEAST_OBSERVATIONS, method: str = "exact"
 ) -> DataFrame:
     """Fit every series in parallel; one row per series with parameters, residuals and status.
 
-    A failing series is reported, not raised. Rows are one per period, so the group a task
-    holds is bounded by the calendar.
+    A task takes whole series in batches and fits a batch together. A failing series is reported, not raised. Rows are one per
+    period, so a series is bounded by the calendar.
     """
     if not isinstance(train.schema[spec.date].dataType, T.DateType):
         raise ValueError("forecasts are daily: clean the series at day grain first")
+    if min(order) < 0 or order[1] > 2:
+        raise ValueError(f"unsupported order {tuple(order)}")
     schema = params_schema(train, spec)
     keys = list(spec.keys)
     names = schema.fieldNames()
     date_col, demand_col, order = spec.date, spec.demand, tuple(order)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(date_col)
-        y = pdf[demand_col].to_numpy(dtype=float)
-        row: dict = dict.fromkeys(names)
-        row.update({k: pdf[k].iloc[0] for k in keys}, n_train=len(y), last_date=pdf[date_col].iloc[-1])
-        if len(y) < min_rows:
-            row.update(status="skipped", reason=f"{len(y)} periods, needs {min_rows}")
-        else:
-            try:
-                used, fit_ = fit_with_fallback(y, order)
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        starts = series_starts(rows, keys)
+        stops = np.append(starts[1:], len(rows))
+        values, dates = rows[demand_col].to_numpy(dtype=float), rows[date_col].to_numpy()
+        heads = rows.iloc[starts][keys].to_dict("records")
+        series = [values[a:b] for a, b in zip(starts, stops)]
+        long = [i for i, y in enumerate(series) if len(y) >= min_rows]
+        fits = dict(zip(long, fit_many([series[i] for i in long], order, method)))
+        out = []
+        for i, (a, b, y) in enumerate(zip(starts, stops, series)):
+            row: dict = dict.fromkeys(names)
+            row.update(heads[i], n_train=len(y), last_date=dates[b - 1])
+            found = fits.get(i)
+            if found is None:
+                row.update(status="skipped", reason=f"{len(y)} periods, needs {min_rows}")
+            elif isinstance(found, str):
+                row.update(status="failed", reason=f"no fit: {found}")
+            else:
+                used, one = found
                 p, d, q = used
                 row.update(
-                    order=list(used), const=fit_["const"], ar=list(fit_["ar"]), ma=list(fit_["ma"]),
-                    sigma2=fit_["sigma2"], aic=fit_["aic"], bic=fit_["bic"],
+                    order=list(used), const=one["const"], ar=list(one["ar"]), ma=list(one["ma"]),
+                    sigma2=one["sigma2"], aic=one["aic"], bic=one["bic"],
                     # newest first, as the recursion reads them
-                    w_tail=list(fit_["w"][::-1][:p]), e_tail=list(fit_["resid"][::-1][:q]),
+                    w_tail=list(one["w"][::-1][:p]), e_tail=list(one["resid"][::-1][:q]),
                     level=float(y[-1]), slope=float(y[-1] - y[-2]) if d > 1 else 0.0,
-                    resid_dates=list(pdf[date_col].iloc[d:]), resid=list(fit_["resid"]), status="fitted",
-                    converged=bool(fit_["converged"]),
+                    resid_dates=list(dates[a + d:b]), resid=list(one["resid"]), status="fitted",
+                    converged=bool(one["converged"]),
                 )
-            except Exception as err:  # reported per series
-                row.update(status="failed", reason=f"no fit: {err}")
-        return pd.DataFrame([row], columns=names)
+            out.append(row)
+        return pd.DataFrame(out, columns=names)
 
-    return train.select(*spec.columns).groupBy(*keys).applyInPandas(fit, schema)
+    return map_series(train.select(*spec.columns), keys, [date_col], fit, schema)
 
 
 def residuals(params: DataFrame, spec: SeriesSpec) -> DataFrame:

@@ -5,12 +5,11 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.ml import Model
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.forecast import arima
-from panelcast.forecast.residual import corrections, fit_booster, lag_scalers, residual_windows
+from panelcast.forecast.residual import corrections, fit_boosters, lag_scalers, residual_windows
 from panelcast.operators.alignment import HYBRID
 from panelcast.session import written
 from panelcast.spec import SeriesSpec
@@ -20,7 +19,7 @@ from panelcast.spec import SeriesSpec
 class HybridModel:
     params: DataFrame
     scalers: DataFrame
-    booster: Model | None
+    boosters: DataFrame
     seconds: float
 
 
@@ -36,13 +35,10 @@ def fit_hybrid(
     fitted = params.agg(F.count_if(F.col("status") == "fitted").alias("n"), F.count(F.lit(1)).alias("all")).first()
     if fitted.n == 0:
         raise RuntimeError(f"fitting failed for all {fitted.all} series; check length and finite values")
-    windows = residual_windows(arima.residuals(params, spec), spec).persist()
-    try:
-        scalers = written(lag_scalers(windows, spec), "lag_scalers")
-        model = fit_booster(windows, booster) if not windows.isEmpty() else None
-    finally:
-        windows.unpersist()
-    return HybridModel(params, scalers, model, time.perf_counter() - started)
+    windows = written(residual_windows(arima.residuals(params, spec), spec), "residual_windows")
+    scalers = written(lag_scalers(windows, spec), "lag_scalers")
+    boosters = written(fit_boosters(windows, spec, booster), "boosters")
+    return HybridModel(params, scalers, boosters, time.perf_counter() - started)
 
 
 def hybrid_forecast(model: HybridModel, spec: SeriesSpec, steps: int | None = None, horizon: DataFrame | None = None) -> DataFrame:
@@ -52,7 +48,7 @@ def hybrid_forecast(model: HybridModel, spec: SeriesSpec, steps: int | None = No
         params = params.join(horizon.select(*spec.keys, "horizon"), list(spec.keys))
     base = arima.arima_forecast(params, spec, steps, "horizon" if horizon is not None else None)
     until = steps if horizon is None else F.col("horizon")
-    added = corrections(model.booster, params, model.scalers, spec, until)
+    added = corrections(model.boosters, params, model.scalers, spec, until)
     return base.join(added, [*spec.keys, "step"], "left").select(
         *spec.keys, F.lit(HYBRID).alias("model"), "step", "date",
         (F.col("yhat") + F.coalesce("correction", F.lit(0.0))).alias("yhat"),

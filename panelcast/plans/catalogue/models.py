@@ -93,6 +93,26 @@ def info_walk(spark: SparkSession, sf: str) -> DataFrame:
     return shown(params.select(*KEY, (F.col("n_train") - 1).alias("n"), "sigma2", "aic", "bic"))
 
 
+@query("M4_exact_ar1", sql(
+    """SELECT store_id, sku_id, n, round((lo + hi) / 2, 5) + 0 AS phi,
+              round((a - b * (lo + hi) + c * ((lo + hi) / 2) ** 2) / n, 4) AS sigma2
+       FROM halved WHERE i = 60""", ["daily"], recursive=True,
+    moved="SELECT *, units_sold - lag(units_sold) OVER (PARTITION BY store_id, sku_id ORDER BY date) AS x FROM daily",
+    pairs="SELECT *, lag(x) OVER (PARTITION BY store_id, sku_id ORDER BY date) AS before FROM moved WHERE x IS NOT NULL",
+    sums="""SELECT store_id, sku_id, count(*) AS n, sum(x * x) AS a, sum(x * before) AS b,
+                   sum(x * x) - arg_min(x, date) ** 2 - arg_max(x, date) ** 2 AS c FROM pairs GROUP BY ALL HAVING count(*) >= 9""",
+    # The slope of the likelihood is a cubic with one root between -1 and 1, negative before it and positive past it.
+    halved="""SELECT *, CAST(-1 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi, 0 AS i FROM sums UNION ALL
+              SELECT store_id, sku_id, n, a, b, c, CASE WHEN slope < 0 THEN mid ELSE lo END, CASE WHEN slope < 0 THEN hi ELSE mid END, i + 1
+              FROM (SELECT *, n * (c * mid - b) * (1 - mid * mid) + mid * (a - 2 * b * mid + c * mid * mid) AS slope
+                    FROM (SELECT *, (lo + hi) / 2 AS mid FROM halved)) WHERE i < 60"""))
+def exact_autoregression(spark: SparkSession, sf: str) -> DataFrame:
+    """Maximum-likelihood coefficient and variance at order (1,1,0), whose slope is a cubic that SQL can solve."""
+    params = arima.fit_arima(daily(spark, sf), PANEL, (1, 1, 0), min_rows=10).where("status = 'fitted'")
+    return params.select(
+        *KEY, (F.col("n_train") - 1).alias("n"), (F.round(F.col("ar")[0], 5) + 0).alias("phi"), F.round("sigma2", 4).alias("sigma2"))
+
+
 @query("M9_panel_fit", sql(
     "SELECT status, count(*) AS n_series FROM (SELECT CASE WHEN count(*) < 20 THEN 'skipped' ELSE 'fitted' END AS status FROM history GROUP BY store_id, sku_id) GROUP BY status",
     ["placed"], **STEPS_SQL))
@@ -120,14 +140,10 @@ def residual_lags(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("M6_residual")
 def boosted_residuals(spark: SparkSession, sf: str) -> DataFrame:
-    """In-sample correction of every residual window."""
-    from pyspark.ml.functions import array_to_vector
-
+    """In-sample correction of every residual window by the trees of its series."""
     params = written(arima.fit_arima(training_part(spark, sf), PANEL, (1, 1, 1), min_rows=20), "params")
     rows = written(residual.residual_windows(arima.residuals(params, PANEL), PANEL), "residual_windows")
-    booster = residual.fit_booster(rows)
-    scored = booster.transform(rows.withColumn("features", array_to_vector("window_std")))
-    return scored.select(*KEY, "date", F.col("target").alias("resid"), F.col("prediction").alias("correction"))
+    return residual.corrected(rows, residual.fit_boosters(rows, PANEL), PANEL)
 
 
 @query("M8_hybrid")

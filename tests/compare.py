@@ -29,7 +29,7 @@ def local_session(cores: int = 8) -> SparkSession:
         "panelcast-local",
         **{
             "spark.master": f"local[{cores}]", "spark.sql.shuffle.partitions": str(cores), "spark.driver.memory": "8g",
-            "spark.ui.enabled": "false", "spark.sql.codegen.cache.maxEntries": "1000",
+            "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.codegen.cache.maxEntries": "1000",
         },
     )
 

@@ -1,12 +1,16 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from panelcast.forecast import arima, hybrid, pooled
+from panelcast.forecast import arima, hybrid, pooled, residual
+from panelcast.forecast import likelihood as lk
+from panelcast.forecast.batches import series_starts, whole_series
 from panelcast.forecast.recursion import roll_forward
+from panelcast.forecast.series_trees import fit_trees
 from panelcast.operators import alignment as al
 from panelcast.operators import evaluate as ev
 from panelcast.operators import splits
@@ -33,10 +37,136 @@ def test_css_recovers_parameters():
     assert abs(fit["const"] - 5) < 0.3
 
 
+def test_exact_fit_agrees_with_css_on_long_series():
+    rng = np.random.default_rng(1)
+    ys = []
+    for phi, theta, n in ((0.6, 0.3, 3000), (-0.4, 0.5, 2500), (0.2, -0.7, 2800)):
+        e, y = rng.normal(size=n), np.zeros(n)
+        for t in range(1, n):
+            y[t] = phi * y[t - 1] + e[t] + theta * e[t - 1]
+        ys.append(y + 5)
+    for order in ((1, 0, 1), (1, 0, 0), (0, 0, 1), (2, 0, 1)):
+        for y, fit in zip(ys, arima.fit_exact(ys, order)):  # lengths differ
+            css = arima.fit_css(y, order)
+            assert fit["converged"] and abs(fit["sigma2"] / css["sigma2"] - 1) < 2e-3
+            assert abs(fit["const"] - css["const"]) < 0.02
+            if order != (2, 0, 1):
+                assert np.allclose(np.r_[fit["ar"], fit["ma"]], np.r_[css["ar"], css["ma"]], atol=5e-3)
+
+
+def dense_likelihood(x, ar, ma):
+    """x' S^-1 x and log det S from the covariance matrix of an ARMA process with unit shocks."""
+    m, n = 800, len(x)
+    psi = np.zeros(m + n)
+    psi[0] = 1
+    for j in range(1, m + n):
+        psi[j] = (ma[j - 1] if j <= len(ma) else 0) + sum(a * psi[j - 1 - i] for i, a in enumerate(ar) if j - 1 - i >= 0)
+    cov = np.array([psi[:m] @ psi[h:h + m] for h in range(n)])
+    root = np.linalg.cholesky(cov[np.abs(np.arange(n)[:, None] - np.arange(n))])
+    u = np.linalg.solve(root, x)
+    return u @ u, 2 * np.log(np.diag(root)).sum()
+
+
+@pytest.mark.parametrize("ar, ma", [([0.5], []), ([], [-0.9]), ([0.5], [0.3]), ([0.5, 0.2], [-0.6]), ([-0.3], [0.4, 0.2])])
+def test_likelihood_and_its_slope(ar, ma):
+    """Two series of different length in one batch, against the dense covariance and finite differences."""
+    rng = np.random.default_rng(3)
+    xs = [rng.normal(size=40), rng.normal(size=25)]
+    batch = lk._Batch(xs, len(ar), len(ma), False)
+    z = np.tile(np.concatenate([lk.to_partial(np.array([ar])), lk.to_partial(-np.array([ma]))], 1), (2, 1))
+    squares, logs = batch.squares_and_logs(np.arange(2), z)
+    errors = batch.errors(z)
+    for i, x in enumerate(xs):
+        want = dense_likelihood(x, ar, ma)
+        assert np.allclose([squares[i] * batch.spread[i] ** 2, logs[i]], want)
+        assert (errors[i, : 40 - len(x)] == 0).all()
+    value, slope = batch.value_and_slope(np.arange(2), z)
+    for k in range(z.shape[1]):
+        h = np.zeros_like(z)
+        h[:, k] = 1e-6
+        assert np.allclose(slope[:, k], (batch.loss(np.arange(2), z + h) - batch.loss(np.arange(2), z - h)) / 2e-6, atol=1e-7)
+    assert np.allclose(lk.from_partial(lk.to_partial(np.array([ar or [0.1]]))), [ar or [0.1]])
+
+
+def brute_trees(x, y, rounds, rate, depth, l2=1.0):
+    """Boosting with a search over every split, one series."""
+    pred, trees = np.full(len(y), y.mean()), []
+
+    def grow(rows, g, level):
+        total, n = g[rows].sum(), len(rows)
+        before = total * total / (n + l2)
+        best, cut = 1e-12 * (1 + before), None
+        for f in range(x.shape[1]) if level < depth else ():
+            values = np.unique(x[rows, f])
+            for a, b in zip(values[:-1], values[1:]):
+                left = x[rows, f] <= (a + b) / 2
+                gl, nl = g[rows][left].sum(), left.sum()
+                rise = gl * gl / (nl + l2) + (total - gl) ** 2 / (n - nl + l2) - before
+                if rise > best + (1e-12 * (1 + before) if cut else 0):
+                    best, cut = rise, (f, (a + b) / 2)
+        if cut is None:
+            return -rate * total / (n + l2)
+        left = x[rows, cut[0]] <= cut[1]
+        return *cut, grow(rows[left], g, level + 1), grow(rows[~left], g, level + 1)
+
+    def leaf(node, row):
+        while isinstance(node, tuple):
+            node = node[2] if row[node[0]] <= node[1] else node[3]
+        return node
+
+    for _ in range(rounds):
+        trees.append(grow(np.arange(len(y)), pred - y, 0))
+        pred = pred + np.array([leaf(trees[-1], r) for r in x])
+    return pred
+
+
+def test_trees_of_many_series_equal_brute_force():
+    rng = np.random.default_rng(0)
+    sizes = [60, 33, 5, 80]
+    series = np.repeat(np.arange(4), sizes)
+    x = rng.normal(size=(sum(sizes), 4)).round(1)
+    y = np.sin(2 * x[:, 0]) + x[:, 1] ** 2 + rng.normal(size=len(x)) * 0.1
+    trees = fit_trees(series, x, y, 4, rounds=6, depth=3, rate=0.3)
+    got = trees.predict(series, x)
+    for s in range(4):
+        assert np.allclose(got[series == s], brute_trees(x[series == s], y[series == s], 6, 0.3, 3))
+
+
+def test_corrections_roll_the_trees_of_each_series(spark, panel):
+    """The recursion in batches equals one-step predictions of each series alone; horizons differ."""
+    params = arima.fit_arima(random_panel(panel), SPEC, (1, 1, 1)).persist()
+    windows = residual.residual_windows(arima.residuals(params, SPEC), SPEC).persist()
+    boosters, scalers = residual.fit_boosters(windows, SPEC, {"rounds": 5}).persist(), residual.lag_scalers(windows, SPEC)
+    until = F.when(F.col("store_id") == "S0", 2).otherwise(3)
+    got = {}
+    for r in residual.corrections(boosters, params, scalers, SPEC, until).orderBy("step").collect():
+        got.setdefault((r.store_id, r.sku_id), []).append(r.correction)
+    state = params.join(scalers, KEYS).join(boosters, KEYS).toPandas()
+    assert len(state) == 4
+    for i, r in state.iterrows():
+        trees, window, want = residual._stacked(state.iloc[i:i + 1]), np.array(r["resid"][-10:]), []
+        for _ in range(2 if r.store_id == "S0" else 3):
+            x = (window - r.lag_mean) / np.where(np.array(r.lag_std) > 0, r.lag_std, 1)
+            want.append(trees.predict(np.zeros(1, int), x[None])[0])
+            window = np.append(window[1:], want[-1])
+        assert np.allclose(got[r.store_id, r.sku_id], want)
+    fitted = residual.corrected(windows, boosters, SPEC)
+    sse = fitted.agg(F.sum(F.pow("resid", F.lit(2))), F.sum(F.pow(F.col("resid") - F.col("correction"), F.lit(2)))).first()
+    assert fitted.count() == windows.count() and sse[1] < sse[0]
+
+
+def test_batches_hold_whole_series():
+    frames = [pd.DataFrame({"k": list(p), "v": range(len(p))}) for p in ("aab", "bbb", "", "bc", "dd")]
+    batches = list(whole_series(frames, ["k"], rows=3))
+    assert ["".join(b.k) for b in batches] == ["aa", "bbbbb", "c", "dd"]
+    missing = pd.DataFrame({"k": ["a", None, None, "b"], "j": [1, 1, 1, 1]})
+    assert list(series_starts(missing, ["k", "j"])) == [0, 1, 3]
+
+
 def test_fit_rejects_bad_series():
-    with pytest.raises(ValueError, match="at least 3"):
+    with pytest.raises(ValueError, match="too short"):
         arima.fit_with_fallback(np.array([1.0, 2.0]), (1, 1, 1))
-    with pytest.raises(ValueError, match="non-finite"):
+    with pytest.raises(ValueError, match="missing or infinite"):
         arima.fit_with_fallback(np.array([1.0, np.nan, 2.0, 3.0]), (1, 1, 1))
     order, _ = arima.fit_with_fallback(np.array([1.0, 2.0, 4.0]), (3, 1, 2))
     assert order in arima.FALLBACK_ORDERS
@@ -48,7 +178,7 @@ def test_fold_equals_plain_recursion(panel, order):
     y = 20 + rng.normal(size=80).cumsum()
     params = arima.fit_arima(panel({("A", "x"): y}), SPEC, order)
     got = [r.yhat for r in arima.arima_forecast(params, SPEC, 6).orderBy("step").collect()]
-    fit = arima.fit_css(y, order)
+    fit = arima.fit_exact([y], order)[0]
     w, e, path = list(fit["w"]), list(fit["resid"]), []
     for _ in range(6):
         nxt = sum(a * w[-1 - i] for i, a in enumerate(fit["ar"])) + sum(b * e[-1 - j] for j, b in enumerate(fit["ma"]))
@@ -75,7 +205,7 @@ def test_status_per_series(panel):
     out = {r.store_id: (r.status, r.reason) for r in arima.fit_arima(df, SPEC, min_rows=20).collect()}
     assert out["A"] == ("fitted", None)
     assert out["B"] == ("skipped", "10 periods, needs 20")
-    assert out["C"][0] == "failed" and "non-finite" in out["C"][1]
+    assert out["C"][0] == "failed" and "missing or infinite" in out["C"][1]
 
 
 def test_nothing_fitted_is_an_error(panel):
@@ -139,7 +269,7 @@ def test_train_forecast_submit(spark, panel):
     cut = dt.date(2024, 1, 1) + dt.timedelta(days=96)
     history = df.where(F.col("date") < F.lit(cut))
     test = df.where(F.col("date") >= F.lit(cut)).drop("units_sold").withColumn("record_ID", F.concat_ws("_", *KEYS, F.col("date").cast("string")))
-    trained = train_and_backtest(history, SPEC, 10, kind="linear", booster={"maxIter": 3})
+    trained = train_and_backtest(history, SPEC, 10, kind="linear", booster={"rounds": 3})
     sizes = {r.model: r.n_samples for r in trained.metrics.collect()}
     assert set(sizes) == {"Sequence", "Hybrid", "Ensemble"} and len(set(sizes.values())) == 1
     ahead = future_forecast(trained, history, SPEC, 7)
