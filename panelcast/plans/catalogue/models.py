@@ -58,6 +58,24 @@ def recursive(spark: SparkSession, sf: str) -> DataFrame:
     return pooled.sequence_forecast(model, state, PANEL, STEPS)
 
 
+@query("M1_windows_network")
+def network_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Back-test of the recurrent network trained on the pooled windows."""
+    rows = written(windows(spark, sf), "windows")
+    model = pooled.fit_sequence_model(rows, SEQ, kind="network", max_iter=6, batch_size=128)
+    return pooled.predict_windows(model, rows.where("is_test"), PANEL)
+
+
+@query("M3_recursive_network")
+def recursive_network(spark: SparkSession, sf: str) -> DataFrame:
+    """Thirty steps ahead for every series by repeated one-step predictions of the network."""
+    rows = written(daily(spark, sf), "daily")
+    model = pooled.fit_sequence_model(
+        split_windows(rows, PANEL, SEQ, sequence_rule(SEQ)), SEQ, kind="network", max_iter=6, batch_size=128)
+    state = pooled.contexts(tail_windows(rows, PANEL, SEQ, pad=False), scalers(rows), PANEL)
+    return pooled.sequence_forecast(model, state, PANEL, STEPS)
+
+
 @query("M3_recursive_linear")
 def recursive_linear(spark: SparkSession, sf: str) -> DataFrame:
     rows = written(daily(spark, sf), "daily")
