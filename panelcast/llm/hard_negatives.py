@@ -270,7 +270,7 @@ class HardNegatives:
         def choose(f: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
             columns = ["tile", "part", "row", "label", "q", "low", "high", "kth", "_block"]
             if not len(f) or not len(d):
-                return pd.DataFrame({c: [] for c in columns})
+                return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
             d = d.sort_values(["tile", "part"])
             least, most = intervals(_matrix(f["q"], kind, dims).astype(exact), *(
                 _matrix(d[c], "<i8", dims).astype(exact) for c in ("low", "high")))
@@ -309,7 +309,7 @@ class HardNegatives:
         def look(f: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
             columns = ["row", "slot", "score", "hit_id", "hit_row"]
             if not len(f) or not len(t):
-                return pd.DataFrame({c: [] for c in columns})
+                return pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
             t = t.iloc[0]
             tile = {"points": np.frombuffer(t["points"], kind).reshape(-1, dims).astype(exact),
                     **{c: np.frombuffer(t[c], np.int64) for c in ("ids", "rows", "labels")}}

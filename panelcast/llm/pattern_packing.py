@@ -329,7 +329,7 @@ def pattern_pack(
     spark, id_type = docs.sparkSession, dict(docs.dtypes)[id_col]
     ids = ", ids binary" if keep_ids else ""
     stored = Scratch(spark, "pattern_packing").write(
-        docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text")).mapInPandas(
+        docs.select(F.col(id_col).cast("string").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInPandas(
             _pieces(vocabulary, window, end_id, keep_ids),
             f"_id string, piece int, start long, length long, crc long{ids}, block long, rank long"), "pieces")
     counts = stored.groupBy("block", "length").agg(F.count("*").alias("n"))

@@ -268,7 +268,7 @@ def align_tokenizers(
     b_size = sentencepiece.SentencePieceProcessor(model_file=(files or _default_files())[1]).get_piece_size()
     scratch = Scratch(spark, "alignment")
     stored = scratch.write(
-        docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text")).mapInPandas(_align(files), _LINKS),
+        docs.select(F.col(id_col).cast("string").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInPandas(_align(files), _LINKS),
         "links")
     blocks = stored.where("pairs is not null").select("block", "pairs", "docs").mapInPandas(
         _unfold(b_size), "block long, code int, a int, b int, docs long")
