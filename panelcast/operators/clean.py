@@ -12,6 +12,38 @@ from panelcast.functions.scalars import to_number
 from panelcast.spec import SeriesSpec
 
 
+def date_evidence(stamp: Column) -> dict[str, Column]:
+    """Aggregates that tell the order of day and month in texts such as 05/01/2022: the largest first and second number."""
+    shape = r"^\s*(\d{1,2})[/.-](\d{1,2})[/.-](\d{4}|\d{2})\s*$"
+
+    def largest(group: int) -> Column:
+        return F.max(F.regexp_extract(stamp.cast("string"), shape, group).try_cast("int"))
+
+    return {"first_number": largest(1), "second_number": largest(2)}
+
+
+def with_date_order(spec: SeriesSpec, first_number: int | None, second_number: int | None) -> SeriesSpec:
+    """The spec with its formats in the column's order: a first number above 12 can only be a day.
+
+    Without such evidence, or with evidence for both orders, the spec's own order stays.
+    """
+    return spec.day_first() if (first_number or 0) > 12 >= (second_number or 0) else spec
+
+
+def detect_date_order(df: DataFrame, spec: SeriesSpec) -> SeriesSpec:
+    """``with_date_order`` from one aggregate over the whole column."""
+    found = df.agg(*[c.alias(n) for n, c in date_evidence(F.col(spec.date)).items()]).first()
+    return with_date_order(spec, found.first_number, found.second_number)
+
+
+def unread_dates(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """Rows, rows without a date, and rows whose date cannot be read and which parsing therefore drops."""
+    missing = F.col(spec.date).isNull()
+    return df.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(missing).alias("n_missing"),
+        F.count_if(~missing & spec.period(F.col(spec.date)).isNull()).alias("n_unread"))
+
+
 def parse_columns(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Read dates and demand; rows whose date cannot be read are dropped."""
     return df.withColumns(

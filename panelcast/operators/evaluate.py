@@ -97,3 +97,37 @@ def run_analytics(runs: DataFrame, metrics: DataFrame) -> DataFrame:
         trained.select("s").scalar().alias("total_training_time"),
         (F.col("models_evaluated") > 0).alias("ready"),
     )
+
+
+def latest_forecasts(log: DataFrame, actuals: DataFrame, spec: SeriesSpec, lead: int = 1) -> DataFrame:
+    """Each actual with the newest forecast of each model made at least ``lead`` days before it.
+
+    ``log`` has (keys, model, origin, date, yhat); several runs may forecast the same date. Both sides meet by series and
+    date, and only then is the newest origin kept, so that no window over the log is needed.
+    """
+    on = [*spec.keys, spec.date]
+    known = actuals.select(*on, F.col(spec.demand).alias("y")).where(F.col("y").isNotNull())
+    made = log.withColumnRenamed("date", spec.date) if spec.date != "date" else log
+    in_time = made.join(known, on).where(F.date_diff(F.col(spec.date), F.col("origin")) >= lead)
+    return in_time.groupBy(*on, "model").agg(
+        F.first("y").alias("y"), F.max("origin").alias("origin"), F.max_by("yhat", "origin").alias("yhat"))
+
+
+def rolling_accuracy(log: DataFrame, actuals: DataFrame, spec: SeriesSpec, days: int = 30, lead: int = 1) -> DataFrame:
+    """Accuracy of each model over the last ``days`` days up to each date, all series together.
+
+    Columns: n (forecasts judged), mae, rmse, mape (percent, dates with an actual of zero left out), bias (mean of forecast
+    minus actual) and tracking (bias over mae; beyond a few tenths the model drifts). Sums by model and date come first, so
+    that the windows hold one row a day.
+    """
+    off = F.col("yhat") - F.col("y")
+    daily = latest_forecasts(log, actuals, spec, lead).groupBy("model", F.col(spec.date).alias("date")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(off).alias("off"), F.sum(F.abs(off)).alias("far"), F.sum(off * off).alias("square"),
+        F.sum(F.when(F.col("y") != 0, F.abs(off / F.col("y")))).alias("share"), F.count_if(F.col("y") != 0).alias("n_share"))
+    day = F.unix_date("date")
+    back = Window.partitionBy("model").orderBy(day).rangeBetween(1 - days, 0)
+    sums = daily.select("model", "date", *[F.sum(c).over(back).alias(c) for c in ("n", "off", "far", "square", "share", "n_share")])
+    return sums.select(
+        "model", "date", "n", (F.col("far") / F.col("n")).alias("mae"), F.sqrt(F.col("square") / F.col("n")).alias("rmse"),
+        F.when(F.col("n_share") > 0, F.col("share") / F.col("n_share") * 100).alias("mape"), (F.col("off") / F.col("n")).alias("bias"),
+        F.when(F.col("far") > 0, F.col("off") / F.col("far")).alias("tracking"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
 import uuid
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from panelcast.sinks import files
+
 EVENTS = T.StructType(
     [
         T.StructField("event_id", T.StringType()), T.StructField("at", T.TimestampType()),
@@ -87,7 +91,14 @@ def with_tag(events: DataFrame, tag: str) -> DataFrame:
 
 
 class Registry:
-    """Registry stored at ``path``; every change appends one event."""
+    """Registry stored at ``path``; every change appends one event.
+
+    Registrations are numbered by name, and each number is claimed by creating a file that must not exist. Of two writers that
+    register the same name at once, one gets the number; the other finds the name taken. A claim whose writer failed before its
+    event was written is void after ``PATIENCE_SECONDS`` and gives its number up to the next.
+    """
+
+    PATIENCE_SECONDS = 60.0
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
@@ -112,11 +123,35 @@ class Registry:
     ) -> None:
         if not overwrite and self.exists(name):
             raise ValueError(f"model {name!r} is already registered; pass overwrite=True to replace it")
+        event_id = self._claim(name, overwrite)
         self._append(
-            "register", name, model_type=model_type, version=version, metrics=dict(metrics or {}),
+            "register", name, event_id=event_id, model_type=model_type, version=version, metrics=dict(metrics or {}),
             config=dict(config or {}), tags=list(tags), file_path=file_path, description=description,
         )
 
+    def _claim(self, name: str, overwrite: bool) -> str:
+        """Take the next registration number of a name; the event id ends with it."""
+        folder = f"{self.path.rstrip('/')}_claims/{hashlib.sha256(name.encode()).hexdigest()}"
+        while True:
+            # Numbers that ended: their registration was removed or replaced, or never written.
+            taken = [int(n) for n in files.names(self.spark, folder) if n.isdigit()]
+            number = max(taken, default=0) + 1
+            if taken and not overwrite and not self._ended(name, folder, max(taken)):
+                raise ValueError(f"model {name!r} is being registered by another writer")
+            if files.create_once(self.spark, f"{folder}/{number}", repr(time.time())):
+                return f"{uuid.uuid4().hex}-{number}"
+            if not overwrite:
+                raise ValueError(f"model {name!r} was registered by another writer")
+
+    def _ended(self, name: str, folder: str, number: int) -> bool:
+        """Whether the registration with this number is over: removed since, or given up by its writer."""
+        mine = self.events().where((F.col("name") == name) & (F.col("action") == "register")).where(
+            F.element_at(F.split("event_id", "-"), -1) == str(number))
+        if not mine.isEmpty():
+            return not self.exists(name)
+        claimed = float(files.first_bytes(self.spark, [f"{folder}/{number}"])[0] or b"0")
+        return time.time() - claimed > self.PATIENCE_SECONDS
+
     def exists(self, name: str) -> bool:
         return not models(self.events()).where(F.col("name") == name).isEmpty()
 

@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from panelcast.operators import clean as c
 from panelcast.operators import validate as v
+from panelcast.operators.evaluate import error_metrics, rolling_accuracy
 from panelcast.operators.explore import newest
 from panelcast.operators.splits import panel_rule, split_series
 from panelcast.plans.catalogue.base import PANEL, SINGLE, daily, dirty, panel, query, shown, sql, table, totals
+from panelcast.plans.store import RunStore
 from panelcast.session import workspace
 from panelcast.sinks import writers
 from panelcast.sources import readers
 from panelcast.sources.ingest import ingest
 from panelcast.sources.roles import is_wide
-from panelcast.streaming.increments import ingest_available, running_totals
+from panelcast.streaming.increments import PartialSums, ingest_available, running_totals
 
 KEY = ["store_id", "sku_id"]
 
@@ -51,6 +53,36 @@ def folder(spark: SparkSession, sf: str) -> DataFrame:
     return shown(c.parse_columns(readers.read_folder(spark, path), PANEL))
 
 
+@query("S3_folder_mixed", sql(
+    "SELECT date, sum(units_sold) AS units_sold FROM panel WHERE store_id <> 'S4' GROUP BY date", ["panel"], doubles=["units_sold"], dates=["date"]))
+def folder_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of one folder with their columns in other orders, under another name, or empty; unusable ones are left out with a reason."""
+    base, rows = workspace(spark, "mixed"), daily(spark, sf).persist()
+    shapes = {"S0": PANEL.columns, "S1": PANEL.columns[::-1], "S2": ["units_sold", "date"], "S3": ["date", "sku_id", "units_sold"]}
+    for store, columns in shapes.items():
+        writers.write_csv(rows.where(F.col("store_id") == store).select(*columns), f"{base}/{store}")
+    writers.write_csv(rows.where("store_id = 'S4'").withColumnRenamed("date", "moment"), f"{base}/S4")
+    rows.unpersist()
+    found, skipped = readers.read_folder_usable(spark, base, "date", "units_sold")
+    assert skipped and all(reason == "no column date" and "/S4/" in path for path, reason in skipped)
+    return shown(c.collapse_duplicates(c.parse_columns(found, SINGLE), SINGLE))
+
+
+@query("P1_date_formats", sql(
+    "SELECT CAST(l_shipdate AS DATE) AS date, count(*) AS n_rows, sum(l_quantity) AS units_sold FROM lineitem GROUP BY 1", doubles=["units_sold"], dates=["date"]))
+def date_formats(spark: SparkSession, sf: str) -> DataFrame:
+    """A day-first source in seven spellings; the column itself tells the order of day and month."""
+    spellings = ["yyyy-MM-dd", "yyyyMMdd", "dd/MM/yyyy", "d.M.yyyy", "MMM d yyyy", "d MMM yyyy", "d/M/yy"]
+    text = F.date_format("l_shipdate", spellings[0])
+    for i, form in enumerate(spellings[1:], start=2):
+        text = F.when(F.col("l_linenumber") == i, F.date_format("l_shipdate", form)).otherwise(text)
+    rows = table(spark, sf, "lineitem").select(text.alias("date"), F.col("l_quantity").alias("units_sold"))
+    spec = c.detect_date_order(rows, SINGLE)
+    assert c.unread_dates(rows, spec).first().n_unread == 0
+    parsed = c.parse_columns(rows, spec)
+    return shown(parsed.groupBy("date").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("units_sold").alias("units_sold")))
+
+
 @query("S4_train_test", sql(
     """SELECT CASE WHEN pos >= greatest(least(greatest(CAST(floor(n_rows * CAST(0.8 AS DOUBLE)) AS BIGINT), 50), n_rows - 1), 0) THEN 'test' ELSE 'train' END AS part,
               count(*) AS n, sum(units_sold) AS units_sold FROM placed GROUP BY 1""", ["placed"], doubles=["units_sold"]))
@@ -84,6 +116,19 @@ def unpivot(spark: SparkSession, sf: str) -> DataFrame:
     return shown(readers.melt_wide(stored, start))
 
 
+@query("S9_unpivot_keyed", sql(
+    """SELECT k.item_id, d.date AS date, coalesce(t.units_sold, 0) AS demand
+       FROM (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM totals) d
+       CROSS JOIN (SELECT DISTINCT sku_id AS item_id FROM daily) k
+       LEFT JOIN (SELECT sku_id, date, sum(units_sold) AS units_sold FROM daily GROUP BY ALL) t ON t.date = d.date AND t.sku_id = k.item_id""",
+    ["totals", "daily"], doubles=["demand"], dates=["date"]))
+def unpivot_keyed(spark: SparkSession, sf: str) -> DataFrame:
+    """The wide layout with its key kept: one row per item and day."""
+    wide, start = _wide(spark, sf)
+    stored = readers.read_csv(spark, writers.write_csv(wide, workspace(spark, "wide_csv")))
+    return shown(readers.melt_wide(stored, start, keys=["item_id"]))
+
+
 @query("S10_manifest")
 def manifest(spark: SparkSession, sf: str) -> DataFrame:
     return readers.source_manifest(table(spark, sf, "lineitem"))
@@ -109,6 +154,21 @@ def increments(spark: SparkSession, sf: str) -> DataFrame:
     return shown(running_totals(spark, target, SINGLE))
 
 
+@query("S12_compacted", sql(
+    "SELECT CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS units_sold, count(*) AS n_rows FROM lineitem GROUP BY 1",
+    doubles=["units_sold"], dates=["date"]))
+def compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Partial sums of three batches, compacted after the second; the last batch is replayed."""
+    sums = PartialSums(spark, workspace(spark, "sums"), SINGLE)
+    rows = table(spark, sf, "lineitem").select(F.col("l_shipdate").alias("date"), F.col("l_quantity").alias("units_sold"), "l_linenumber")
+    for batch, part in enumerate(("l_linenumber <= 2", "l_linenumber between 3 and 4", "l_linenumber > 4", "l_linenumber > 4")):
+        sums.add(rows.where(part), min(batch, 2))
+        if batch == 1:
+            sums.compact()
+    assert len(sums.parts()) == 2
+    return shown(sums.totals())
+
+
 @query("S13_table_count", "SELECT count(*) AS n_rows FROM lineitem")
 def table_count(spark: SparkSession, sf: str) -> DataFrame:
     table(spark, sf, "lineitem").createOrReplaceTempView("demand_history")
@@ -268,6 +328,48 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
     return shown(writers.latest_unique(writers.read_runs(spark, path), KEY, ["created_at"]).drop("created_at"))
 
 
+@query("A22_rolling", sql(
+    """SELECT 'Naive' AS model, date, CAST(n AS BIGINT) AS n, far / n AS mae, sqrt(square / n) AS rmse, share / n * 100 AS mape, off / n AS bias, off / nullif(far, 0) AS tracking
+       FROM (SELECT date, sum(n) OVER w AS n, sum(off) OVER w AS off, sum(far) OVER w AS far, sum(square) OVER w AS square, sum(share) OVER w AS share
+             FROM by_day WINDOW w AS (ORDER BY date RANGE BETWEEN INTERVAL 29 DAYS PRECEDING AND CURRENT ROW))""", ["placed"],
+    doubles=["mae", "rmse", "mape", "bias", "tracking"], dates=["date"],
+    origins="SELECT store_id, sku_id, date, units_sold FROM placed WHERE pos % 28 = 0",
+    pairs="""SELECT a.date, a.units_sold AS y, o.units_sold AS yhat FROM daily a ASOF JOIN origins o
+             ON a.store_id = o.store_id AND a.sku_id = o.sku_id AND a.date - 1 >= o.date WHERE a.date - o.date <= 40""",
+    by_day="""SELECT date, count(*) AS n, sum(yhat - y) AS off, sum(abs(yhat - y)) AS far, sum((yhat - y) ** 2) AS square, sum(abs(yhat - y) / y) AS share
+              FROM pairs GROUP BY date"""))
+def rolling(spark: SparkSession, sf: str) -> DataFrame:
+    """Every 28th row of a series forecasts the next 40 days in a log of two runs; accuracy over the last 30 days."""
+    store, rows = RunStore(spark, workspace(spark, "store")), daily(spark, sf)
+    placed = rows.withColumn("pos", F.row_number().over(PANEL.ordered()) - 1).where("pos % 28 = 0")
+    log = placed.select(
+        *KEY, F.lit("Naive").alias("model"), F.col("date").alias("origin"), F.explode(F.sequence(F.lit(1), F.lit(40))).alias("step"),
+        F.col("units_sold").alias("yhat"), (F.col("pos") % 56).alias("half")).withColumn("date", F.date_add("origin", F.col("step")))
+    for run_id, half in (("even", 0), ("odd", 28)):
+        store.record_forecasts(log.where(F.col("half") == half), run_id, PANEL, F.col("origin"))
+    return shown(rolling_accuracy(store.table("forecasts"), rows, PANEL, days=30))
+
+
+@query("K4_metrics", sql(
+    """SELECT 'Naive' AS model, version, avg(abs(units_sold - before)) AS mae, count(*) AS n_samples, min(date) AS test_start, max(date) AS test_end
+       FROM (SELECT *, lag(units_sold) OVER (PARTITION BY store_id, sku_id ORDER BY date) AS before FROM daily), (VALUES ('1'), ('2')) v(version)
+       WHERE before IS NOT NULL GROUP BY version""", ["daily"], doubles=["mae"], dates=["test_start", "test_end"]))
+def stored_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of two versions of a model in the run store; the second is written twice by its run and refused to another."""
+    store = RunStore(spark, workspace(spark, "store"))
+    rows = daily(spark, sf).withColumn("yhat", F.lag("units_sold").over(PANEL.ordered())).where("yhat is not null")
+    judged = error_metrics(rows.select(F.lit("Naive").alias("model"), F.col("units_sold").alias("y"), "yhat"))
+    span = rows.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
+    for run_id, version in (("first", "1"), ("second", "2"), ("second", "2")):
+        store.record_metrics(judged, run_id, version, F.lit(span.a), F.lit(span.b), F.lit(1))
+    try:
+        store.record_metrics(judged, "third", "2", F.lit(span.a), F.lit(span.b), F.lit(1))
+        raise AssertionError("a claimed version was given twice")
+    except ValueError:
+        pass
+    return shown(store.table("metrics").select("model", "version", "mae", "n_samples", "test_start", "test_end"))
+
+
 @query("K5_page", """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_totalprice
                      FROM orders ORDER BY orders.o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 20""")
 def page(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.forecast import arima, hybrid, pooled, residual
+from panelcast.forecast.estimator import HybridForecaster
 from panelcast.operators import registry as reg
+from panelcast.operators.alignment import attach_forecasts
 from panelcast.operators.features import tail_windows
 from panelcast.operators.scaling import fit_minmax
 from panelcast.operators.splits import hybrid_rule, sequence_rule, split_series, split_windows
@@ -278,3 +280,33 @@ def save_load(spark: SparkSession, sf: str) -> DataFrame:
     store.save_model("windows", trained.model, workspace(spark, "window_model"))
     loaded = pooled.TrainedModel(store.load_model("windows"), SEQ, 0.0)
     return pooled.predict_windows(loaded, rows.where("is_test"), PANEL)
+
+
+@query("R7_hybrid")
+def hybrid_save_load(spark: SparkSession, sf: str) -> DataFrame:
+    """The hybrid as an estimator: fitted, registered, stored, loaded again and applied."""
+    train = training_part(spark, sf)
+    store = reg.Registry(spark, workspace(spark, "registry"))
+    store.register("hybrid", "hybrid")
+    store.save_model("hybrid", HybridForecaster(rounds=20).fit(train), workspace(spark, "hybrid_model"))
+    asked = train.groupBy(*KEY).agg(F.lit(STEPS).alias("horizon"))
+    return store.load_model("hybrid").transform(asked)
+
+
+@query("M7_corrections")
+def corrections_ahead(spark: SparkSession, sf: str) -> DataFrame:
+    """Residual corrections alone, thirty steps for every series, with the size of the residuals they continue."""
+    model = hybrid.fit_hybrid(training_part(spark, sf), PANEL)
+    ahead = residual.corrections(model.boosters, model.params, model.scalers, PANEL, STEPS)
+    spread = model.params.where("status = 'fitted'").select(*KEY, F.sqrt("sigma2").alias("resid_std"))
+    return ahead.join(spread, KEY)
+
+
+@query("M10_panel_forecasts")
+def panel_forecasts(spark: SparkSession, sf: str) -> DataFrame:
+    """Hybrid predictions of every series' own test rows, next to what happened."""
+    parts = split_series(daily(spark, sf), PANEL, hybrid_rule())
+    model = hybrid.fit_hybrid(parts.where(~F.col("is_test")).select(*PANEL.columns), PANEL)
+    held = parts.where("is_test")
+    ahead = hybrid.hybrid_forecast(model, PANEL, horizon=held.groupBy(*KEY).agg(F.count(F.lit(1)).alias("horizon")))
+    return attach_forecasts(held, ahead, PANEL).select(*PANEL.columns, "yhat")

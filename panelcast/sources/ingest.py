@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.operators.clean import clean_data
+from panelcast.operators.clean import clean_data, date_evidence, unread_dates, with_date_order
 from panelcast.operators.validate import validate_data
 from panelcast.sources.readers import IngestError, melt_wide, peek_columns, read_csv, read_many
 from panelcast.sources.roles import detect_series_roles, is_wide
+from panelcast.session import written
 from panelcast.spec import SeriesSpec
 
 
@@ -36,12 +37,17 @@ def ingest(
         if date is None or demand is None:
             raise IngestError(f"cannot tell the date and demand column among {columns}")
         raw, skipped = read_many(spark, sources, date, demand)
-    spec = SeriesSpec(date, demand, ())
+    # The files are read once: what is stored serves validation, cleaning and description, and the order of day and month is
+    # observed on the way.
+    seen = Observation("dates")
+    raw = written(raw.observe(seen, *[c.alias(n) for n, c in date_evidence(F.col(date)).items()]), "raw")
+    spec = with_date_order(SeriesSpec(date, demand, ()), seen.get["first_number"], seen.get["second_number"])
     findings = validate_data(raw, spec).where("severity <> 'info'").collect()  # at most one row per rule
     errors = [f.message for f in findings if f.severity == "error"]
     if errors:
         raise IngestError("validation failed: " + "; ".join(errors))
-    clean = clean_data(raw, spec)
+    clean = written(clean_data(raw, spec), "clean")
+    lost = unread_dates(raw, spec).first()
     facts = describe(clean, spec).first()
     if facts.n_rows < min_rows:
         raise IngestError(f"insufficient data: {facts.n_rows} rows, at least {min_rows} needed")
@@ -52,6 +58,7 @@ def ingest(
         "sales_col": demand,
         "sources": [s.rstrip("/").rsplit("/", 1)[-1] for s in sources],
         "skipped": skipped,
+        "unread_dates": lost.n_missing + lost.n_unread,
         "warnings": [f.message for f in findings if f.severity == "warning"],
     }
     return clean, meta

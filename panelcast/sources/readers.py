@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import re
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from urllib.parse import unquote
 
@@ -10,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions.scalars import to_number
+from panelcast.sinks import files
 from panelcast.sources.roles import day_columns
 from panelcast.spec import SeriesSpec
 
@@ -22,31 +26,92 @@ def read_csv(spark: SparkSession, path: str | list[str], **options: str) -> Data
     """Every column as text, so that no inference pass reads the files; cleaning casts later.
 
     Several files are read by column name: those with the same header form one scan, and a column that a file lacks is NULL.
+    Only the first bytes of each file are looked at for that.
     """
     one = spark.read.options(header=True, inferSchema=False, **options).csv(path)
-    if len(one.inputFiles()) < 2:
+    listed = [unquote(f) for f in one.inputFiles()]
+    if len(listed) < 2:
         return one
-    groups = _files_by_header(spark, path, options)
+    groups, _ = _by_header(spark, listed, options)
     if len(groups) < 2:
         return one
-    parts = [spark.read.options(header=True, inferSchema=False, **options).csv(files) for files in groups]
+    base = {"basePath": path} if isinstance(path, str) and not set(path) & set("*?[{") else {}
+    parts = [spark.read.options(header=True, inferSchema=False, **{**options, **base}).csv(names) for names in groups.values()]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
     return out
 
 
-def _files_by_header(spark: SparkSession, path: str | list[str], options: Mapping[str, str]) -> list[list[str]]:
-    """Paths of the files of each distinct first line, in the order of the paths; one row per file reaches the driver."""
-    lines = spark.read.options(**{k: v for k, v in options.items() if k == "pathGlobFilter"}).text(path)
-    first = (
-        lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
-                     F.monotonically_increasing_id().alias("at"))
-        .where("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header")).orderBy("file").collect())
+def _by_header(spark: SparkSession, paths: Sequence[str], options: Mapping[str, str]) -> tuple[dict[str, list[str]], list[tuple[str, str]]]:
+    """Files of each distinct first line, in the order of the paths, and the files without one with the reason."""
     groups: dict[str, list[str]] = {}
-    for row in first:
-        groups.setdefault(row["header"], []).append(unquote(row["file"]))
-    return list(groups.values())
+    skipped = []
+    for path, header in zip(paths, _headers(spark, list(paths), options.get("encoding", "utf-8"))):
+        if isinstance(header, Exception):
+            skipped.append((path, f"cannot be read: {str(header).splitlines()[0][:200]}"))
+        elif not header.strip():
+            skipped.append((path, "no header line"))
+        else:
+            groups.setdefault(header, []).append(path)
+    return groups, skipped
+
+
+def _headers(spark: SparkSession, paths: list[str], encoding: str) -> list[str | Exception]:
+    """First line of each file, from as many bytes as it takes."""
+    size, out = 1 << 16, dict(zip(paths, files.first_bytes(spark, paths)))
+    while True:
+        short = [p for p, raw in out.items() if isinstance(raw, bytes) and len(raw) >= size and b"\n" not in raw and b"\r" not in raw]
+        if not short:
+            break
+        size *= 8
+        out.update(zip(short, files.first_bytes(spark, short, size)))
+    lines = []
+    for path in paths:
+        raw = out[path]
+        text = raw if isinstance(raw, Exception) else raw.decode(encoding, "replace").lstrip("\ufeff")
+        lines.append(text if isinstance(text, Exception) else re.split("\r?\n|\r", text, maxsplit=1)[0])
+    return lines
+
+
+def read_usable(
+    spark: SparkSession, paths: Sequence[str], date: str, demand: str, **options: str
+) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """Union of (date, demand) over the CSV files below ``paths``, and the paths or files left out with the reason.
+
+    One scan for each distinct header; files that lack a column, are empty or cannot be opened are left out, not read as NULLs.
+    """
+    df, skipped, _ = _usable(spark, paths, date, demand, options)
+    return df, skipped
+
+
+def _usable(spark: SparkSession, paths: Sequence[str], date: str, demand: str, options: Mapping[str, str]):
+    """``read_usable`` and the path that each file was found below."""
+    found, skipped, source = [], [], {}
+    for path in paths:
+        try:
+            inside = files.below(spark, path, options.get("pathGlobFilter", "*"))
+        except Exception as err:
+            skipped.append((path, str(err).splitlines()[0][:200]))
+            continue
+        if not inside:
+            skipped.append((path, "no such file or folder, or no file in it"))
+        found += inside
+        source.update((name, path) for name in inside)
+    groups, broken = _by_header(spark, found, options)
+    skipped += broken
+    parts = []
+    reader = {k: v for k, v in options.items() if k != "pathGlobFilter"}
+    for header, names in groups.items():
+        columns = next(csv.reader([header], delimiter=options.get("sep", ","), quotechar=options.get("quote", '"')))
+        lacking = [c for c in (date, demand) if c not in columns]
+        if lacking:
+            skipped += [(name, f"no column {' or '.join(lacking)}") for name in names]
+        else:
+            parts.append(spark.read.options(header=True, inferSchema=False, **reader).csv(names).select(date, demand))
+    if not parts:
+        raise IngestError("none of the sources could be read")
+    return union_all(parts), skipped, source
 
 
 def peek_columns(spark: SparkSession, path: str) -> list[str]:
@@ -71,21 +136,22 @@ def read_folder(spark: SparkSession, folder: str) -> DataFrame:
 def read_many(
     spark: SparkSession, paths: Sequence[str], date: str, demand: str
 ) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """Union of (date, demand) over several CSVs, and the sources left out with the reason."""
-    parts, skipped = [], []
-    for path in paths:
-        try:
-            df = read_csv(spark, path)
-        except AnalysisException as err:
-            skipped.append((path, str(err).split("\n")[0]))
-            continue
-        if {date, demand} <= set(df.columns):
-            parts.append(df.select(date, demand))
-        else:
-            skipped.append((path, f"no column {date} or {demand}"))
-    if not parts:
-        raise IngestError("none of the sources could be read")
-    return union_all(parts), skipped
+    """Union of (date, demand) over several CSVs, and the sources left out with the reason; of a source that is used, its files."""
+    df, skipped, source = _usable(spark, paths, date, demand, {})
+    files_of, lost = Counter(source.values()), Counter(source[p] for p, _ in skipped if p in source)
+    out = []
+    for path, reason in skipped:
+        whole = source.get(path, path)
+        entry = (whole if lost[whole] == files_of[whole] else path, reason)
+        if entry not in out:
+            out.append(entry)
+    order = {path: i for i, path in enumerate(paths)}
+    return df, sorted(out, key=lambda e: order[source.get(e[0], e[0])])
+
+
+def read_folder_usable(spark: SparkSession, folder: str, date: str, demand: str) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """All usable ``*.csv`` files below a folder, and the others with the reason."""
+    return read_usable(spark, [folder], date, demand, pathGlobFilter="*.csv")
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:

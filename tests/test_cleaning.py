@@ -157,3 +157,21 @@ def test_finer_grain(spark):
     stamps = ["2024-01-01 10:05:00", "2024-01-01 10:50:00", "2024-01-01 11:00:00", "bad"]
     df = spark.createDataFrame([("A", "x", t, "2") for t in stamps], "store_id string, sku_id string, date string, units_sold string")
     assert values(clean.clean_data(df, hourly)) == [4, 2]
+
+
+def test_date_order_is_told_by_the_column(spark):
+    """A day above 12 settles the order for the whole column; without one the month comes first."""
+    def read(*texts):
+        df = spark.createDataFrame([(t, "1") for t in texts], "date string, units_sold string")
+        spec = clean.detect_date_order(df, SPEC.single())
+        lost = clean.unread_dates(df, spec).first()
+        days = [None if r.d is None else r.d.isoformat() for r in df.select(spec.period(F.col("date")).alias("d")).collect()]
+        return days, lost.n_unread
+
+    assert read("31/01/2022", "05/01/2022", "31.01.2022") == (["2022-01-31", "2022-01-05", "2022-01-31"], 0)
+    assert read("1/31/22", "05/01/2022") == (["2022-01-31", "2022-05-01"], 0)
+    assert read("05/01/2022") == (["2022-05-01"], 0)
+    assert read("13/01/2022", "01/13/2022", "02/03/2022") == (["2022-01-13", "2022-01-13", "2022-02-03"], 0)  # both: the spec's order
+    assert read("Jan 5 2022", "5 Jan 2022", "January 5, 2022", "5-Jan-2022", " 20220105 ", "5/1/68", "5/1/69") == (
+        ["2022-01-05"] * 5 + ["2068-05-01", "1969-05-01"], 0)
+    assert read("2022-02-30", "soon", None, "2022-01-05T10:00:00") == ([None, None, None, "2022-01-05"], 2)

@@ -40,6 +40,33 @@ def test_csv_round_trip_and_skipped_sources(spark, panel, tmp_path):
     assert validate_columns(df, ["date", "price"]) == (False, "Missing columns: ['price']")
 
 
+def test_headers_take_the_first_bytes(spark, tmp_path):
+    """Columns in any order, quoted names, empty, compressed and very wide files; long bodies are not read for it."""
+    import gzip
+
+    from panelcast.sinks import files
+
+    folder = tmp_path / "in"
+    (folder / "deep").mkdir(parents=True)
+    (folder / "a.csv").write_text("date,sales\n2024-01-01,1\n" + "2024-01-02,1\n" * 30_000)
+    (folder / "b.csv").write_text('\ufeff"sales","date","note, long"\r\n2,2024-01-01,"x\ny"\r\n')
+    (folder / "empty.csv").write_text("")
+    (folder / "odd.csv").write_text("day,sales\n2024-01-01,100\n")
+    (folder / "notes.txt").write_text("date,sales\n2024-01-01,1000\n")
+    (folder / "_hidden.csv").write_text("date,sales\n2024-01-01,1000\n")
+    (folder / "deep" / "c.csv.gz").write_bytes(gzip.compress(b"date,sales\n2024-01-01,4\n"))
+    wide = ",".join([f"c{i}" for i in range(20_000)])
+    (folder / "wide.csv").write_text(f"{wide},date,sales\n{',' * 20_000}2024-01-01,8\n")
+    df, skipped = readers.read_usable(spark, [str(folder)], "date", "sales", pathGlobFilter="*.csv*", multiLine="true")
+    assert df.where("date = '2024-01-01'").agg(F.sum(F.col("sales").cast("int"))).first()[0] == 1 + 2 + 4 + 8
+    assert sorted((p.rsplit("/", 1)[1], why) for p, why in skipped) == [("empty.csv", "no header line"), ("odd.csv", "no column date")]
+    head = files.first_bytes(spark, [str(folder / "a.csv"), str(folder / "absent")], 10)
+    assert head[0] == b"date,sales" and isinstance(head[1], Exception)
+    assert "," in readers._headers(spark, [str(folder / "wide.csv")], "utf-8")[0][-12:]
+    with pytest.raises(readers.IngestError, match="none of the sources"):
+        readers.read_usable(spark, [str(folder / "empty.csv"), str(tmp_path / "nowhere")], "date", "sales")
+
+
 def test_wide_melt(spark):
     wide = spark.createDataFrame([("a", "1", "2", None), ("b", "10", None, "x")], "item_id string, d_1 string, d_2 string, d_4 string")
     got = {str(r.date): r.demand for r in readers.melt_wide(wide, "2024-01-01").collect()}
