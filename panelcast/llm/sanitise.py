@@ -1,21 +1,22 @@
 """Personal data and the terms that give it away, in DataFrame functions only.
 
-Base spans (email, ip, card, phone) come from patterns. The values found are the protected entities. Terms are the words of
-letters outside base spans. Over all distinct texts it is counted how many hold the entity, n(e), how many hold the term,
-n(t), and how many hold both, n(t, e). The term's pointwise mutual information with the entity, as a share of the entity's information content,
-
-    log2(N p / n(e)) / log2(N / n(e))    with    p = (n(t, e) + SHRINK n(e) / N) / (n(t) + SHRINK)
-
-says how much of the entity the term discloses; 1 means that whoever sees the term knows the entity. The probability p of the
-entity given the term is shrunk towards n(e) / N by ``SHRINK`` texts, so that every entity is judged, also one that occurs
-once, and little evidence weighs less. Terms with a share of at least ``GENERALISE`` become a general word wherever
-they stand, also in documents without the entity; from ``REMOVE`` on they are removed. Copies of a text count once.
-
-Scale: pairs exist only in texts that hold an entity, as distinct terms, and meet partial aggregates. Entities that occur in one
-text only are counted as one, as they share their terms' values. A pair goes on only if n(t) is small enough for the share to
-be reached at all, so common terms leave before pairs are made. Term counts and hits over the corpus are taken for candidate
-terms alone: a Bloom bit array of at most ``MAX_BITS`` bits (a scalar subquery) drops other words before anything is shuffled,
-and the exact join follows.
+Base spans (email, ip, card, phone) come from patterns. The values found, and the parts of them that several values share
+(user and host of an address, the network of an ip, the issuer of a card, the area of a phone), are the protected events.
+Terms are the words of letters outside base spans. Over all distinct texts it is counted how many hold the event, n(e), how
+many hold the term, n(t), and how many hold both, n(t, e). The probability of the event given the term, p(e | t), is taken at
+the lower end of its confidence interval (Wilson, ``Z`` deviations), so that a term that met an event once by chance tells
+nothing. A term discloses the event when two amounts of information say so: what is left unknown of the event once the term is
+seen, -log2 p(e | t), is at most ``GENERALISE`` bits, and what the term adds, log2(p(e | t) N / n(e)), is at least
+``GAIN`` bits. Such terms become a general word wherever they stand, also in documents without the event; where at most
+``REMOVE`` bits stay unknown they are removed. Copies of a text count once.
+
+One bit left means p >= 1/2, which takes at least four texts that hold both; fewer never give enough evidence, so rare chance
+meetings, most of what a corpus holds, are left alone. What stands in fewer texts is protected by its base span.
+
+Scale: no text is shuffled or stored. Events and terms in fewer than the least number of texts leave before pairs are made,
+pairs exist only in texts that hold an event, and meet partial aggregates. Term counts and hits over the corpus are taken for
+candidate terms alone: a Bloom bit array of at most ``MAX_BITS`` bits (a scalar subquery) drops other words before anything is
+shuffled, and the exact join follows. Spans travel as (text hash, term, start, end).
 
 Patterns start only where a match can start (look-behind) and use possessive runs, so long texts without white space take
 linear time. Positions are code points; ends are exclusive.
@@ -34,7 +35,8 @@ from pyspark.sql import functions as F
 from panelcast.llm.common import Scratch, lower_ascii, table
 from panelcast.llm.url_filter import _bit_array, _passes, _positions
 
-SHRINK, GENERALISE, REMOVE = 1.0, 0.85, 0.97
+Z, GENERALISE, REMOVE, GAIN = 1.96, 1.0, 0.15, 3.0
+LEAST_TEXTS = math.ceil(Z * Z / (2**GENERALISE - 1))  # fewer texts cannot reach the lower bound that GENERALISE asks for
 MAX_BITS, BITS_PER_TERM = 1 << 27, 10
 BROADCAST_DOCS = 100_000
 KINDS = ["email", "ip", "card", "phone", "term"]
@@ -140,60 +142,71 @@ def _marked(terms: DataFrame, scratch: Scratch, name: str) -> tuple[Column, int]
     return _bit_array(words), bits
 
 
-def telling_terms(base: DataFrame, scratch: Scratch) -> DataFrame:
-    """Terms (term, removed) of the table ``base`` that disclose an entity."""
-    mentions = base.where(F.size("base") > 0).select("text_key", F.explode("base").alias("m"))
-    entity = F.concat_ws(":", F.col("m.k"), F.when(F.col("m.k") == 0, lower_ascii(F.col("m.v"))).otherwise(_digits(F.col("m.v"))))
-    held = scratch.write(mentions.select("text_key", entity.alias("entity")).distinct(), "held")
-    n_e = held.groupBy("entity").agg(F.count("*").alias("n_e"))
-    # All entities that only one text holds have the same counts with its terms.
-    held = held.join(n_e, "entity").select("text_key", "n_e", F.when(
-        F.col("n_e") == 1, F.col("text_key").cast("string")).otherwise(F.concat(F.lit("e"), "entity")).alias("entity")).distinct()
-    own = scratch.write(base.where(F.size("base") > 0).select("text_key", F.explode(_terms_of(F.col("bare"))).alias("term")).distinct(), "own")
-    none = own.select("term", F.lit(False).alias("removed")).where(F.lit(False))
-    terms = scratch.write(own.select("term").distinct(), "terms")
+def protected_events(m: Column) -> Column:
+    """The value of a span and the parts of it that other values may share, each with its kind."""
+    digits, address = _digits(m["v"]), lower_ascii(m["v"])
+    parts = F.when(m["k"] == 0, F.array(
+        F.concat(F.lit("0="), address), F.concat(F.lit("0u="), F.substring_index(address, "@", 1)),
+        F.concat(F.lit("0h="), F.substring_index(address, "@", -1)))
+    ).when(m["k"] == 1, F.array(F.concat(F.lit("1="), m["v"]), F.concat(F.lit("1n="), F.substring_index(m["v"], ".", 3)))
+    ).when(m["k"] == 2, F.array(F.concat(F.lit("2="), digits), F.concat(F.lit("2i="), F.substring(digits, 1, 6)))
+    ).otherwise(F.array(F.concat(F.lit("3="), digits), F.concat(F.lit("3a="), F.substring(digits, 1, 6))))
+    return F.array_distinct(parts)
+
+
+def certain(both: Column, n_t: Column) -> Column:
+    """Lower end of the confidence interval of the share ``both / n_t`` (Wilson)."""
+    p, z2 = both / n_t, Z * Z
+    spread = F.sqrt(p * (1 - p) / n_t + F.lit(z2 / 4) / (n_t * n_t)) * F.lit(Z)
+    return F.greatest((p + F.lit(z2 / 2) / n_t - spread) / (1 + F.lit(z2) / n_t), F.lit(1e-300))
+
+
+def telling_terms(base: DataFrame, bare: DataFrame, scratch: Scratch) -> DataFrame:
+    """Terms (term, removed) that disclose an event; ``base`` has (text_key, base), ``bare`` (text_key, bare, mentions)."""
+    held = base.where(F.size("base") > 0).select("text_key", F.explode("base").alias("m")).select(
+        "text_key", F.explode(protected_events(F.col("m"))).alias("event")).distinct()
+    held = scratch.write(held, "held")
+    n_e = held.groupBy("event").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= LEAST_TEXTS)
+    held = scratch.write(held.join(n_e, "event"), "events")
+    own = bare.where("mentions > 0").select("text_key", F.explode(_terms_of(F.col("bare"))).alias("term")).distinct()
+    own = scratch.write(own.join(held.select("text_key").distinct(), "text_key", "left_semi"), "own")
+    often = own.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_TEXTS).drop("n")
+    pairs = scratch.write(own.join(often, "term").join(held, "text_key").groupBy("term", "event", "n_e").agg(
+        F.count("*").alias("n_te")).where(F.col("n_te") >= LEAST_TEXTS), "pairs")
+    terms = scratch.write(pairs.select("term").distinct(), "terms")
     marked = _marked(terms, scratch, "bits")
     if marked is None:
-        return none
-    times = scratch.write(base.groupBy("text_key").agg(F.count("*").alias("times")), "times")
-    n_texts = float(times.count())
-    # The copies of a text count as one together; the sum of their shares is a whole number up to rounding.
-    every = base.join(times.where("times > 1"), "text_key", "left").select(
-        (1.0 / F.coalesce("times", F.lit(1))).alias("w"), F.explode(_terms_of(F.col("bare"))).alias("term"))
-    n_t = every.where(_passes(marked[0], F.col("term"), 0, 0, marked[1])).groupBy("term").agg(
-        F.round(F.sum("w")).cast("long").alias("n_t")).join(terms, "term", "left_semi")
-    known = F.lit(n_texts) / F.col("n_e")
-
-    def share(both: Column) -> Column:
-        return F.log2((both + SHRINK / known) / (F.col("n_t") + SHRINK) * known) / F.log2(known)
-
-    pairs = own.join(n_t, "term").join(held.where(F.col("n_e") < n_texts), "text_key").where(
-        share(F.least("n_t", "n_e")) >= GENERALISE).groupBy("term", "entity", "n_t", "n_e").agg(F.count("*").alias("n_te"))
-    return scratch.write(pairs.withColumn("share", share(F.col("n_te"))).where(F.col("share") >= GENERALISE).groupBy("term").agg(
-        F.max(F.col("share") >= REMOVE).alias("removed")), "telling")
+        return terms.select("term", F.lit(False).alias("removed")).where(F.lit(False))
+    n_texts = float(base.select("text_key").distinct().count())
+    n_t = bare.select("text_key", F.explode(_terms_of(F.col("bare"))).alias("term")).where(
+        _passes(marked[0], F.col("term"), 0, 0, marked[1])).distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    p = certain(F.col("n_te"), F.col("n_t"))
+    judged = pairs.join(n_t, "term").withColumns({"left": -F.log2(p), "gain": F.log2(p * F.lit(n_texts) / F.col("n_e"))})
+    return scratch.write(judged.where((F.col("left") <= GENERALISE) & (F.col("gain") >= GAIN)).groupBy("term").agg(
+        F.max(F.col("left") <= REMOVE).alias("removed")), "telling")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``_id``, ``text_key``, ``base`` (k, s, e, v) and ``terms`` (s, e, removed)."""
     scratch = Scratch(docs.sparkSession, "pii")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    named = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("text_key"))
-    based = named.withColumn("base", base_spans(F.col("_text")))
-    base = scratch.write(based.select("_id", "text_key", "base", _blanked(F.col("_text"), F.col("base")).alias("bare")), "base")
-    telling = telling_terms(base, scratch)
+    based = docs.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("text_key")).withColumn(
+        "base", base_spans(F.col("_text")))
+    base = scratch.write(based.select("_id", "text_key", "base"), "base")
+    # Worked out from the texts in each pass that needs it: storing it would double the texts.
+    bare = based.select("text_key", _blanked(F.col("_text"), F.col("base")).alias("bare"), F.size("base").alias("mentions"))
+    telling = telling_terms(base, bare, scratch)
     marked = _marked(telling.select("term"), scratch, "told")
     none = F.array().cast("array<struct<s:int,e:int,removed:boolean>>")
     spans = F.transform("base", lambda m: F.struct(m["k"].alias("k"), m["s"].alias("s"), m["e"].alias("e"))).alias("base")
     if marked is None:
         return base.select("_id", "text_key", spans, none.alias("terms"))
-    hits = scratch.write(
-        base.select("text_key", F.explode(_terms_of(F.col("bare"))).alias("term"))
-        .where(_passes(marked[0], F.col("term"), 0, 0, marked[1])).distinct().join(telling, "term").groupBy("text_key").agg(
-            F.collect_list("term").alias("told"), F.collect_list(F.when(F.col("removed"), F.col("term"))).alias("gone")), "hits")
-    found = matches(F.col("bare"), TERM, lambda v: F.array_contains(F.col("told"), F.lower(v)))
-    added = scratch.write(base.join(hits, "text_key").select("text_key", F.transform(found, lambda t: F.struct(
-        t["s"].alias("s"), t["e"].alias("e"), F.array_contains("gone", F.lower(t["v"])).alias("removed"))).alias("terms")
-        ).dropDuplicates(["text_key"]), "added")
+    likely = lambda v: _passes(F.col("_bits"), F.lower(v), 0, 0, marked[1])
+    found = bare.withColumn("_bits", marked[0]).select(
+        "text_key", F.explode(matches(F.col("bare"), TERM, likely)).alias("t")).select(
+        "text_key", F.lower("t.v").alias("term"), "t.s", "t.e").distinct()
+    added = scratch.write(found.join(telling, "term").groupBy("text_key").agg(
+        F.sort_array(F.collect_list(F.struct("s", "e", "removed"))).alias("terms")), "added")
     return base.select("_id", "text_key", spans).join(added, "text_key", "left").select(
         "_id", "text_key", "base", F.coalesce("terms", none).alias("terms"))
 
