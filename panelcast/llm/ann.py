@@ -2,17 +2,18 @@
 
 Inner products become distances by one more coordinate, sqrt(M - |x|^2) with M the largest squared norm, so that the nearest
 vector is the one with the largest product. Centroids are fitted on a bounded sample by k-means whose assignment charges for
-full clusters. Every vector is then posted to its nearest centroid and, if it lies near a boundary, to more: those within
-``closure`` times the smallest distance, unless a centroid taken before is nearer to them than the vector is. Centroids are
-searched with a best-first walk over their neighbour graph, held in memory (``MAX_LISTS`` centroids at most). A query reads
-the lists whose centroid is within ``prune`` times the distance of its nearest one, and more while they hold too few vectors.
+full clusters. Every vector is then posted to its nearest centroid and, if it lies near a boundary, to up to ``REPLICAS`` in all:
+those within ``CLOSURE`` times the smallest distance, unless a centroid taken before lies in nearly the same direction (closer
+to it than ``APART`` times the vector's distance). Centroids are searched with a best-first walk over their neighbour graph, held
+in memory (``MAX_LISTS`` centroids at most). A query reads all lists whose centroid is within ``PRUNE`` times the distance of its
+nearest one; the ratio alone decides, as a walk whose beam ends too early is repeated with twice the beam.
 
 Lists longer than ``block`` are split by hash, so a task never holds an unbounded list; a query goes to all parts of a list.
 Each part returns its best ``k`` per query, and the best of all parts are ranked.
 
 Defined results: vectors that are NULL, zero, hold a NULL, NaN or infinite component, or have another length than the valid
-vector with the smallest id take no part. A NULL id takes no part. Of rows with the same id the one with the smallest vector
-counts. Ties go to the smaller id. With fewer than two vectors there are no rows. Other columns are not read.
+vector with the smallest id take no part. A NULL id takes no part. Rows that repeat an id are queries and candidates of their own,
+each row but the query's own. Ties go to the smaller id. With fewer than two vectors there are no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from panelcast.llm.common import Scratch, sorted_groups, table
 
 K, LIST_SIZE, MAX_LISTS, SAMPLE = 20, 400, 2048, 40_000
-CLOSURE, REPLICAS, PRUNE, MAX_READ = 1.12, 4, 1.45, 48
+CLOSURE, REPLICAS, APART, PRUNE = 1.12, 4, 0.5, 1.35
 BLOCK, DEGREE, BEAM, SEED = 1024, 24, 96, 2
 
 
@@ -90,6 +91,24 @@ def walk(x: np.ndarray, centre: np.ndarray, graph: np.ndarray, beam: int) -> tup
     return np.sqrt(np.maximum(np.take_along_axis(dist, order, 1), 0)), np.take_along_axis(ids, order, 1)
 
 
+def lists_near(x: np.ndarray, centre: np.ndarray, graph: np.ndarray, ratio: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """Every centroid within ``ratio`` times the distance of the nearest one, as (row, list).
+
+    Rows whose beam ends before that distance walk again with twice the beam, so the ratio alone decides.
+    """
+    rows, lists = [], []
+    open_ = np.arange(len(x))
+    while len(open_):
+        dist, ids = walk(x[open_], centre, graph, beam)
+        inside = np.isfinite(dist) & (dist <= ratio * dist[:, :1] + 1e-12)
+        done = ~inside[:, -1] | (dist.shape[1] == len(centre))
+        at, place = np.nonzero(inside & done[:, None])
+        rows.append(open_[at])
+        lists.append(ids[at, place])
+        open_, beam = open_[~done], 2 * beam
+    return np.concatenate(rows), np.concatenate(lists)
+
+
 def _lifted(x: np.ndarray, most: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(most - (x**2).sum(1), 0))[:, None]], axis=1)
 
@@ -109,38 +128,27 @@ def _post(index, most):
                     for d, c in zip(dist[r], ids[r]):
                         if len(chosen) == REPLICAS or (chosen and d > CLOSURE * dist[r, 0]):
                             break
-                        if not np.isfinite(d) or any(((centre[c] - centre[o]) ** 2).sum() < d * d for o in chosen):
+                        if not np.isfinite(d) or any(((centre[c] - centre[o]) ** 2).sum() < (APART * d) ** 2 for o in chosen):
                             continue
                         chosen.append(c)
                     vec += [r] * len(chosen)
                     lists += chosen
                 out = g.iloc[vec]
-                yield pd.DataFrame({"vec_id": out["vec_id"].to_numpy(), "v": out["v"].to_numpy(), "list": lists})
+                yield pd.DataFrame({"row": out["row"].to_numpy(), "vec_id": out["vec_id"].to_numpy(), "v": out["v"].to_numpy(), "list": lists})
     return run
 
 
-def _route(index, most, sizes, k):
+def _route(index):
     """Lists that each query reads."""
     def run(frames):
         centre, graph = index.value
-        size = sizes.value
         for f in frames:
             for at in range(0, len(f), 1024):
                 g = f.iloc[at:at + 1024]
                 x = np.stack(g["v"]).astype(np.float64)
-                dist, ids = walk(np.concatenate([x, np.zeros((len(x), 1))], axis=1), centre, graph, BEAM)
-                row, lists = [], []
-                for r in range(len(g)):
-                    held = 0
-                    for i, (d, c) in enumerate(zip(dist[r], ids[r])):
-                        if held >= 4 * REPLICAS * k and (i >= MAX_READ or d > PRUNE * dist[r, 0]):
-                            break
-                        if np.isfinite(d):
-                            row.append(r)
-                            lists.append(c)
-                            held += size[c]
-                out = g.iloc[row]
-                yield pd.DataFrame({"vec_id": out["vec_id"].to_numpy(), "v": out["v"].to_numpy(), "list": lists})
+                at_row, lists = lists_near(np.concatenate([x, np.zeros((len(x), 1))], axis=1), centre, graph, PRUNE)
+                out = g.iloc[at_row]
+                yield pd.DataFrame({"row": out["row"].to_numpy(), "vec_id": out["vec_id"].to_numpy(), "v": out["v"].to_numpy(), "list": lists})
     return run
 
 
@@ -151,9 +159,10 @@ def _search(k):
             if query.all() or not query.any():
                 continue
             mine, theirs = g[query], g[~query]
-            own, other = mine["vec_id"].to_numpy(), theirs["vec_id"].to_numpy()
-            order = np.argsort(other, kind="stable")
-            other = other[order]
+            own, own_id = mine["row"].to_numpy(), mine["vec_id"].to_numpy()
+            other, other_id = theirs["row"].to_numpy(), theirs["vec_id"].to_numpy()
+            order = np.lexsort((other, other_id))  # ties of the score then fall to the smaller id, as sorting is stable
+            other, other_id = other[order], other_id[order]
             base = np.stack(theirs["v"]).astype(np.float64)[order]
             vectors = np.stack(mine["v"]).astype(np.float64)
             for at in range(0, len(own), 512):
@@ -164,7 +173,8 @@ def _search(k):
                 ok = np.isfinite(score[q, j])
                 q, j = q[ok], j[ok]
                 exact = np.einsum("ij,ij->i", vectors[at + q], base[j])
-                yield pd.DataFrame({"query_id": own[at + q], "vec_id": other[j], "score": exact})
+                yield pd.DataFrame({
+                    "query_row": own[at + q], "query_id": own_id[at + q], "row": other[j], "vec_id": other_id[j], "score": exact})
     return run
 
 
@@ -173,10 +183,11 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
     v = F.col(vector_col).cast("array<double>")
-    named = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(
+    named = vectors.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull()
         & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
-    named = scratch.write(named.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+    named = scratch.write(named, "vectors")
     first = named.agg(F.min_by(F.size("v"), "vec_id")).first()[0]
     named = named.where(F.size("v") == F.lit(first or 0))
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
@@ -185,27 +196,27 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     if not count:
         return spark.createDataFrame([], result)
     lists = int(min(MAX_LISTS, max(1, -(-count // LIST_SIZE))))
-    sample = named.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(SAMPLE).select("v").toPandas()
+    sample = named.orderBy(F.xxhash64("row", F.lit(SEED)), "row").limit(SAMPLE).select("v").toPandas()
     x = _lifted(np.stack(sample["v"]).astype(np.float64), most)
     lists = min(lists, len(x))
     centre = fit_centroids(x, lists)
     graph = neighbour_graph(centre, DEGREE) if lists > 1 else np.zeros((1, 1), int)
     index = spark.sparkContext.broadcast((centre, graph))  # at most MAX_LISTS rows
-    shape = "vec_id long, v array<double>, list int"
+    shape = "row long, vec_id long, v array<double>, list int"
     posted = scratch.write(named.mapInPandas(_post(index, most), shape), "posted")
     size = np.zeros(lists, np.int64)
     for r in posted.groupBy("list").count().collect():  # at most MAX_LISTS rows
         size[r["list"]] = r["count"]
-    routed = named.where(queries).mapInPandas(_route(index, most, spark.sparkContext.broadcast(size), k), shape)
+    routed = named.where(queries).mapInPandas(_route(index), shape)
     parts = F.get(F.lit(list(map(int, -(-np.maximum(size, 1) // BLOCK)))), F.col("list")).cast("int")
-    stored = posted.select("vec_id", "v", F.lit(False).alias("query"), F.xxhash64(
-        "list", F.pmod(F.xxhash64("vec_id"), parts).cast("int")).alias("part"))
+    stored = posted.select("row", "vec_id", "v", F.lit(False).alias("query"), F.xxhash64(
+        "list", F.pmod(F.xxhash64("row"), parts).cast("int")).alias("part"))
     asked = routed.withColumn("p", F.explode(F.sequence(F.lit(0), parts - 1))).select(
-        "vec_id", "v", F.lit(True).alias("query"), F.xxhash64("list", "p").alias("part"))
+        "row", "vec_id", "v", F.lit(True).alias("query"), F.xxhash64("list", "p").alias("part"))
     found = stored.unionAll(asked).repartition("part").sortWithinPartitions("part").mapInPandas(
-        _search(k), "query_id long, vec_id long, score double")
-    unique = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        _search(k), "query_row long, query_id long, row long, vec_id long, score double")
+    unique = found.groupBy("query_row", "query_id", "row", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row"))
     return unique.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -170,9 +170,12 @@ def telling_terms(base: DataFrame, bare: DataFrame, scratch: Scratch) -> DataFra
     held = scratch.write(held.join(n_e, "event"), "events")
     own = bare.where("mentions > 0").select("text_key", F.explode(_terms_of(F.col("bare"))).alias("term")).distinct()
     own = scratch.write(own.join(held.select("text_key").distinct(), "text_key", "left_semi"), "own")
-    often = own.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_TEXTS).drop("n")
-    pairs = scratch.write(own.join(often, "term").join(held, "text_key").groupBy("term", "event", "n_e").agg(
-        F.count("*").alias("n_te")).where(F.col("n_te") >= LEAST_TEXTS), "pairs")
+    often = own.groupBy("term").agg(F.count("*").alias("n_own")).where(F.col("n_own") >= LEAST_TEXTS)
+    # n(t) is at least the number of these texts that hold the term: pairs that fail with it fail with n(t), so common words
+    # leave before the corpus is counted.
+    pairs = scratch.write(own.join(often, "term").join(held, "text_key").groupBy("term", "event", "n_e", "n_own").agg(
+        F.count("*").alias("n_te")).where(F.col("n_te") >= LEAST_TEXTS).where(
+        -F.log2(certain(F.col("n_te"), F.col("n_own"))) <= GENERALISE).drop("n_own"), "pairs")
     terms = scratch.write(pairs.select("term").distinct(), "terms")
     marked = _marked(terms, scratch, "bits")
     if marked is None:
