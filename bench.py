@@ -19,7 +19,7 @@ HEADLINE = [
     "P1P2_parse", "C2_clean_panel", "P5_profile", "P6_validation", "P7_quality", "S1_csv", "S12_increments",
     "A2_summary", "A3_demand_stats", "A7_resample_month", "J7_gap_fill", "A9_box", "A11_corr", "A12_acf", "A12_pacf", "A13_iqr",
     "F2_lag", "F3_rolling", "F5_windows", "X4_split", "Z3_standard", "T2_top_products",
-    "M4_ar1", "M17_submission", "A14_metrics", "K3_pivot", "M4_arima", "M2_windows_linear", "M3_recursive", "M8_hybrid",
+    "M4_ar1", "M17_submission", "A14_metrics", "K3_pivot", "M4_arima", "M2_windows_linear", "M3_recursive", "M6_residual", "M8_hybrid",
     "I5_recommend", "I6_projection", "I8_stockout", "L11_report", "R4_merge",
 ]
 

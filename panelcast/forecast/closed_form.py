@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from panelcast.spec import SeriesSpec
 
 
-def _over_steps(params: DataFrame, spec: SeriesSpec, model: str, steps: int, yhat) -> DataFrame:
-    rows = params.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+def _over_steps(params: DataFrame, spec: SeriesSpec, model: str, steps: int | DataFrame, yhat) -> DataFrame:
+    """One row per step; ``steps`` is one number, or a table (keys, horizon) with a horizon for each series."""
+    if isinstance(steps, DataFrame):
+        ahead = params.join(steps.select(*spec.keys, "horizon"), list(spec.keys)).where("horizon > 0")
+        until = F.col("horizon").cast("int")
+    else:
+        ahead, until = params, F.lit(int(steps))
+    rows = ahead.withColumn("step", F.explode(F.sequence(F.lit(1), until)))
     return rows.select(
         *spec.keys, F.lit(model).alias("model"), "step",
         F.date_add(F.col("last_date").cast("date"), F.col("step")).alias("date"),
@@ -17,7 +23,7 @@ def _over_steps(params: DataFrame, spec: SeriesSpec, model: str, steps: int, yha
     )
 
 
-def naive_forecast(df: DataFrame, spec: SeriesSpec, steps: int) -> DataFrame:
+def naive_forecast(df: DataFrame, spec: SeriesSpec, steps: int | DataFrame) -> DataFrame:
     """Order (0,1,0): the last value carried forward."""
     last = df.groupBy(*spec.keys).agg(
         F.max(spec.date).alias("last_date"), F.max_by(spec.demand, spec.date).alias("level")
@@ -40,7 +46,7 @@ def fit_ar1(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     )
 
 
-def ar1_forecast(df: DataFrame, spec: SeriesSpec, steps: int) -> DataFrame:
+def ar1_forecast(df: DataFrame, spec: SeriesSpec, steps: int | DataFrame) -> DataFrame:
     phi, const, level = F.col("phi"), F.col("const"), F.col("level")
 
     def yhat(h: Column) -> Column:
@@ -62,7 +68,7 @@ def fit_diff_ar1(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     )
 
 
-def diff_ar1_forecast(df: DataFrame, spec: SeriesSpec, steps: int) -> DataFrame:
+def diff_ar1_forecast(df: DataFrame, spec: SeriesSpec, steps: int | DataFrame) -> DataFrame:
     phi = F.col("phi")
 
     def yhat(h: Column) -> Column:

@@ -71,6 +71,13 @@ def check_params(params: DataFrame) -> DataFrame:
     return params.withColumn("reason", F.concat_ws("; ", *reasons)).where("reason <> ''")
 
 
+def require_params(params: DataFrame, shown: int = 10) -> None:
+    """Raise when rows of a parameter table break a range; the first few are named with the reason."""
+    bad = check_params(params).limit(shown).collect()
+    if bad:
+        raise ValueError("invalid parameters: " + "; ".join(str(r.asDict()) for r in bad))
+
+
 def recommendations(
     demand: DataFrame,
     spec: SeriesSpec,
@@ -80,7 +87,8 @@ def recommendations(
 ) -> DataFrame:
     """One replenishment row per series.
 
-    ``params`` is one set for all, or a table with a row per series. The forecast sets the safety
+    ``params`` is one set for all, or a table with a row per series, whose rows outside the ranges give NULL figures; see
+    ``require_params`` and ``plans.training.stock_plan`` for flows that refuse them. The forecast sets the safety
     stock wherever it has more than one value. ``display`` rounds as the report shows the figures.
     """
     keys = list(spec.keys)

@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from panelcast.functions.scalars import to_number, to_timestamp_or_null
 from panelcast.operators.explore import one_row, tukey_fences
 from panelcast.operators.quantiles import quantiles_from_counts
+from panelcast.session import written
 from panelcast.spec import SeriesSpec
 
 LEAST_ROWS = 100
@@ -154,8 +155,10 @@ def _row_facts(df: DataFrame, spec: SeriesSpec) -> DataFrame:
 def quality_score(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Six checks and the share passed, in percent. Demand must already be numeric.
 
-    The two column checks hold by construction here, as the columns are resolved by the plan.
+    The two column checks hold by construction here, as the columns are resolved by the plan. Three aggregates read the rows, so
+    their columns are stored once, and parsing and joins before are not run again for each.
     """
+    df = written(df.select(*spec.columns), "quality")
     counts = df.where(F.col(spec.demand).isNotNull()).groupBy(spec.demand).agg(F.count(F.lit(1)).alias("weight"))
     fences = quantiles_from_counts(counts, spec.demand, (0.25, 0.75), names=("q1", "q3"))
     v = F.col(spec.demand)

@@ -50,14 +50,15 @@ def split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def longest(test: DataFrame) -> int:
-    return test.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+def horizons(test: DataFrame) -> DataFrame:
+    """Number of test rows of each series."""
+    return test.groupBy(*KEY).agg(F.count(F.lit(1)).alias("horizon"))
 
 
 def backtest(spark: SparkSession, sf: str) -> DataFrame:
     """Both closed forms and their mean on the test rows."""
     history, test = split(spark, sf)
-    steps = longest(test)
+    steps = horizons(test)
     naive = al.attach_forecasts(test, cf.naive_forecast(history, PANEL, steps), PANEL)
     ar1 = al.attach_forecasts(test, cf.ar1_forecast(history, PANEL, steps), PANEL)
     on = [*KEY, "date"]
@@ -167,7 +168,7 @@ def missing_groups(spark: SparkSession, sf: str) -> DataFrame:
     from panelcast.plans.training import unpredicted
 
     history, test = split(spark, sf)
-    known = cf.naive_forecast(history.where("store_id <> 'S4'"), PANEL, longest(test))
+    known = cf.naive_forecast(history.where("store_id <> 'S4'"), PANEL, horizons(test))
     return unpredicted(al.attach_forecasts(test, known, PANEL), PANEL)
 
 
@@ -224,7 +225,7 @@ def submission(spark: SparkSession, sf: str) -> DataFrame:
     doubles=["yhat"], dates=["date"], **STEPS_SQL, params=params_sql("history")))
 def attach(spark: SparkSession, sf: str) -> DataFrame:
     history, test = split(spark, sf)
-    rows = al.attach_forecasts(test, cf.naive_forecast(history, PANEL, longest(test)), PANEL)
+    rows = al.attach_forecasts(test, cf.naive_forecast(history, PANEL, horizons(test)), PANEL)
     return shown(rows.select(*KEY, "date", "step", "yhat"))
 
 

@@ -9,10 +9,11 @@ from panelcast.operators import clean as c
 from panelcast.operators import validate as v
 from panelcast.operators.evaluate import error_metrics, rolling_accuracy
 from panelcast.operators.explore import newest
+from panelcast.operators.profile import ProfileStore
 from panelcast.operators.splits import panel_rule, split_series
 from panelcast.plans.catalogue.base import PANEL, SINGLE, daily, dirty, panel, query, shown, sql, table, totals
 from panelcast.plans.store import RunStore
-from panelcast.session import workspace
+from panelcast.session import workspace, written
 from panelcast.sinks import writers
 from panelcast.sources import readers
 from panelcast.sources.ingest import ingest
@@ -134,6 +135,11 @@ def manifest(spark: SparkSession, sf: str) -> DataFrame:
     return readers.source_manifest(table(spark, sf, "lineitem"))
 
 
+@query("S10_rows", "SELECT 'lineitem.parquet' AS file_name, count(*) AS n_rows FROM lineitem")
+def manifest_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.source_manifest(table(spark, sf, "lineitem")).select("file_name", "n_rows")
+
+
 SUMMED = sql(
     "SELECT date, sum(units_sold) AS units_sold FROM parsed WHERE units_sold >= 0 GROUP BY date",
     ["parsed"], doubles=["units_sold"], dates=["date"])
@@ -242,6 +248,29 @@ def profile(spark: SparkSession, sf: str) -> DataFrame:
     return v.column_profile(dirty(spark, sf))
 
 
+@query("P5_incremental", sql(
+    " UNION ALL ".join(
+        f"""SELECT {i} AS position, '{c_}' AS "column", count(*) AS n_rows, count(*) FILTER (WHERE {c_} IS NULL) AS n_missing,
+                   count(try_cast({c_} AS DOUBLE)) AS n_numeric, min({c_}) AS smallest, max({c_}) AS largest, true AS within FROM dirty"""
+        for i, c_ in enumerate(["store_id", "sku_id", "date", "units_sold"])), ["dirty"]))
+def profile_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """Profiles of five files merged; the sketches must lie within their stated error of the exact figures."""
+    rows, store = written(dirty(spark, sf), "dirty"), ProfileStore(spark, workspace(spark, "profiles"))
+    for i in (0, 1, 2, 3, 4, 4):  # the last file is added twice
+        store.add(rows.where(F.col("store_id") == f"S{i}"), f"S{i}")
+    exact = v.column_profile(rows).select(F.col("column").alias("_c"), F.col("n_distinct").alias("_n"))
+    found = store.profile().join(exact, F.col("column") == F.col("_c"))
+    number = F.col("units_sold").try_cast("double")
+    ranks = rows.select(number.alias("x")).where("x is not null")
+    half = found.where("column = 'units_sold'").select("median").scalar()
+    share = ranks.agg((F.count_if(F.col("x") < half) / F.count("x")).alias("below"), (F.count_if(F.col("x") <= half) / F.count("x")).alias("to"))
+    # The exact rank of the median lies between the shares below it and up to it, give or take the sketch's error.
+    fits = share.select(((F.col("below") <= 0.51) & (F.col("to") >= 0.49)).alias("ok")).scalar()
+    return found.select(
+        "position", "column", "n_rows", "n_missing", "n_numeric", "smallest", "largest",
+        ((F.abs(F.col("n_distinct") - F.col("_n")) <= 0.03 * F.col("_n")) & ((F.col("column") != "units_sold") | fits)).alias("within"))
+
+
 @query("P6_validation", sql(
     """SELECT 'dates' AS rule, 'warning' AS severity, CAST(bad_dates AS DOUBLE) AS value FROM f WHERE bad_dates > 0 AND bad_dates < dates
        UNION ALL SELECT 'dates', 'error', CAST(bad_dates AS DOUBLE) FROM f WHERE bad_dates > 0 AND bad_dates = dates

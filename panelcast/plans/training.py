@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelcast.forecast.hybrid import HybridModel, fit_hybrid, hybrid_forecast
 from panelcast.forecast.pooled import TrainedModel, contexts, fit_sequence_model, predict_windows, sequence_forecast
+from panelcast.inventory.policy import recommendations, require_params
 from panelcast.operators.alignment import (
     HYBRID, SEQUENCE, align_actuals, attach_forecasts, ensemble, past_the_gap, select_predictions, side_by_side,
 )
@@ -19,7 +20,7 @@ from panelcast.operators.scaling import fit_minmax
 from panelcast.operators.splits import hybrid_rule, sequence_rule, series_status, split_series, split_windows
 from panelcast.plans.store import RunStore
 from panelcast.session import written
-from panelcast.spec import SeriesSpec
+from panelcast.spec import InventoryParams, SeriesSpec
 
 
 @dataclass
@@ -133,6 +134,21 @@ def generate_submission(
     return finish_submission(written(filled, "submission"), spec, record_id, test)
 
 
+def stock_plan(
+    clean: DataFrame, spec: SeriesSpec, params: InventoryParams | DataFrame | None = None, forecasts: DataFrame | None = None,
+    store: RunStore | None = None, run_id: str | None = None,
+) -> DataFrame:
+    """Replenishment rows from checked parameters; with ``store`` recorded under ``run_id`` and read back from there."""
+    if isinstance(params, DataFrame):
+        require_params(params)
+    plan = recommendations(clean, spec, params, forecasts)
+    if not store:
+        return plan
+    run_id = run_id or uuid.uuid4().hex
+    store.record_analysis(plan, run_id)
+    return store.table("analyses").where(F.col("run_id") == run_id).select(plan.columns)
+
+
 def finish_submission(
     filled: DataFrame, spec: SeriesSpec, record_id: str = "record_ID", template: DataFrame | None = None
 ) -> DataFrame:

@@ -13,8 +13,11 @@ def test_matches_sql(spark, con, sf_dir, name):
     assert difference(spark, con, name, sf_dir) is None
 
 
-# The boosted flows (M1, M3, M6, M8, M13-M15, M17, M19) take half a minute or more each; tests/test_forecasting.py covers their functions.
-WITHOUT_SQL = ["M2_windows_linear", "M3_recursive_linear", "M4_arima", "M11_model_info", "R7_save_load"]
+# The whole flows (M1, M3, M13-M15, M17, M19) take half a minute or more each; test_forecasting.py and test_network.py cover them.
+WITHOUT_SQL = [
+    "M2_windows_linear", "M3_recursive_linear", "M4_arima", "M6_residual", "M7_corrections", "M8_hybrid", "M10_panel_forecasts", "M11_model_info",
+    "R7_save_load", "R7_hybrid",
+]
 
 
 @pytest.mark.parametrize("name", WITHOUT_SQL)

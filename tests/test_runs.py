@@ -11,7 +11,7 @@ from panelcast.forecast.estimator import HybridForecast, HybridForecaster
 from panelcast.operators.evaluate import rolling_accuracy
 from panelcast.operators.registry import Registry
 from panelcast.plans.store import RunStore
-from panelcast.plans.training import future_forecast, require_template, train_and_backtest
+from panelcast.plans.training import future_forecast, require_template, stock_plan, train_and_backtest
 from panelcast.sinks import files
 from panelcast.spec import SeriesSpec
 from panelcast.streaming.increments import PartialSums, ingest_available
@@ -101,6 +101,12 @@ def test_flows_record_runs(spark, panel, tmp_path):
     with pytest.raises(ValueError, match="belong to run"):
         store.record_training(trained, SPEC, "r2", "1.0")
     store.record_training(trained, SPEC, "r2", "1.1")
+    plan = stock_plan(df, SPEC, forecasts=ahead.where("model = 'Hybrid'"), store=store, run_id="r1")
+    assert plan.count() == 4 and store.table("analyses").where("safety_stock > 0").count() == 4
+    odd = df.select("store_id", "sku_id").distinct().selectExpr(
+        "*", "2D AS service_level", "7 AS lead_time", "1D AS annual_demand", "1D AS holding_cost", "1D AS ordering_cost")
+    with pytest.raises(ValueError, match="strictly between"):
+        stock_plan(df, SPEC, odd)
     found = store.analytics().first()
     assert (found.models_evaluated, found.models_trained) == (3, 2) and found.best_model in ("Sequence", "Hybrid", "Ensemble")
 
