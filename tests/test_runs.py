@@ -101,7 +101,7 @@ def test_flows_record_runs(spark, panel, tmp_path):
     with pytest.raises(ValueError, match="belong to run"):
         store.record_training(trained, SPEC, "r2", "1.0")
     store.record_training(trained, SPEC, "r2", "1.1")
-    plan = stock_plan(df, SPEC, forecasts=ahead.where("model = 'Hybrid'"), store=store, run_id="r1")
+    plan = stock_plan(df, SPEC, store=store, run_id="r1")
     assert plan.count() == 4 and store.table("analyses").where("safety_stock > 0").count() == 4
     odd = df.select("store_id", "sku_id").distinct().selectExpr(
         "*", "2D AS service_level", "7 AS lead_time", "1D AS annual_demand", "1D AS holding_cost", "1D AS ordering_cost")
