@@ -5,8 +5,10 @@ vector is the one with the largest product. Centroids are fitted on a bounded sa
 full clusters. Every vector is then posted to its nearest centroid and, if it lies near a boundary, to up to ``REPLICAS`` in all:
 those within ``CLOSURE`` times the smallest distance, unless a centroid taken before lies in nearly the same direction (closer
 to it than ``APART`` times the vector's distance). Centroids are searched with a best-first walk over their neighbour graph, held
-in memory (``MAX_LISTS`` centroids at most). A query reads all lists whose centroid is within ``PRUNE`` times the distance of its
-nearest one; the ratio alone decides, as a walk whose beam ends too early is repeated with twice the beam.
+in memory (``MAX_LISTS`` centroids at most). A query reads all lists whose centroid is within a ratio of the distance of its
+nearest one. The ratio is fitted on the sample: ``TRIALS`` of its rows are searched among all its rows by brute force, and the
+ratio is the least that finds ``COVER`` of their neighbours. It alone decides, as a walk whose beam ends too early is repeated
+with twice the beam. The nearest list is read first; of the other lists only rows that reach the kth score found there go on.
 
 Lists longer than ``block`` are split by hash, so a task never holds an unbounded list; a query goes to all parts of a list.
 Each part returns its best ``k`` per query, and the best of all parts are ranked.
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 from panelcast.llm.common import Scratch, sorted_groups, table
 
 K, LIST_SIZE, MAX_LISTS, SAMPLE = 20, 400, 2048, 40_000
-CLOSURE, REPLICAS, APART, PRUNE = 1.12, 4, 0.5, 1.35
+CLOSURE, REPLICAS, APART = 1.12, 4, 0.5
+COVER, TRIALS = 0.97, 256
 BLOCK, DEGREE, BEAM, SEED = 1024, 24, 96, 2
 
 
@@ -91,12 +94,12 @@ def walk(x: np.ndarray, centre: np.ndarray, graph: np.ndarray, beam: int) -> tup
     return np.sqrt(np.maximum(np.take_along_axis(dist, order, 1), 0)), np.take_along_axis(ids, order, 1)
 
 
-def lists_near(x: np.ndarray, centre: np.ndarray, graph: np.ndarray, ratio: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Every centroid within ``ratio`` times the distance of the nearest one, as (row, list).
+def lists_near(x: np.ndarray, centre: np.ndarray, graph: np.ndarray, ratio: float, beam: int = BEAM) -> tuple[np.ndarray, ...]:
+    """Every centroid within ``ratio`` times the distance of the nearest one, as (row, list, whether it is the nearest).
 
     Rows whose beam ends before that distance walk again with twice the beam, so the ratio alone decides.
     """
-    rows, lists = [], []
+    rows, lists, nearest_ = [], [], []
     open_ = np.arange(len(x))
     while len(open_):
         dist, ids = walk(x[open_], centre, graph, beam)
@@ -105,40 +108,65 @@ def lists_near(x: np.ndarray, centre: np.ndarray, graph: np.ndarray, ratio: floa
         at, place = np.nonzero(inside & done[:, None])
         rows.append(open_[at])
         lists.append(ids[at, place])
+        nearest_.append(place == 0)
         open_, beam = open_[~done], 2 * beam
-    return np.concatenate(rows), np.concatenate(lists)
+    return tuple(np.concatenate(c) if c else np.zeros(0, np.int64) for c in (rows, lists, nearest_))
 
 
 def _lifted(x: np.ndarray, most: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(most - (x**2).sum(1), 0))[:, None]], axis=1)
 
 
+def posted_lists(x: np.ndarray, centre: np.ndarray, graph: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of every lifted vector, as (row, list): the nearest, and more for vectors at a boundary."""
+    dist, ids = walk(x, centre, graph, 32)
+    rows, lists = [], []
+    for r in range(len(x)):
+        chosen = []
+        for d, c in zip(dist[r], ids[r]):
+            if len(chosen) == REPLICAS or (chosen and d > CLOSURE * dist[r, 0]):
+                break
+            if not np.isfinite(d) or any(((centre[c] - centre[o]) ** 2).sum() < (APART * d) ** 2 for o in chosen):
+                continue
+            chosen.append(c)
+        rows += [r] * len(chosen)
+        lists += chosen
+    return np.array(rows, np.int64), np.array(lists, np.int64)
+
+
+def fitted_ratio(x: np.ndarray, lifted: np.ndarray, centre: np.ndarray, graph: np.ndarray, k: int) -> float:
+    """The least ratio whose lists hold ``COVER`` of the neighbours that the first ``TRIALS`` rows have among all rows."""
+    trials = x[:TRIALS]
+    score = trials @ x.T
+    score[np.arange(len(trials)), np.arange(len(trials))] = -np.inf
+    top = np.argsort(-score, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    if not top.size:
+        return 1.0
+    flat = np.concatenate([trials, np.zeros((len(trials), 1))], axis=1)
+    far = np.sqrt(np.maximum((flat**2).sum(1)[:, None] + (centre**2).sum(1) - 2 * flat @ centre.T, 0))
+    far = far / np.maximum(far.min(1, keepdims=True), 1e-12)
+    held, place = np.unique(top, return_inverse=True)
+    row, lists = posted_lists(lifted[held], centre, graph)
+    inside = np.zeros((len(held), len(centre)), bool)
+    inside[row, lists] = True
+    place = place.reshape(top.shape)
+    need = np.array([np.where(inside[place[i]], far[i], np.inf).min(1) for i in range(len(trials))])
+    return float(np.quantile(need, COVER, method="higher"))
+
+
 def _post(index, most):
-    """Lists of every vector: the nearest, and more for vectors at a boundary."""
     def run(frames):
         centre, graph = index.value
         for f in frames:
             for at in range(0, len(f), 1024):
                 g = f.iloc[at:at + 1024]
-                x = _lifted(np.stack(g["v"]).astype(np.float64), most)
-                dist, ids = walk(x, centre, graph, 32)
-                vec, lists = [], []
-                for r in range(len(g)):
-                    chosen = []
-                    for d, c in zip(dist[r], ids[r]):
-                        if len(chosen) == REPLICAS or (chosen and d > CLOSURE * dist[r, 0]):
-                            break
-                        if not np.isfinite(d) or any(((centre[c] - centre[o]) ** 2).sum() < (APART * d) ** 2 for o in chosen):
-                            continue
-                        chosen.append(c)
-                    vec += [r] * len(chosen)
-                    lists += chosen
-                out = g.iloc[vec]
+                row, lists = posted_lists(_lifted(np.stack(g["v"]).astype(np.float64), most), centre, graph)
+                out = g.iloc[row]
                 yield pd.DataFrame({"row": out["row"].to_numpy(), "vec_id": out["vec_id"].to_numpy(), "v": out["v"].to_numpy(), "list": lists})
     return run
 
 
-def _route(index):
+def _route(index, ratio):
     """Lists that each query reads."""
     def run(frames):
         centre, graph = index.value
@@ -146,9 +174,10 @@ def _route(index):
             for at in range(0, len(f), 1024):
                 g = f.iloc[at:at + 1024]
                 x = np.stack(g["v"]).astype(np.float64)
-                at_row, lists = lists_near(np.concatenate([x, np.zeros((len(x), 1))], axis=1), centre, graph, PRUNE)
+                at_row, lists, first = lists_near(np.concatenate([x, np.zeros((len(x), 1))], axis=1), centre, graph, ratio)
                 out = g.iloc[at_row]
-                yield pd.DataFrame({"row": out["row"].to_numpy(), "vec_id": out["vec_id"].to_numpy(), "v": out["v"].to_numpy(), "list": lists})
+                yield pd.DataFrame({"row": out["row"].to_numpy(), "vec_id": out["vec_id"].to_numpy(), "v": out["v"].to_numpy(),
+                                    "list": lists, "first": first.astype(bool)})
     return run
 
 
@@ -164,10 +193,10 @@ def _search(k):
             order = np.lexsort((other, other_id))  # ties of the score then fall to the smaller id, as sorting is stable
             other, other_id = other[order], other_id[order]
             base = np.stack(theirs["v"]).astype(np.float64)[order]
-            vectors = np.stack(mine["v"]).astype(np.float64)
+            vectors, least = np.stack(mine["v"]).astype(np.float64), mine["least"].to_numpy(float)
             for at in range(0, len(own), 512):
                 score = vectors[at:at + 512] @ base.T
-                score[own[at:at + 512, None] == other] = -np.inf
+                score[(own[at:at + 512, None] == other) | (score < least[at:at + 512, None])] = -np.inf
                 top = np.argsort(-score, axis=1, kind="stable")[:, :k]
                 q, j = np.repeat(np.arange(len(score)), top.shape[1]), top.ravel()
                 ok = np.isfinite(score[q, j])
@@ -201,20 +230,32 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     lists = min(lists, len(x))
     centre = fit_centroids(x, lists)
     graph = neighbour_graph(centre, DEGREE) if lists > 1 else np.zeros((1, 1), int)
+    ratio = fitted_ratio(x[:, :-1], x, centre, graph, k)
     index = spark.sparkContext.broadcast((centre, graph))  # at most MAX_LISTS rows
     shape = "row long, vec_id long, v array<double>, list int"
     posted = scratch.write(named.mapInPandas(_post(index, most), shape), "posted")
     size = np.zeros(lists, np.int64)
     for r in posted.groupBy("list").count().collect():  # at most MAX_LISTS rows
         size[r["list"]] = r["count"]
-    routed = named.where(queries).mapInPandas(_route(index), shape)
+    routed = scratch.write(named.where(queries).mapInPandas(_route(index, ratio), shape + ", first boolean"), "routed")
     parts = F.get(F.lit(list(map(int, -(-np.maximum(size, 1) // BLOCK)))), F.col("list")).cast("int")
     stored = posted.select("row", "vec_id", "v", F.lit(False).alias("query"), F.xxhash64(
-        "list", F.pmod(F.xxhash64("row"), parts).cast("int")).alias("part"))
-    asked = routed.withColumn("p", F.explode(F.sequence(F.lit(0), parts - 1))).select(
-        "row", "vec_id", "v", F.lit(True).alias("query"), F.xxhash64("list", "p").alias("part"))
-    found = stored.unionAll(asked).repartition("part").sortWithinPartitions("part").mapInPandas(
-        _search(k), "query_row long, query_id long, row long, vec_id long, score double")
+        "list", F.pmod(F.xxhash64("row"), parts).cast("int")).alias("part"), F.lit(0.0).alias("least"))
+
+    def search(asked: DataFrame) -> DataFrame:
+        """Best ``k`` of every part for every query, of those that reach the query's ``least`` score."""
+        to = asked.withColumn("p", F.explode(F.sequence(F.lit(0), parts - 1))).select(
+            "row", "vec_id", "v", F.lit(True).alias("query"), F.xxhash64("list", "p").alias("part"), "least")
+        return stored.unionAll(to).repartition("part").sortWithinPartitions("part").mapInPandas(
+            _search(k), "query_row long, query_id long, row long, vec_id long, score double")
+
+    near = scratch.write(search(routed.where("first").withColumn("least", F.lit(float("-inf")))), "near")
+    order = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row"))
+    floor = near.withColumn("at", order).where(F.col("at") == k).select("query_row", F.col("score").alias("floor"))
+    rest = routed.where("not first").join(floor, F.col("row") == F.col("query_row"), "left").withColumn(
+        # Products of a batch differ in the last places from those summed one by one.
+        "least", F.coalesce(F.col("floor") - F.lit(1e-9) * (1 + F.abs("floor")), F.lit(float("-inf")))).drop("query_row", "floor")
+    found = near.unionByName(search(rest))
     unique = found.groupBy("query_row", "query_id", "row", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row"))
     return unique.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
