@@ -11,7 +11,7 @@ ratio is the least that finds ``COVER`` of their neighbours. It alone decides, a
 with twice the beam. The nearest list is read first; of the other lists only rows that reach the kth score found there go on.
 
 Lists longer than ``block`` are split by hash, so a task never holds an unbounded list; a query goes to all parts of a list.
-Each part returns its best ``k`` per query, and the best of all parts are ranked.
+Each task returns the best ``k`` per query of its parts, and the best of all tasks are ranked.
 
 Defined results: vectors that are NULL, zero, hold a NULL, NaN or infinite component, or have another length than the valid
 vector with the smallest id take no part. A NULL id takes no part. Rows that repeat an id are queries and candidates of their own,
@@ -30,7 +30,7 @@ from panelcast.llm.common import Scratch, sorted_groups, table
 K, LIST_SIZE, MAX_LISTS, SAMPLE = 20, 400, 2048, 40_000
 CLOSURE, REPLICAS, APART = 1.12, 4, 0.5
 COVER, TRIALS = 0.97, 256
-BLOCK, DEGREE, BEAM, SEED = 1024, 24, 96, 2
+BLOCK, DEGREE, BEAM, SEED, HELD = 1024, 24, 96, 2, 1 << 18
 
 
 def fit_centroids(x: np.ndarray, lists: int, rounds: int = 12, charge: float = 0.5, seed: int = SEED) -> np.ndarray:
@@ -181,8 +181,27 @@ def _route(index, ratio):
     return run
 
 
+def _best(found: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    """Best ``k`` different rows of every query."""
+    whole = pd.concat(found).drop_duplicates(["query_row", "row"])
+    whole = whole.sort_values(["query_row", "score", "vec_id", "row"], ascending=[True, False, True, True], kind="stable")
+    return whole[whole.groupby("query_row").cumcount() < k]
+
+
 def _search(k):
+    """Best of the parts of a task, put together as they come, some ``HELD`` rows at a time."""
     def run(frames):
+        held, size = [], 0
+        for found in search_parts(frames):
+            held.append(found)
+            size += len(found)
+            if size > HELD:
+                yield _best(held, k)
+                held, size = [], 0
+        if size:
+            yield _best(held, k)
+
+    def search_parts(frames):
         for g in sorted_groups(frames, "part"):
             query = g["query"].to_numpy(bool)
             if query.all() or not query.any():
