@@ -5,13 +5,18 @@ vector is the one with the largest product. Centroids are fitted on a bounded sa
 full clusters. Every vector is then posted to its nearest centroid and, if it lies near a boundary, to up to ``REPLICAS`` in all:
 those within ``CLOSURE`` times the smallest distance, unless a centroid taken before lies in nearly the same direction (closer
 to it than ``APART`` times the vector's distance). Centroids are searched with a best-first walk over their neighbour graph, held
-in memory (``MAX_LISTS`` centroids at most). A query reads all lists whose centroid is within a ratio of the distance of its
+in memory (``MAX_LISTS`` centroids at most).
+
+Neighbouring lists are read together, as parts of about ``BLOCK`` postings; longer lists are split by hash, and a query goes to all
+their parts. A query first reads the part of its nearest list, which gives it a kth score. Then it reads every other list that may
+hold a better row: the product with a row is at most that with the list's centroid plus |q| times the list's radius, and at most
+|q| times the list's largest norm. So the result is exact, whatever the rows look like; only the work depends on how well the lists
+separate them. With ``exact=False`` only those of these lists are read whose centroid is within a ratio of the distance of the
 nearest one. The ratio is fitted on the sample: ``TRIALS`` of its rows are searched among all its rows by brute force, and the
-ratio is the least that finds ``COVER`` of their neighbours. It alone decides, as a walk whose beam ends too early is repeated
-with twice the beam. The nearest list is read first; of the other lists only rows that reach the kth score found there go on.
+ratio is the least that finds ``COVER`` of their neighbours; rows unlike the sample may then be missed.
 
-Lists longer than ``block`` are split by hash, so a task never holds an unbounded list; a query goes to all parts of a list.
-Each task returns the best ``k`` per query of its parts, and the best of all tasks are ranked.
+A task holds the postings of one part and takes its queries as they come. It returns the best ``k`` per query of its parts, of
+those that reach the query's kth score so far, and the best of all tasks are ranked.
 
 Defined results: vectors that are NULL, zero, hold a NULL, NaN or infinite component, or have another length than the valid
 vector with the smallest id take no part. A NULL id takes no part. Rows that repeat an id are queries and candidates of their own,
@@ -25,12 +30,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import Scratch, sorted_groups, table
+from panelcast.llm.common import Scratch, table
 
 K, LIST_SIZE, MAX_LISTS, SAMPLE = 20, 400, 2048, 40_000
 CLOSURE, REPLICAS, APART = 1.12, 4, 0.5
 COVER, TRIALS = 0.97, 256
-BLOCK, DEGREE, BEAM, SEED, HELD = 1024, 24, 96, 2, 1 << 18
+BLOCK, DEGREE, BEAM, SEED, HELD, ASKED, PAIRS = 8192, 24, 96, 2, 1 << 18, 256, 1 << 16
 
 
 def fit_centroids(x: np.ndarray, lists: int, rounds: int = 12, charge: float = 0.5, seed: int = SEED) -> np.ndarray:
@@ -160,9 +165,13 @@ def _post(index, most):
         for f in frames:
             for at in range(0, len(f), 1024):
                 g = f.iloc[at:at + 1024]
-                row, lists = posted_lists(_lifted(np.stack(g["v"]).astype(np.float64), most), centre, graph)
+                x = np.stack(g["v"]).astype(np.float64)
+                row, lists = posted_lists(_lifted(x, most), centre, graph)
                 out = g.iloc[row]
-                yield pd.DataFrame({"row": out["row"].to_numpy(), "vec_id": out["vec_id"].to_numpy(), "v": out["v"].to_numpy(), "list": lists})
+                yield pd.DataFrame({
+                    "row": out["row"].to_numpy(), "vec_id": out["vec_id"].to_numpy(), "v": out["v"].to_numpy(), "list": lists,
+                    "first": np.diff(row, prepend=-1) != 0,  # each row's nearest list comes first
+                    "away": np.linalg.norm(x[row] - centre[lists, :-1], axis=1), "norm": np.linalg.norm(x[row], axis=1)})
     return run
 
 
@@ -181,6 +190,51 @@ def _route(index, ratio):
     return run
 
 
+def list_parts(centre: np.ndarray, size: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """First part of every list and its number of parts. Neighbouring lists share a part; a list above ``block`` has its own."""
+    first, number = np.zeros(len(size), np.int64), np.maximum(-(-size // block), 1)
+    left, at, part, filled = np.ones(len(size), bool), 0, 0, 0
+    while True:
+        left[at] = False
+        if filled and filled + size[at] > block:
+            part, filled = part + 1, 0
+        first[at] = part
+        if number[at] > 1:
+            part += number[at]
+        else:
+            filled += size[at]
+        if not left.any():
+            return first, number
+        at = int(np.argmin(np.where(left, ((centre - centre[at]) ** 2).sum(1), np.inf)))
+
+
+def _rest(index, ratio):
+    """Parts besides the first one that may hold a row above a query's kth score so far; all lists within ``ratio`` if it is given."""
+    def run(frames):
+        centre, radius, norm, first, number = index.value
+        flat = centre[:, :-1]
+        size = np.linalg.norm(flat, axis=1) + radius
+        for f in frames:
+            for at in range(0, len(f), 1024):
+                g = f.iloc[at:at + 1024]
+                x = np.stack(g["v"]).astype(np.float64)
+                length = np.linalg.norm(x, axis=1, keepdims=True)
+                most = np.minimum(x @ flat.T + length * radius, length * norm) + 1e-9 * length * size
+                read = (most >= g["least"].to_numpy(float)[:, None]) & (first != first[g["list"].to_numpy()][:, None]) & (norm >= 0)
+                if ratio is not None:
+                    far = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (centre**2).sum(1) - 2 * x @ flat.T, 0))
+                    read &= far <= ratio * far.min(1, keepdims=True) + 1e-12
+                row, lists = np.nonzero(read)
+                times = number[lists]
+                row, part = np.repeat(row, times), np.repeat(first[lists], times)
+                part = part + np.arange(len(part)) - np.repeat(np.cumsum(times) - times, times)
+                row, part = np.unique(np.stack([row, part], 1), axis=0).T if len(row) else (row, part)
+                out = g.iloc[row]
+                yield pd.DataFrame({"row": out["row"].to_numpy(), "vec_id": out["vec_id"].to_numpy(), "v": out["v"].to_numpy(),
+                                    "part": part, "least": out["least"].to_numpy()})
+    return run
+
+
 def _best(found: list[pd.DataFrame], k: int) -> pd.DataFrame:
     """Best ``k`` different rows of every query."""
     whole = pd.concat(found).drop_duplicates(["query_row", "row"])
@@ -202,32 +256,52 @@ def _search(k):
             yield _best(held, k)
 
     def search_parts(frames):
-        for g in sorted_groups(frames, "part"):
-            query = g["query"].to_numpy(bool)
-            if query.all() or not query.any():
-                continue
-            mine, theirs = g[query], g[~query]
-            own, own_id = mine["row"].to_numpy(), mine["vec_id"].to_numpy()
-            other, other_id = theirs["row"].to_numpy(), theirs["vec_id"].to_numpy()
-            order = np.lexsort((other, other_id))  # ties of the score then fall to the smaller id, as sorting is stable
-            other, other_id = other[order], other_id[order]
-            base = np.stack(theirs["v"]).astype(np.float64)[order]
-            vectors, least = np.stack(mine["v"]).astype(np.float64), mine["least"].to_numpy(float)
-            for at in range(0, len(own), 512):
-                score = vectors[at:at + 512] @ base.T
-                score[(own[at:at + 512, None] == other) | (score < least[at:at + 512, None])] = -np.inf
-                top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                q, j = np.repeat(np.arange(len(score)), top.shape[1]), top.ravel()
-                ok = np.isfinite(score[q, j])
-                q, j = q[ok], j[ok]
-                exact = np.einsum("ij,ij->i", vectors[at + q], base[j])
-                yield pd.DataFrame({
-                    "query_row": own[at + q], "query_id": own_id[at + q], "row": other[j], "vec_id": other_id[j], "score": exact})
+        part, waiting, stored = None, [], None
+        for f in frames:
+            cuts = np.flatnonzero(np.diff(f["part"].to_numpy())) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(f)]):
+                g = f.iloc[a:b]
+                if not len(g):
+                    continue
+                if g["part"].iat[0] != part:
+                    part, waiting, stored = g["part"].iat[0], [], None
+                query = g["query"].to_numpy(bool)  # a part's postings come before its queries
+                if not query.all():
+                    waiting.append(g[~query])
+                if query.any() and waiting:
+                    if stored is None:
+                        other = pd.concat(waiting).drop_duplicates("row")
+                        base = np.stack(other["v"]).astype(np.float64)
+                        stored = other["row"].to_numpy(), other["vec_id"].to_numpy(), base, np.linalg.norm(base, axis=1)
+                    for at in range(0, query.sum(), ASKED):
+                        yield from found_in(g[query].iloc[at:at + ASKED], *stored)
+
+    def found_in(mine, other, other_id, base, norm):
+        own, own_id = mine["row"].to_numpy(), mine["vec_id"].to_numpy()
+        vectors, least = np.stack(mine["v"]).astype(np.float64), mine["least"].to_numpy(float)[:, None]
+        score = vectors @ base.T
+        # Products of a batch differ in the last places from those summed one by one.
+        loose = 1e-12 * np.linalg.norm(vectors, axis=1)[:, None] * norm
+        score += loose
+        score[own[:, None] == other] = -np.inf
+        if score.shape[1] > k:
+            kth = np.partition(score - 2 * loose, -k, axis=1)[:, -k][:, None]
+            least = np.maximum(least, kth)
+        q, j = np.nonzero((score >= least) & np.isfinite(score))
+        exact = np.concatenate([np.zeros(0)] + [
+            np.einsum("ij,ij->i", vectors[q[a:a + PAIRS]], base[j[a:a + PAIRS]]) for a in range(0, len(q), PAIRS)])
+        order = np.lexsort((other[j], other_id[j], -exact, q))
+        q, j, exact = q[order], j[order], exact[order]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+        q, j, exact = q[keep], j[keep], exact[keep]
+        yield pd.DataFrame({"query_row": own[q], "query_id": own_id[q], "row": other[j], "vec_id": other_id[j], "score": exact})
     return run
 
 
-def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K) -> DataFrame:
-    """The ``k`` nearest other vectors found for every row that fulfils ``queries`` (a condition on ``vec_id``)."""
+def nearest(
+    vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, exact: bool = True,
+) -> DataFrame:
+    """The ``k`` nearest other vectors of every row that fulfils ``queries`` (a condition on ``vec_id``)."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
     v = F.col(vector_col).cast("array<double>")
@@ -249,32 +323,42 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     lists = min(lists, len(x))
     centre = fit_centroids(x, lists)
     graph = neighbour_graph(centre, DEGREE) if lists > 1 else np.zeros((1, 1), int)
-    ratio = fitted_ratio(x[:, :-1], x, centre, graph, k)
+    ratio = None if exact else fitted_ratio(x[:, :-1], x, centre, graph, k)
     index = spark.sparkContext.broadcast((centre, graph))  # at most MAX_LISTS rows
-    shape = "row long, vec_id long, v array<double>, list int"
-    posted = scratch.write(named.mapInPandas(_post(index, most), shape), "posted")
-    size = np.zeros(lists, np.int64)
-    for r in posted.groupBy("list").count().collect():  # at most MAX_LISTS rows
-        size[r["list"]] = r["count"]
-    routed = scratch.write(named.where(queries).mapInPandas(_route(index, ratio), shape + ", first boolean"), "routed")
-    parts = F.get(F.lit(list(map(int, -(-np.maximum(size, 1) // BLOCK)))), F.col("list")).cast("int")
-    stored = posted.select("row", "vec_id", "v", F.lit(False).alias("query"), F.xxhash64(
-        "list", F.pmod(F.xxhash64("row"), parts).cast("int")).alias("part"), F.lit(0.0).alias("least"))
-
-    def search(asked: DataFrame) -> DataFrame:
+    shape = "row long, vec_id long, v array<double>, list int, first boolean"
+    posted = scratch.write(named.mapInPandas(_post(index, most), shape + ", away double, norm double"), "posted")
+    size, radius, longest = np.zeros(lists, np.int64), np.zeros(lists), np.full(lists, -1.0)  # -1: nothing has this list as its nearest
+    for r in posted.groupBy("list").agg(
+            F.count("*").alias("n"), F.max(F.when(F.col("first"), F.col("away"))).alias("away"),
+            F.max(F.when(F.col("first"), F.col("norm"))).alias("norm")).collect():  # at most MAX_LISTS rows
+        size[r["list"]] = r["n"]
+        if r["away"] is not None:
+            radius[r["list"]], longest[r["list"]] = r["away"], r["norm"]
+    start, number = list_parts(centre, size)
+    reach = spark.sparkContext.broadcast((centre, radius, longest, start, number))  # at most MAX_LISTS rows
+    asked = scratch.write(named.where(queries).mapInPandas(_route(index, 1.0), shape).where("first"), "asked")
+
+    def at(values) -> Column:
+        return F.get(F.lit(list(map(int, values))), F.col("list")).cast("long")
+
+    part = at(start) + F.pmod(F.xxhash64("row"), at(number))
+    columns = "row long, vec_id long, v array<double>, part long, least double"
+
+    def search(stored: DataFrame, asked: DataFrame) -> DataFrame:
         """Best ``k`` of every part for every query, of those that reach the query's ``least`` score."""
-        to = asked.withColumn("p", F.explode(F.sequence(F.lit(0), parts - 1))).select(
-            "row", "vec_id", "v", F.lit(True).alias("query"), F.xxhash64("list", "p").alias("part"), "least")
-        return stored.unionAll(to).repartition("part").sortWithinPartitions("part").mapInPandas(
+        stored = stored.select("row", "vec_id", "v", part.alias("part"), F.lit(0.0).alias("least"), F.lit(False).alias("query"))
+        both = stored.unionAll(asked.select("row", "vec_id", "v", "part", "least", F.lit(True).alias("query")))
+        return both.repartition("part").sortWithinPartitions("part", "query").mapInPandas(
             _search(k), "query_row long, query_id long, row long, vec_id long, score double")
 
-    near = scratch.write(search(routed.where("first").withColumn("least", F.lit(float("-inf")))), "near")
+    own = asked.withColumn("part", F.explode(F.sequence(at(start), at(start) + at(number) - 1)))
+    near = scratch.write(search(posted, own.withColumn("least", F.lit(float("-inf")))), "near")
     order = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row"))
-    floor = near.withColumn("at", order).where(F.col("at") == k).select("query_row", F.col("score").alias("floor"))
-    rest = routed.where("not first").join(floor, F.col("row") == F.col("query_row"), "left").withColumn(
-        # Products of a batch differ in the last places from those summed one by one.
-        "least", F.coalesce(F.col("floor") - F.lit(1e-9) * (1 + F.abs("floor")), F.lit(float("-inf")))).drop("query_row", "floor")
-    found = near.unionByName(search(rest))
+    floor = near.withColumn("at", order).where(F.col("at") == k).select("query_row", F.col("score").alias("least"))
+    open_ = asked.join(floor, F.col("row") == F.col("query_row"), "left").select(
+        "row", "vec_id", "v", "list", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+    # A row's nearest list alone decides here: the other lists that hold it need not be read for it.
+    found = near.unionByName(search(posted.where("first"), open_.mapInPandas(_rest(reach, ratio), columns)))
     unique = found.groupBy("query_row", "query_id", "row", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row"))
     return unique.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

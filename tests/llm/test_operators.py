@@ -500,6 +500,28 @@ def test_nearest_of_repeated_ids(spark):
     assert got == sorted([(20, 1, 3, 2.0), (20, 2, 3, 2.0), (20, 3, 20, 0.5), (20, 1, 3, 1.0), (20, 2, 3, 1.0), (20, 3, 20, 0.5)])
 
 
+@pytest.mark.parametrize("kind", ["unlike", "outlier", "copies"])
+def test_nearest_of_odd_rows(spark, kind):
+    """Queries unlike all other rows, one row of huge norm, and many copies of a row (one list in parts): all neighbours are found."""
+    rng = np.random.default_rng(3)
+    n, d = 9_600, 16
+    x = rng.normal(size=(40, d))[rng.integers(0, 40, n)] + 0.05 * rng.normal(size=(n, d))
+    if kind == "unlike":
+        x[::20] = rng.normal(size=(n // 20, d))
+    elif kind == "outlier":
+        x[5] *= 1e6
+    else:
+        x[100:9_300] = x[100]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 160 == 0).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"]))
+    for q in range(0, n, 160):
+        s = np.einsum("ij,j->i", x, x[q]).round(9)
+        s[q] = -np.inf
+        assert [v for _, v in sorted(got[q])] == np.lexsort((np.arange(n), -s))[:20].tolist()
+
+
 @pytest.mark.parametrize("kind", ["clustered", "gaussian", "norms"])
 def test_recall_over_many_lists(kind):
     """150 lists: the ratio selects them without a cap, vectors at a boundary lie in several, recall is at least 0.9."""
