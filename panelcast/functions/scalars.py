@@ -13,12 +13,18 @@ WEEKDAYS = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
 DEFAULT_ORDER = (1, 1, 1)
 
 
+# What a cast to DOUBLE can read: decimals, the special values, and hexadecimal texts, which need an exponent.
+NUMBER = (r"^[\x00-\x20]*(?:[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?[dDfF]?|[+-]?(?i:inf|infinity|nan)"
+          r"|[+-]?0[xX][0-9a-fA-F.]+[pP][+-]?[0-9]+[dDfF]?)[\x00-\x20]*$")
+
+
 def to_number(value: Column) -> Column:
     """Text or number to DOUBLE; anything unreadable, and NaN, becomes NULL."""
     text = F.rtrim(value.cast("string"))
     # The cast would also take type suffixes such as 3d or 1.5f; the pattern runs only for those endings.
     suffixed = F.right(text, F.lit(1)).isin("d", "D", "f", "F") & text.rlike(r"[0-9.][dDfF]$")
-    return F.nanvl(F.when(~suffixed, text.try_cast("double")), F.lit(None).cast("double"))
+    # A text that is no number costs the cast an exception, many times the price of the pattern.
+    return F.nanvl(F.when(text.rlike(NUMBER) & ~suffixed, text.try_cast("double")), F.lit(None).cast("double"))
 
 
 def to_timestamp_or_null(value: Column) -> Column:

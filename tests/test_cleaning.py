@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelcast.functions.scalars import to_number
+from panelcast.functions.scalars import NUMBER, to_number
 from panelcast.operators import calendar, clean, explore, features, scaling, splits, validate
 from panelcast.operators.quantiles import exact_quantiles
 from panelcast.spec import SeriesSpec
@@ -175,3 +175,14 @@ def test_date_order_is_told_by_the_column(spark):
     assert read("Jan 5 2022", "5 Jan 2022", "January 5, 2022", "5-Jan-2022", " 20220105 ", "5/1/68", "5/1/69") == (
         ["2022-01-05"] * 5 + ["2068-05-01", "1969-05-01"], 0)
     assert read("2022-02-30", "soon", None, "2022-01-05T10:00:00") == ([None, None, None, "2022-01-05"], 2)
+
+
+def test_numbers_are_told_before_the_cast(spark):
+    """The pattern takes all that the cast reads, and keeps other texts from it (each would raise an exception inside)."""
+    texts = ["1", "+1.", "-.5", " 12 ", "\t3\n", "1e5", "1E-3", ".5e+2", "inf", "-Infinity", "+INF", "nan", "0x1p3", "-0X1.8P1", "1.5d",
+             "n/a", "S1", "2024-01-01", "1,5", "", " ", ".", "e5", "1e", "--1", "1 2", "\u0663", "\u00a05", "infinit", "0x10", "1_0"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    cast = F.rtrim("t").try_cast("double")
+    got = df.select("t", cast.isNotNull().alias("cast"), F.rtrim("t").rlike(NUMBER).alias("told")).collect()
+    assert [r for r in got if r.cast and not r.told] == []
+    assert {r.t for r in got if r.told and not r.cast} == set()
