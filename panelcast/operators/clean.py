@@ -36,6 +36,15 @@ def detect_date_order(df: DataFrame, spec: SeriesSpec) -> SeriesSpec:
     return with_date_order(spec, found.first_number, found.second_number)
 
 
+def collapse_texts(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """One row per (keys, date as written) with the rows and the summed demand, so that each spelling of a date is read once.
+
+    Dates repeat from row to row; partial sums keep the raw rows from moving.
+    """
+    return df.groupBy(*spec.keys, spec.date).agg(
+        F.sum(to_number(F.col(spec.demand))).alias(spec.demand), F.count(F.lit(1)).alias("n_rows"))
+
+
 def unread_dates(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Rows, rows without a date, and rows whose date cannot be read and which parsing therefore drops."""
     missing = F.col(spec.date).isNull()

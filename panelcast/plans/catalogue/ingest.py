@@ -78,10 +78,11 @@ def date_formats(spark: SparkSession, sf: str) -> DataFrame:
     for i, form in enumerate(spellings[1:], start=2):
         text = F.when(F.col("l_linenumber") == i, F.date_format("l_shipdate", form)).otherwise(text)
     rows = table(spark, sf, "lineitem").select(text.alias("date"), F.col("l_quantity").alias("units_sold"))
-    spec = c.detect_date_order(rows, SINGLE)
-    assert c.unread_dates(rows, spec).first().n_unread == 0
-    parsed = c.parse_columns(rows, spec)
-    return shown(parsed.groupBy("date").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("units_sold").alias("units_sold")))
+    texts = written(c.collapse_texts(rows, SINGLE), "texts")
+    spec = c.detect_date_order(texts, SINGLE)
+    assert c.unread_dates(texts, spec).first().n_unread == 0
+    parsed = c.parse_columns(texts, spec)
+    return shown(parsed.groupBy("date").agg(F.sum("n_rows").alias("n_rows"), F.sum("units_sold").alias("units_sold")))
 
 
 @query("S4_train_test", sql(

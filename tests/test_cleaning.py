@@ -186,3 +186,13 @@ def test_numbers_are_told_before_the_cast(spark):
     got = df.select("t", cast.isNotNull().alias("cast"), F.rtrim("t").rlike(NUMBER).alias("told")).collect()
     assert [r for r in got if r.cast and not r.told] == []
     assert {r.t for r in got if r.told and not r.cast} == set()
+
+
+def test_each_spelling_of_a_date_is_read_once(spark):
+    """Rows meet by their text before dates are read: one row per spelling, with all rows and amounts."""
+    df = spark.createDataFrame(
+        [("25/12/2022", "1"), ("25/12/2022", "n/a"), ("2022-12-25", "2"), (None, "4"), ("soon", "8"), ("soon", None)], "date string, units_sold string")
+    spec = SPEC.single()
+    got = {(r.date, r.units_sold, r.n_rows) for r in clean.collapse_texts(df, spec).collect()}
+    assert got == {("25/12/2022", 1.0, 2), ("2022-12-25", 2.0, 1), (None, 4.0, 1), ("soon", 8.0, 2)}
+    assert clean.detect_date_order(clean.collapse_texts(df, spec), spec) == clean.detect_date_order(df, spec)
