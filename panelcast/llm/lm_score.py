@@ -5,16 +5,18 @@ Counts of words and word pairs over all training documents are quantised on a lo
 missing; the last hit gives the count back to within a factor b. Besides the n-grams, the filter holds for each word the
 mass that its frequent successors keep, as a third kind of event.
 
-Smoothing is absolute discounting: with tau the smallest count that is stored,
+Smoothing is absolute discounting: with tau = ``DISCOUNT``,
 
     p(w | h) = max(c(h w) - tau, 0) / c(h) + (1 - kept(h) / c(h)) * p(w),    p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
 
-so that pairs seen no more than tau times carry no mass of their own and need no place. The first word of a text has the
-history "start of text".
+so that pairs seen once carry no mass of their own and need no place. The first word of a text has the history "start of text".
 
-Bound: tau is the smallest threshold at which the filter fits ``max_bytes``; it is found from the numbers of n-grams per
-level, which the whole corpus gives. So what is broadcast never grows beyond ``max_bytes``, at any size of corpus. Segments
-of the filter are built side by side; an n-gram's events all lie in one segment.
+Bound: the filter holds the n-grams from the smallest level on at which it fits ``max_bytes``, with their events from that level
+on; the level is found from the numbers of n-grams per level, which the whole corpus gives. So what is broadcast never grows beyond
+``max_bytes``, at any size of corpus. The n-grams below that level stay in a table: each batch of documents asks, in blocks of
+sorted keys, for all its n-grams that the filter does not hold, the blocks meet the table bucket by bucket, and a byte per key
+goes back. So every n-gram has the level of its count, at any ``max_bytes``. Segments of the filter are built side by side; an
+n-gram's events all lie in one segment.
 
 The base score needs exact counts of every word. Words with at least ``FREQUENT`` of all tokens (so at most 1 / FREQUENT of
 them) are looked up in a broadcast table; each document's other words meet their counts in a join by word, which therefore
@@ -41,6 +43,7 @@ from panelcast.llm.common import Scratch, crc_fold, mix64, table, text_chunks, w
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 MAX_BYTES, LEVEL_BASE, BITS_PER_EVENT, PROBES = 48 << 20, 1.5, 12, 6
 FREQUENT = 1e-6
+DISCOUNT = 1
 BLOCK_TOKENS = 1 << 20
 WORDS, PAIRS, KEPT = 1, 2, 3
 SEGMENT_BITS, LOOKUPS = 1 << 19, 1 << 16
@@ -136,11 +139,11 @@ def event_bits(kind: np.ndarray, key: np.ndarray, level: np.ndarray, segments: i
     return segment, bits.astype(np.int64)
 
 
-def _segment(segments: int):
+def _segment(segments: int, low: int):
     def build(key, frame: pd.DataFrame) -> pd.DataFrame:
-        level = level_of(frame["c"].to_numpy())
-        every = np.repeat(np.arange(len(frame)), level)
-        number = np.arange(len(every)) - np.repeat(np.cumsum(level) - level, level) + 1
+        events = frame["level"].to_numpy(np.int64) - low + 1
+        every = np.repeat(np.arange(len(frame)), events)
+        number = np.arange(len(every)) - np.repeat(np.cumsum(events) - events, events) + low
         held = np.zeros(SEGMENT_BITS, np.uint8)
         _, bits = event_bits(frame["kind"].to_numpy()[every], frame["key"].to_numpy().view(np.uint64)[every], number, segments)
         held[bits.ravel()] = 1
@@ -149,24 +152,25 @@ def _segment(segments: int):
 
 
 class Filter:
-    """The filter in a task: quantised counts of n-grams."""
+    """The filter in a task: quantised counts of n-grams, from level ``low`` on."""
 
-    def __init__(self, bits: np.ndarray, segments: int):
-        self.bits, self.segments = bits, segments
+    def __init__(self, bits: np.ndarray, segments: int, low: int = 1):
+        self.bits, self.segments, self.low = bits, segments, low
 
     def level(self, kind: int, key: np.ndarray) -> np.ndarray:
         if len(key) > LOOKUPS:  # bounds the memory of the probes
             return np.concatenate([self.level(kind, key[at:at + LOOKUPS]) for at in range(0, len(key), LOOKUPS)])
         out = np.zeros(len(key), np.int64)
-        active, level = np.arange(len(key)), 1
+        name = mix64(key ^ np.uint64(kind * 0x9E3779B97F4A7C15 % (1 << 64)))
+        first = (name % np.uint64(self.segments)) * np.uint64(SEGMENT_BITS)
+        active, level = np.arange(len(key)), self.low
         while len(active) and level < len(_LEVEL_VALUE):
-            kinds = np.full(len(active), kind)
-            segment, bits = event_bits(kinds, key[active], np.full(len(active), level), self.segments)
-            hit = np.ones(len(active), bool)
-            for k in range(PROBES):
-                at = segment * SEGMENT_BITS + bits[:, k]
-                hit &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            active = active[hit]
+            event = mix64(name[active] + np.uint64(level * 0xC2B2AE3D27D4EB4F % (1 << 64)))
+            a, b, start = event & np.uint64(0xFFFFFFFF), (event >> np.uint64(32)) | np.uint64(1), first[active]
+            for k in range(PROBES):  # most keys leave at the first or second probe
+                at = start + ((a + b * np.uint64(k)) & np.uint64(SEGMENT_BITS - 1))
+                hit = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                active, a, b, start = active[hit], a[hit], b[hit], start[hit]
             out[active] = level
             level += 1
         return out
@@ -175,6 +179,80 @@ class Filter:
         return _LEVEL_VALUE[self.level(kind, key)]
 
 
+class Answered:
+    """Levels of a batch's n-grams by kind, in the order in which they are looked up."""
+
+    def __init__(self, levels: dict[int, np.ndarray]):
+        self.levels = levels
+
+    def count(self, kind: int, key: np.ndarray) -> np.ndarray:
+        return _LEVEL_VALUE[self.levels[kind]]
+
+
+def looked_up(words: np.ndarray, start: np.ndarray) -> dict[int, np.ndarray]:
+    """The n-grams that ``token_scores`` looks up."""
+    history, pairs = pair_keys(words, start)
+    unique = np.unique(np.concatenate((words, history)))
+    return {WORDS: unique, KEPT: unique, PAIRS: np.unique(pairs)}
+
+
+def _bucket_order(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of sorted keys by bucket, and their buckets in that order."""
+    bucket = (mix64(key) >> np.uint64(64 - max(1, (buckets - 1).bit_length()))).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, bucket[order]
+
+
+BATCH = "batch long, kind int, bucket int, row long, _id string, trained boolean, _text string, data binary"
+
+
+def _ask(model, buckets: int):
+    """Documents by batch, the levels that the filter holds (kind negative), and the keys that it does not hold, by bucket."""
+    columns = [c.split()[0] for c in BATCH.split(", ")]
+
+    def run(frames):
+        table = Filter(*model.value)
+        for f in text_chunks(frames, 2 << 20):
+            batch = int(f["row"].iat[0])
+            yield f.assign(batch=batch, kind=0, bucket=-1, data=None)[columns]
+            rows = []
+            for kind, key in looked_up(*tokens(f["_text"].tolist())).items():
+                level = table.level(kind, key)
+                rows.append((batch, -kind, -1, None, None, None, None, level.astype(np.uint8).tobytes()))
+                missing = key[level == 0]
+                order, bucket = _bucket_order(missing, buckets)
+                cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
+                for a, b in zip(cuts[:-1], cuts[1:]):
+                    if b > a:
+                        rows.append((batch, kind, int(bucket[a]), None, None, None, None, _to_block(missing[order[a:b]], np.zeros(0))[0]))
+            yield pd.DataFrame(rows, columns=columns).astype({"row": "Int64", "trained": "boolean"})
+    return run
+
+
+def _answer(key, asked: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
+    """A byte for each key asked for: its level, 0 where it has none."""
+    known = rest["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(known)
+    known, level = known[order], rest["level"].to_numpy(np.uint8)[order]
+    out = []
+    for block in asked["data"]:
+        keys = _from_block(block, b"")[0]
+        found = np.zeros(len(keys), np.uint8)
+        if len(known):
+            place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            found = np.where(known[place] == keys, level[place], 0).astype(np.uint8)
+        out.append(found.tobytes())
+    return pd.DataFrame({"batch": asked["batch"], "kind": asked["kind"], "bucket": asked["bucket"], "data": out})
+
+
+def _with_bucket(buckets: int):
+    def run(frames):
+        for f in frames:
+            key = f["key"].to_numpy(np.int64).view(np.uint64)
+            yield f.assign(bucket=(mix64(key) >> np.uint64(64 - max(1, (buckets - 1).bit_length()))).astype(np.int32))
+    return run
+
+
 def token_scores(words, start, table: Filter, tau: int, total: int, distinct: int) -> np.ndarray:
     """log10 p(w | h) of every token."""
     history, pairs = pair_keys(words, start)
@@ -191,38 +269,46 @@ def token_scores(words, start, table: Filter, tau: int, total: int, distinct: in
                                + left * p, 1))
 
 
-def _score(model, frequent, tau, total, distinct):
-    def run(frames):
-        bits, segments = model.value
-        table = Filter(bits, segments)
+def _score(frequent, buckets, total, distinct):
+    def run(whole: pd.DataFrame) -> pd.DataFrame:
         keys, counts = frequent.value
         z = total + 0.5 * (distinct + 1)
-        for f in text_chunks(frames, 2 << 20):
-            words, start = tokens(f["_text"].tolist())
-            doc = np.repeat(np.arange(len(f)), np.diff(start))
-            score = np.bincount(doc, token_scores(words, start, table, tau, total, distinct), len(f))
-            place = np.minimum(np.searchsorted(keys, words), max(0, len(keys) - 1))
-            common = keys[place] == words if len(keys) else np.zeros(len(words), bool)
-            base = np.bincount(doc[common], np.log10((counts[place[common]] + 0.5) / z), len(f)) if common.any() else np.zeros(len(f))
-            known = np.bincount(doc[common], minlength=len(f))
-            # One row per document and rare word; the document's own row carries the sums so far.
-            rare_doc, rare = doc[~common], words[~common]
-            order = np.lexsort((rare, rare_doc))
-            rare_doc, rare = rare_doc[order], rare[order]
-            new = np.concatenate(([True], (rare[1:] != rare[:-1]) | (rare_doc[1:] != rare_doc[:-1]))) if len(rare) else np.zeros(0, bool)
-            at = np.flatnonzero(new)
-            times = np.diff(np.concatenate((at, [len(rare)])))
-            row = f["row"].to_numpy()
-            yield pd.DataFrame({
-                "row": np.concatenate((row, row[rare_doc[at]])),
-                "_id": pd.concat([f["_id"].astype(object), pd.Series([None] * len(at), dtype=object)], ignore_index=True),
-                "trained": pd.concat([f["trained"].astype(object), pd.Series([None] * len(at), dtype=object)], ignore_index=True),
-                # A document's own row joins nothing (times is 0); its key only spreads such rows over the tasks.
-                "key": pd.array(np.concatenate((mix64(row.astype(np.uint64)).view(np.int64), rare[at].view(np.int64))), "Int64"),
-                "times": np.concatenate((np.zeros(len(f), np.int64), times)),
-                "n": np.concatenate((np.diff(start), np.zeros(len(at), np.int64))),
-                "known": np.concatenate((known, np.zeros(len(at), np.int64))),
-                "base": np.concatenate((base, np.zeros(len(at)))), "score": np.concatenate((score, np.zeros(len(at))))})
+        f = whole[whole["kind"] == 0].sort_values("row").reset_index(drop=True)
+        words, start = tokens(f["_text"].tolist())
+        levels = {}
+        for kind, key in looked_up(words, start).items():
+            held = whole["data"][whole["kind"] == -kind].iat[0]
+            level = np.frombuffer(held, np.uint8).astype(np.int64)
+            missing = np.flatnonzero(level == 0)
+            told = whole[whole["kind"] == kind].sort_values("bucket")["data"]
+            order, _ = _bucket_order(key[missing], buckets)
+            level[missing[order]] = np.frombuffer(b"".join(told), np.uint8)
+            levels[kind] = level
+        table = Answered(levels)
+        doc = np.repeat(np.arange(len(f)), np.diff(start))
+        score = np.bincount(doc, token_scores(words, start, table, DISCOUNT, total, distinct), len(f))
+        place = np.minimum(np.searchsorted(keys, words), max(0, len(keys) - 1))
+        common = keys[place] == words if len(keys) else np.zeros(len(words), bool)
+        base = np.bincount(doc[common], np.log10((counts[place[common]] + 0.5) / z), len(f)) if common.any() else np.zeros(len(f))
+        known = np.bincount(doc[common], minlength=len(f))
+        # One row per document and rare word; the document's own row carries the sums so far.
+        rare_doc, rare = doc[~common], words[~common]
+        order = np.lexsort((rare, rare_doc))
+        rare_doc, rare = rare_doc[order], rare[order]
+        new = np.concatenate(([True], (rare[1:] != rare[:-1]) | (rare_doc[1:] != rare_doc[:-1]))) if len(rare) else np.zeros(0, bool)
+        at = np.flatnonzero(new)
+        times = np.diff(np.concatenate((at, [len(rare)])))
+        row = f["row"].to_numpy(np.int64)
+        return pd.DataFrame({
+            "row": np.concatenate((row, row[rare_doc[at]])),
+            "_id": pd.concat([f["_id"].astype(object), pd.Series([None] * len(at), dtype=object)], ignore_index=True),
+            "trained": pd.concat([f["trained"].astype(object), pd.Series([None] * len(at), dtype=object)], ignore_index=True),
+            # A document's own row joins nothing (times is 0); its key only spreads such rows over the tasks.
+            "key": pd.array(np.concatenate((mix64(row.astype(np.uint64)).view(np.int64), rare[at].view(np.int64))), "Int64"),
+            "times": np.concatenate((np.zeros(len(f), np.int64), times)),
+            "n": np.concatenate((np.diff(start), np.zeros(len(at), np.int64))),
+            "known": np.concatenate((known, np.zeros(len(at), np.int64))),
+            "base": np.concatenate((base, np.zeros(len(at)))), "score": np.concatenate((score, np.zeros(len(at))))})
     return run
 
 
@@ -243,31 +329,31 @@ def lm_scores(
     counts = scratch.write(blocks.groupBy("kind", "bucket").applyInPandas(_add_blocks, "kind int, key long, c long"), "counts")
     total, distinct = counts.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
 
-    # The smallest threshold whose events fit: events by level, from the whole table.
-    level = F.floor(F.log("c") / math.log(LEVEL_BASE) + 1e-9) + 1
-    by_count = counts.groupBy("kind", F.least("c", F.lit(4096)).alias("c")).agg(F.count("*").alias("n"), F.sum(level).alias("e")).collect()
-    tau = 1
-    while tau < 4096 and BITS_PER_EVENT * sum(
-            r["e"] * (2 if r["kind"] == PAIRS else 1) for r in by_count if r["c"] >= tau + (r["kind"] == PAIRS)) / 8 > max_bytes:
-        tau += 1
-    stored = counts.where((F.col("c") > tau) | ((F.col("kind") == WORDS) & (F.col("c") >= tau)))
+    level = (F.floor(F.log("c") / math.log(LEVEL_BASE) + 1e-9) + 1).cast("int")
     # The history's part of a pair key is the high half of its word hash: words bring their own full key.
     words = counts.where(F.col("kind") == WORDS).select("key", F.shiftright("key", 32).alias("half"))
     starts = spark.createDataFrame([(int(START), int(START) >> 32)], "key long, half long")
     kept = (
-        stored.where(F.col("kind") == PAIRS).groupBy(F.shiftright("key", 32).alias("half")).agg(F.sum(F.col("c") - tau).alias("c"))
+        counts.where(F.col("kind") == PAIRS).groupBy(F.shiftright("key", 32).alias("half")).agg(F.sum(F.col("c") - DISCOUNT).alias("c"))
         .join(words.unionAll(starts), "half").select(F.lit(KEPT).alias("kind"), "key", "c"))
     start_count = train.agg(F.lit(WORDS).alias("kind"), F.lit(int(START)).cast("long").alias("key"), F.count("*").alias("c")).where("c > 0")
-    grams = scratch.write(stored.unionAll(kept).unionAll(start_count), "grams")
-    events = grams.agg(F.coalesce(F.sum(level), F.lit(0))).first()[0]
+    grams = scratch.write(counts.unionAll(kept).unionAll(start_count).select("kind", "key", level.alias("level")), "grams")
+
+    # The smallest level from which on all events fit.
+    by_level = {r["level"]: r["n"] for r in grams.groupBy("level").agg(F.count("*").alias("n")).collect()}  # a row per level
+    low, events = 1, sum(n * j for j, n in by_level.items())
+    while BITS_PER_EVENT * events / 8 > max_bytes:
+        low += 1
+        events = sum(n * (j - low + 1) for j, n in by_level.items() if j >= low)
     segments = max(1, math.ceil(events * BITS_PER_EVENT / SEGMENT_BITS))
-    built = grams.mapInPandas(_with_segment(segments), "segment long, kind int, key long, c long").groupBy("segment").applyInPandas(
-        _segment(segments), "segment long, bits binary")
+    built = grams.where(F.col("level") >= low).mapInPandas(
+        _with_segment(segments), "segment long, kind int, key long, level int").groupBy("segment").applyInPandas(
+        _segment(segments, low), "segment long, bits binary")
     bits = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
     for r in built.toLocalIterator():  # ``max_bytes`` in all
         at = r["segment"] * SEGMENT_BITS // 8
         bits[at:at + SEGMENT_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
-    model = spark.sparkContext.broadcast((bits, segments))
+    model = spark.sparkContext.broadcast((bits, segments, low))
     often = counts.where((F.col("kind") == WORDS) & (F.col("c") >= max(1.0, total * FREQUENT))).select("key", "c").toPandas()
     keys, values = often["key"].to_numpy(np.int64).view(np.uint64), often["c"].to_numpy(np.int64)
     order = np.argsort(keys)
@@ -276,8 +362,17 @@ def lm_scores(
     named = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("_id"), training.alias("trained"),
         F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    parts = named.mapInPandas(
-        _score(model, frequent, tau, total, distinct),
+    asked = scratch.write(named.mapInPandas(_ask(model, buckets), BATCH), "asked")
+    rest = grams.where(F.col("level") < low).mapInPandas(_with_bucket(buckets), "kind int, key long, level int, bucket int")
+    blocks = asked.where("kind > 0").select("batch", "kind", "bucket", "data")
+    if low > 1:
+        told = blocks.groupBy("kind", "bucket").cogroup(rest.groupBy("kind", "bucket")).applyInPandas(
+            _answer, "batch long, kind int, bucket int, data binary")
+    else:  # the filter holds everything
+        told = blocks.withColumn("data", F.unhex(F.repeat(F.lit("00"), (F.length("data") / 8).cast("int"))))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("row", "long"), ("_id", "string"), ("trained", "boolean"), ("_text", "string"))]
+    parts = asked.where("kind <= 0").unionAll(told.select("batch", "kind", "bucket", *none, "data")).groupBy("batch").applyInPandas(
+        _score(frequent, buckets, total, distinct),
         "row long, _id string, trained boolean, key long, times long, n long, known long, base double, score double")
     exact = counts.where(F.col("kind") == WORDS).select(F.col("key").alias("word"), "c")
     z = total + 0.5 * (distinct + 1)

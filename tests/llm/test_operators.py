@@ -249,6 +249,18 @@ def test_language_model(docs, none):
     assert lm_score.lm_scores(none, F.lit(True)).count() == 0
 
 
+def test_language_model_keeps_rare_pairs(spark):
+    """A filter far too small for all n-grams gives the scores of one that holds them: the rest is looked up, none is dropped."""
+    rng = np.random.default_rng(1)
+    data = [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, 300) % 4000)) for i in range(400)]
+    docs = spark.createDataFrame(data + data[:100], "doc_id long, text string").repartition(3)
+    whole = sorted((r["_id"], r["score"]) for r in lm_score.lm_scores(docs, F.col("doc_id") % 5 != 1).collect())
+    small = sorted((r["_id"], r["score"]) for r in lm_score.lm_scores(docs, F.col("doc_id") % 5 != 1, max_bytes=1 << 16).collect())
+    assert [a for a, _ in whole] == [a for a, _ in small]
+    # Both differ by wrong hits of the filter only.
+    assert np.abs(np.array([b for _, b in whole]) / np.array([b for _, b in small]) - 1).max() < 0.02
+
+
 def test_bloom_counts():
     counts = np.array([1, 2, 3, 5, 20, 1000])
     key = np.arange(1, 7, dtype=np.uint64) * np.uint64(7919)
