@@ -100,12 +100,12 @@ def _segment_words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix64(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start
 
 
-def word_hashes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: Sequence[str | bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased (A-Z) words of all texts, and each text's first word number (one more at the end).
 
     Works through the joined bytes in segments that end at white space, so memory does not follow the longest text.
     """
-    raw = [b"" if t is None else t.encode("utf-8", "replace") for t in texts]
+    raw = [b"" if t is None else t if isinstance(t, bytes) else t.encode("utf-8", "replace") for t in texts]
     first = np.zeros(len(raw) + 1, np.int64)
     np.cumsum([len(r) + 1 for r in raw], out=first[1:])
     buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)

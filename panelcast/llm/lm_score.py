@@ -11,19 +11,18 @@ Smoothing is absolute discounting: with tau = ``DISCOUNT``,
 
 so that pairs seen once carry no mass of their own and need no place. The first word of a text has the history "start of text".
 
-Bound: the filter holds the n-grams from the smallest level on at which it fits ``max_bytes``, with their events from that level
-on; the level is found from the numbers of n-grams per level, which the whole corpus gives. So what is broadcast never grows beyond
-``max_bytes``, at any size of corpus. The n-grams below that level stay in a table: each batch of documents asks, in blocks of
-sorted keys, for all its n-grams that the filter does not hold, the blocks meet the table bucket by bucket, and a byte per key
-goes back. So every n-gram has the level of its count, at any ``max_bytes``. Segments of the filter are built side by side; an
-n-gram's events all lie in one segment.
+The filter grows with the corpus: it lies in buckets of n-grams by hash, and no task holds more than one bucket. Documents are
+stored in batches, their texts compressed. Each batch sends its distinct n-grams once, as one block of sorted keys to each
+bucket, with their counts in its training documents (0 for others). A bucket adds the counts up, builds its part of the filter,
+looks all keys of all blocks up in it, and sends a byte per key back to the batch. Pairs go first; what their counts keep by
+history then meets the words in the words' buckets. ``max_bytes`` bounds a bucket's part of the filter: a bucket has about as
+many events as tokens, and their number sets the number of buckets. Pairs and words are spread by hash, and a batch sends a
+frequent one once, so no bucket is hot.
 
-The base score needs exact counts of every word. Words with at least ``FREQUENT`` of all tokens (so at most 1 / FREQUENT of
-them) are looked up in a broadcast table; each document's other words meet their counts in a join by word, which therefore
-has no hot key.
+The base score needs exact counts of every word; a word's bucket sends its count beside its levels.
 
-Counting passes blocks of sorted keys between tasks instead of a row per n-gram. Words and pairs are 64-bit hashes (a pair:
-32 bits of each word).
+Words and pairs are 64-bit hashes (a pair: 32 bits of each word). Keys travel as differences, so their bytes in a shuffle
+follow the distance of neighbours, not the hash's width.
 
 Defined results: a NULL or empty text has one token, the end. Repeated rows are separate rows. A table without training
 documents gives N = V = 0. Other columns are not read.
@@ -35,6 +34,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,9 +42,8 @@ from panelcast.llm.common import Scratch, crc_fold, mix64, table, text_chunks, w
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 MAX_BYTES, LEVEL_BASE, BITS_PER_EVENT, PROBES = 48 << 20, 1.5, 12, 6
-FREQUENT = 1e-6
 DISCOUNT = 1
-BLOCK_TOKENS = 1 << 20
+BATCH_CHARS, BUCKET_CHARS = 4 << 20, 16 << 20
 WORDS, PAIRS, KEPT = 1, 2, 3
 SEGMENT_BITS, LOOKUPS = 1 << 19, 1 << 16
 
@@ -77,56 +76,88 @@ def pair_keys(words: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndar
     return history, (history & np.uint64(0xFFFFFFFF00000000)) | (mix64(words) >> np.uint64(32))
 
 
-def _to_block(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    """Sorted keys as differences, byte by byte: the high bytes are mostly zero, which the shuffle's compression removes."""
-    step = np.diff(keys, prepend=np.uint64(0))
-    return step.view(np.uint8).reshape(-1, 8).T.tobytes(), counts.astype("<u4").tobytes()
+def unmix64(x: np.ndarray) -> np.ndarray:
+    """The value that ``mix64`` has spread."""
+    x = x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
+    x = x * np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
+    x = x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))
+    x = x * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
 
 
-def _from_block(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    step = np.ascontiguousarray(np.frombuffer(keys, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-    return np.cumsum(step, dtype=np.uint64), np.frombuffer(counts, "<u4")
+def _planes(values: np.ndarray) -> bytes:
+    """Integers byte by byte, as many bytes as the largest needs."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width].tobytes()
 
 
-def _count_blocks(buckets: int):
-    shift = np.uint64(64 - max(1, (buckets - 1).bit_length()))
+def _from_planes(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    planes = np.frombuffer(data, np.uint8).reshape(-1, n)
+    out[:, : len(planes)] = planes.T
+    return out.view("<u8").ravel().astype(np.uint64, copy=False)
 
-    def run(frames):
-        for f in text_chunks(frames, 4 << 20):
-            words, start = tokens(f["_text"].tolist())
-            _, pairs = pair_keys(words, start)
-            rows = []
-            for kind, keys in ((WORDS, words), (PAIRS, pairs)):
-                mixed = mix64(keys)  # spreads neighbours of a word over all buckets; undone by the reader's lookup of keys
-                order = np.argsort(mixed, kind="stable")
-                mixed, keys = mixed[order], keys[order]
-                new = np.concatenate(([True], mixed[1:] != mixed[:-1]))
-                at = np.flatnonzero(new)
-                mixed, keys = mixed[at], keys[at]
-                counts = np.diff(np.concatenate((at, [len(order)])))
-                bucket = (mixed >> shift).astype(np.int64)
-                cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
-                for a, b in zip(cuts[:-1], cuts[1:]):
-                    if b > a:
-                        k, c = keys[a:b], counts[a:b]
-                        o = np.argsort(k, kind="stable")
-                        rows.append((kind, int(bucket[a]), *_to_block(k[o], c[o])))
-            yield pd.DataFrame(rows, columns=["kind", "bucket", "keys", "counts"])
-    return run
+
+def _blocks(keys: np.ndarray, counts: np.ndarray, buckets: int):
+    """(bucket, number, keys, counts) of sorted keys. Keys are differences: their high bytes are mostly zero, which compression removes."""
+    bucket = bucket_of(keys, buckets)
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if b > a:
+            yield int(bucket[a]), int(b - a), _planes(np.diff(keys[a:b], prepend=np.uint64(0))), _planes(counts[a:b])
+
+
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket by the high half of a key, so that sorted keys are sorted by bucket."""
+    return (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def _add_blocks(key, frame: pd.DataFrame) -> pd.DataFrame:
-    """Sum of a bucket's blocks. Pairs seen once keep no mass at any threshold and are left out."""
-    parts = [_from_block(k, c) for k, c in zip(frame["keys"], frame["counts"])]
-    keys = np.concatenate([p[0] for p in parts])
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    if not len(keys):
+        return keys, counts.astype(np.int64)
     order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], np.concatenate([p[1] for p in parts]).astype(np.int64)[order]
+    keys = keys[order]
     at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    keys, counts = keys[at], np.add.reduceat(counts, at)
-    if key[0] == PAIRS:
-        keep = counts > 1
-        keys, counts = keys[keep], counts[keep]
-    return pd.DataFrame({"kind": np.full(len(keys), key[0]), "key": keys.view(np.int64), "c": counts})
+    return keys[at], np.add.reduceat(counts.astype(np.int64)[order], at)
+
+
+def _batches(frames):
+    """A row per batch of documents: ids, folds, sizes in bytes, and the compressed texts."""
+    for f in text_chunks(frames, BATCH_CHARS):
+        raw = [t.encode("utf-8", "replace") for t in f["_text"]]
+        yield pd.DataFrame({
+            "batch": [int(f["row"].iat[0])], "_id": [f["_id"].tolist()], "trained": [[None if x is None else bool(x) for x in f["trained"]]],
+            "sizes": [[len(r) for r in raw]], "data": [pa.compress(b"".join(raw), codec="zstd", asbytes=True)]})
+
+
+def _batch_tokens(sizes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """``tokens`` of a stored batch."""
+    cut = np.concatenate(([0], np.cumsum(np.asarray(sizes, np.int64))))
+    whole = pa.decompress(data, decompressed_size=int(cut[-1]), codec="zstd", asbytes=True) if cut[-1] else b""
+    return tokens([whole[a:b] for a, b in zip(cut[:-1], cut[1:])])
+
+
+BLOCKS = "kind int, batch long, bucket int, n long, keys binary, counts binary"
+
+
+def _frame(rows, shape: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in shape.split(", ")])
+
+
+def _ask(kind: int, buckets: int):
+    """Each batch's distinct pairs or words with their counts in training documents."""
+    def run(frames):
+        for f in frames:
+            for batch, trained, sizes, data in zip(f["batch"], f["trained"], f["sizes"], f["data"]):
+                words, start = _batch_tokens(sizes, data)
+                taught = np.repeat(np.array([t is not None and bool(t) for t in trained]), np.diff(start))
+                if kind == PAIRS:
+                    keys, counts = _summed(mix64(pair_keys(words, start)[1]), taught)
+                else:  # the start of a text is a history too
+                    keys, counts = _summed(np.append(words, START), np.append(taught, sum(1 for t in trained if t)))
+                yield _frame([(kind, batch, *block) for block in _blocks(keys, counts, buckets)], BLOCKS)
+    return run
 
 
 def event_bits(kind: np.ndarray, key: np.ndarray, level: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,23 +170,25 @@ def event_bits(kind: np.ndarray, key: np.ndarray, level: np.ndarray, segments: i
     return segment, bits.astype(np.int64)
 
 
-def _segment(segments: int, low: int):
-    def build(key, frame: pd.DataFrame) -> pd.DataFrame:
-        events = frame["level"].to_numpy(np.int64) - low + 1
-        every = np.repeat(np.arange(len(frame)), events)
-        number = np.arange(len(every)) - np.repeat(np.cumsum(events) - events, events) + low
-        held = np.zeros(SEGMENT_BITS, np.uint8)
-        _, bits = event_bits(frame["kind"].to_numpy()[every], frame["key"].to_numpy().view(np.uint64)[every], number, segments)
-        held[bits.ravel()] = 1
-        return pd.DataFrame({"segment": [key[0]], "bits": [np.packbits(held, bitorder="little").tobytes()]})
-    return build
+def build_filter(kind: np.ndarray, key: np.ndarray, level: np.ndarray) -> Filter:
+    """The filter that holds the events of these n-grams; an n-gram's events all lie in one segment."""
+    segments = max(1, math.ceil(int(level.sum()) * BITS_PER_EVENT / SEGMENT_BITS))
+    held = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
+    while len(key):  # level by level, from each n-gram's own down to 1
+        for at in range(0, len(key), LOOKUPS):  # bounds the memory of the positions
+            segment, bits = event_bits(kind[at:at + LOOKUPS], key[at:at + LOOKUPS], level[at:at + LOOKUPS], segments)
+            place = (segment[:, None] * SEGMENT_BITS + bits).ravel()
+            np.bitwise_or.at(held, place >> 3, np.left_shift(1, place & 7).astype(np.uint8))
+        more = level > 1
+        kind, key, level = kind[more], key[more], level[more] - 1
+    return Filter(held, segments)
 
 
 class Filter:
-    """The filter in a task: quantised counts of n-grams, from level ``low`` on."""
+    """A bucket's part of the filter: quantised counts of n-grams."""
 
-    def __init__(self, bits: np.ndarray, segments: int, low: int = 1):
-        self.bits, self.segments, self.low = bits, segments, low
+    def __init__(self, bits: np.ndarray, segments: int):
+        self.bits, self.segments = bits, segments
 
     def level(self, kind: int, key: np.ndarray) -> np.ndarray:
         if len(key) > LOOKUPS:  # bounds the memory of the probes
@@ -163,7 +196,7 @@ class Filter:
         out = np.zeros(len(key), np.int64)
         name = mix64(key ^ np.uint64(kind * 0x9E3779B97F4A7C15 % (1 << 64)))
         first = (name % np.uint64(self.segments)) * np.uint64(SEGMENT_BITS)
-        active, level = np.arange(len(key)), self.low
+        active, level = np.arange(len(key)), 1
         while len(active) and level < len(_LEVEL_VALUE):
             event = mix64(name[active] + np.uint64(level * 0xC2B2AE3D27D4EB4F % (1 << 64)))
             a, b, start = event & np.uint64(0xFFFFFFFF), (event >> np.uint64(32)) | np.uint64(1), first[active]
@@ -179,136 +212,103 @@ class Filter:
         return _LEVEL_VALUE[self.level(kind, key)]
 
 
-class Answered:
-    """Levels of a batch's n-grams by kind, in the order in which they are looked up."""
-
-    def __init__(self, levels: dict[int, np.ndarray]):
-        self.levels = levels
-
-    def count(self, kind: int, key: np.ndarray) -> np.ndarray:
-        return _LEVEL_VALUE[self.levels[kind]]
-
-
-def looked_up(words: np.ndarray, start: np.ndarray) -> dict[int, np.ndarray]:
-    """The n-grams that ``token_scores`` looks up."""
-    history, pairs = pair_keys(words, start)
-    unique = np.unique(np.concatenate((words, history)))
-    return {WORDS: unique, KEPT: unique, PAIRS: np.unique(pairs)}
-
-
-def _bucket_order(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of sorted keys by bucket, and their buckets in that order."""
-    bucket = (mix64(key) >> np.uint64(64 - max(1, (buckets - 1).bit_length()))).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return order, bucket[order]
-
-
-BATCH = "batch long, kind int, bucket int, row long, _id string, trained boolean, _text string, data binary"
-
-
-def _ask(model, buckets: int):
-    """Documents by batch, the levels that the filter holds (kind negative), and the keys that it does not hold, by bucket."""
-    columns = [c.split()[0] for c in BATCH.split(", ")]
-
-    def run(frames):
-        table = Filter(*model.value)
-        for f in text_chunks(frames, 2 << 20):
-            batch = int(f["row"].iat[0])
-            yield f.assign(batch=batch, kind=0, bucket=-1, data=None)[columns]
-            rows = []
-            for kind, key in looked_up(*tokens(f["_text"].tolist())).items():
-                level = table.level(kind, key)
-                rows.append((batch, -kind, -1, None, None, None, None, level.astype(np.uint8).tobytes()))
-                missing = key[level == 0]
-                order, bucket = _bucket_order(missing, buckets)
-                cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
-                for a, b in zip(cuts[:-1], cuts[1:]):
-                    if b > a:
-                        rows.append((batch, kind, int(bucket[a]), None, None, None, None, _to_block(missing[order[a:b]], np.zeros(0))[0]))
-            yield pd.DataFrame(rows, columns=columns).astype({"row": "Int64", "trained": "boolean"})
-    return run
+def _read_blocks(frame: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Keys of each block, and the sums of all blocks."""
+    keys = [np.cumsum(_from_planes(k, n), dtype=np.uint64) for k, n in zip(frame["keys"], frame["n"])]
+    if not keys:
+        return [], *_summed(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    counts = np.concatenate([_from_planes(c, n) for c, n in zip(frame["counts"], frame["n"])])
+    return keys, *_summed(np.concatenate(keys), counts)
 
 
-def _answer(key, asked: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
-    """A byte for each key asked for: its level, 0 where it has none."""
-    known = rest["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(known)
-    known, level = known[order], rest["level"].to_numpy(np.uint8)[order]
-    out = []
-    for block in asked["data"]:
-        keys = _from_block(block, b"")[0]
-        found = np.zeros(len(keys), np.uint8)
-        if len(known):
-            place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            found = np.where(known[place] == keys, level[place], 0).astype(np.uint8)
-        out.append(found.tobytes())
-    return pd.DataFrame({"batch": asked["batch"], "kind": asked["kind"], "bucket": asked["bucket"], "data": out})
+ANSWERED = BLOCKS.replace("keys binary, counts binary", "keys binary, counts binary, data binary")
 
 
-def _with_bucket(buckets: int):
-    def run(frames):
-        for f in frames:
-            key = f["key"].to_numpy(np.int64).view(np.uint64)
-            yield f.assign(bucket=(mix64(key) >> np.uint64(64 - max(1, (buckets - 1).bit_length()))).astype(np.int32))
+def _pair_bucket(word_buckets: int):
+    """A byte for each key asked for: its level in the filter, 0 where it has none; and what the pairs keep, by history."""
+    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+        blocks, keys, counts = _read_blocks(frame)
+        own = counts > DISCOUNT  # others keep no mass
+        held = build_filter(np.full(int(own.sum()), PAIRS), keys[own], level_of(counts[own]))
+        level = held.level(PAIRS, keys).astype(np.uint8)
+        rows = [(PAIRS, batch, bucket, len(k), None, None, level[np.searchsorted(keys, k)].tobytes())
+                for batch, bucket, k in zip(frame["batch"], frame["bucket"], blocks)]
+        history = unmix64(keys[own]) & np.uint64(0xFFFFFFFF00000000)
+        rows += [(KEPT, -1, *block, None) for block in _blocks(*_summed(history, counts[own] - DISCOUNT), word_buckets)]
+        return _frame(rows, ANSWERED)
     return run
 
 
-def token_scores(words, start, table: Filter, tau: int, total: int, distinct: int) -> np.ndarray:
-    """log10 p(w | h) of every token."""
-    history, pairs = pair_keys(words, start)
-    unique, place = np.unique(np.concatenate((words, history)), return_inverse=True)
-    count, kept = table.count(WORDS, unique), table.count(KEPT, unique)
-    here, before = place[: len(words)], place[len(words):]
-    one_pair, back = np.unique(pairs, return_inverse=True)
-    pair = table.count(PAIRS, one_pair)[back]
+WORD_ANSWERS = "batch long, bucket int, n long, data binary, total long, distinct long"
+
+
+def _word_bucket(key, frame: pd.DataFrame) -> pd.DataFrame:
+    """Levels of the words asked for and of what they keep as histories, and the words' exact counts; one row of totals."""
+    asked = frame[frame["kind"] == WORDS]
+    blocks, keys, counts = _read_blocks(asked)
+    half, sums = _read_blocks(frame[frame["kind"] == KEPT])[1:]
+    own = counts > 0
+    kept = np.zeros(len(keys), np.int64)
+    if len(half):
+        high = keys & np.uint64(0xFFFFFFFF00000000)
+        place = np.minimum(np.searchsorted(half, high), len(half) - 1)
+        kept = np.where(own & (half[place] == high), sums[place], 0)
+    known, keeps = keys[own], kept > 0
+    held = build_filter(
+        np.repeat([WORDS, KEPT], [len(known), int(keeps.sum())]), np.concatenate((known, keys[keeps])),
+        np.concatenate((level_of(counts[own]), level_of(kept[keeps]))))
+    levels = np.stack((held.level(WORDS, keys), held.level(KEPT, keys))).astype(np.uint8)
+    rows = []
+    for batch, bucket, k in zip(asked["batch"], asked["bucket"], blocks):
+        at = np.searchsorted(keys, k)
+        rows.append((batch, bucket, len(k), levels[:, at].tobytes() + _planes(counts[at]), 0, 0))
+    words = known != START
+    rows.append((-1, -1, 0, b"", int(counts[own][words].sum()), int(words.sum())))
+    return _frame(rows, WORD_ANSWERS)
+
+
+def token_scores(here, before, pair, count, kept, total: int, distinct: int) -> np.ndarray:
+    """log10 p(w | h) of every token: places of its word and history in ``count`` and ``kept``, and its pair's count."""
     p = (count[here] + 0.5) / (total + 0.5 * (distinct + 1))
     c_history = np.maximum(count[before], 1)
     left = np.clip(1 - kept[before] / c_history, 0.02, 1)
-    seen = np.minimum(np.maximum(pair - tau, 0) / c_history, 1)
+    seen = np.minimum(np.maximum(pair - DISCOUNT, 0) / c_history, 1)
     return np.log10(np.minimum(np.where(seen > 0, (1 - left) * np.minimum(seen * c_history / np.maximum(kept[before], 1e-9), 1), 0)
                                + left * p, 1))
 
 
-def _score(frequent, buckets, total, distinct):
-    def run(whole: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = frequent.value
-        z = total + 0.5 * (distinct + 1)
-        f = whole[whole["kind"] == 0].sort_values("row").reset_index(drop=True)
-        words, start = tokens(f["_text"].tolist())
-        levels = {}
-        for kind, key in looked_up(words, start).items():
-            held = whole["data"][whole["kind"] == -kind].iat[0]
-            level = np.frombuffer(held, np.uint8).astype(np.int64)
-            missing = np.flatnonzero(level == 0)
-            told = whole[whole["kind"] == kind].sort_values("bucket")["data"]
-            order, _ = _bucket_order(key[missing], buckets)
-            level[missing[order]] = np.frombuffer(b"".join(told), np.uint8)
-            levels[kind] = level
-        table = Answered(levels)
-        doc = np.repeat(np.arange(len(f)), np.diff(start))
-        score = np.bincount(doc, token_scores(words, start, table, DISCOUNT, total, distinct), len(f))
-        place = np.minimum(np.searchsorted(keys, words), max(0, len(keys) - 1))
-        common = keys[place] == words if len(keys) else np.zeros(len(words), bool)
-        base = np.bincount(doc[common], np.log10((counts[place[common]] + 0.5) / z), len(f)) if common.any() else np.zeros(len(f))
-        known = np.bincount(doc[common], minlength=len(f))
-        # One row per document and rare word; the document's own row carries the sums so far.
-        rare_doc, rare = doc[~common], words[~common]
-        order = np.lexsort((rare, rare_doc))
-        rare_doc, rare = rare_doc[order], rare[order]
-        new = np.concatenate(([True], (rare[1:] != rare[:-1]) | (rare_doc[1:] != rare_doc[:-1]))) if len(rare) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        times = np.diff(np.concatenate((at, [len(rare)])))
-        row = f["row"].to_numpy(np.int64)
+SCORES = "_id string, trained boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _score(total: int, distinct: int):
+    def run(key, batch: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        ids, trained, sizes, data = (batch[c].iat[0] for c in ("_id", "trained", "sizes", "data"))
+        words, start = _batch_tokens(sizes, data)
+        answers = answers.sort_values("bucket")  # blocks in the order of keys
+        of = {kind: answers[answers["kind"] == kind] for kind in (WORDS, PAIRS)}
+        unique, here = np.unique(words, return_inverse=True)
+        keys = unique if START in unique else np.insert(unique, np.searchsorted(unique, START), START)
+        first = int(np.searchsorted(keys, START))
+        if len(keys) > len(unique):
+            here = here + (here >= first)
+        before = np.concatenate(([first], here[:-1]))
+        before[start[:-1]] = first
+        levels, exact = [], []
+        for n, block in zip(of[WORDS]["n"], of[WORDS]["data"]):
+            levels.append(np.frombuffer(block, np.uint8, 2 * n).reshape(2, n))
+            exact.append(_from_planes(block[2 * n:], n))
+        count, kept = _LEVEL_VALUE[np.concatenate(levels, axis=1)]
+        exact = np.concatenate(exact).astype(np.float64)[here]
+        pairs, back = np.unique(mix64(pair_keys(words, start)[1]), return_inverse=True)
+        pair = _LEVEL_VALUE[np.frombuffer(b"".join(of[PAIRS]["data"]), np.uint8)]
+        if len(count) != len(keys) or len(pair) != len(pairs):
+            raise RuntimeError("a batch's answers are not complete")
+        score = token_scores(here, before, pair[back], count, kept, total, distinct)
+        base = np.log10((exact + 0.5) / (total + 0.5 * (distinct + 1)))
         return pd.DataFrame({
-            "row": np.concatenate((row, row[rare_doc[at]])),
-            "_id": pd.concat([f["_id"].astype(object), pd.Series([None] * len(at), dtype=object)], ignore_index=True),
-            "trained": pd.concat([f["trained"].astype(object), pd.Series([None] * len(at), dtype=object)], ignore_index=True),
-            # A document's own row joins nothing (times is 0); its key only spreads such rows over the tasks.
-            "key": pd.array(np.concatenate((mix64(row.astype(np.uint64)).view(np.int64), rare[at].view(np.int64))), "Int64"),
-            "times": np.concatenate((np.zeros(len(f), np.int64), times)),
-            "n": np.concatenate((np.diff(start), np.zeros(len(at), np.int64))),
-            "known": np.concatenate((known, np.zeros(len(at), np.int64))),
-            "base": np.concatenate((base, np.zeros(len(at)))), "score": np.concatenate((score, np.zeros(len(at))))})
+            "_id": list(ids), "trained": pd.array([None if t is None else bool(t) for t in trained], "boolean"), "n_tokens": np.diff(start),
+            "n_known": np.add.reduceat((exact > 0).astype(np.int64), start[:-1]),
+            "base_score": np.add.reduceat(base, start[:-1]), "score": np.add.reduceat(score, start[:-1])})
     return run
 
 
@@ -319,82 +319,33 @@ def lm_scores(
 
     ``training`` is a condition on the input's columns; its documents teach the model, all documents are scored.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lm")
+    scratch = Scratch(docs.sparkSession, "lm")
     id_type = dict(docs.dtypes)[id_col]
-    train = docs.where(training).select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    size = train.agg(F.sum(F.length("_text"))).first()[0] or 0
-    buckets = max(1, -(-size // (6 * BLOCK_TOKENS)))
-    blocks = train.mapInPandas(_count_blocks(buckets), "kind int, bucket int, keys binary, counts binary")
-    counts = scratch.write(blocks.groupBy("kind", "bucket").applyInPandas(_add_blocks, "kind int, key long, c long"), "counts")
-    total, distinct = counts.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-
-    level = (F.floor(F.log("c") / math.log(LEVEL_BASE) + 1e-9) + 1).cast("int")
-    # The history's part of a pair key is the high half of its word hash: words bring their own full key.
-    words = counts.where(F.col("kind") == WORDS).select("key", F.shiftright("key", 32).alias("half"))
-    starts = spark.createDataFrame([(int(START), int(START) >> 32)], "key long, half long")
-    kept = (
-        counts.where(F.col("kind") == PAIRS).groupBy(F.shiftright("key", 32).alias("half")).agg(F.sum(F.col("c") - DISCOUNT).alias("c"))
-        .join(words.unionAll(starts), "half").select(F.lit(KEPT).alias("kind"), "key", "c"))
-    start_count = train.agg(F.lit(WORDS).alias("kind"), F.lit(int(START)).cast("long").alias("key"), F.count("*").alias("c")).where("c > 0")
-    grams = scratch.write(counts.unionAll(kept).unionAll(start_count).select("kind", "key", level.alias("level")), "grams")
-
-    # The smallest level from which on all events fit.
-    by_level = {r["level"]: r["n"] for r in grams.groupBy("level").agg(F.count("*").alias("n")).collect()}  # a row per level
-    low, events = 1, sum(n * j for j, n in by_level.items())
-    while BITS_PER_EVENT * events / 8 > max_bytes:
-        low += 1
-        events = sum(n * (j - low + 1) for j, n in by_level.items() if j >= low)
-    segments = max(1, math.ceil(events * BITS_PER_EVENT / SEGMENT_BITS))
-    built = grams.where(F.col("level") >= low).mapInPandas(
-        _with_segment(segments), "segment long, kind int, key long, level int").groupBy("segment").applyInPandas(
-        _segment(segments, low), "segment long, bits binary")
-    bits = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
-    for r in built.toLocalIterator():  # ``max_bytes`` in all
-        at = r["segment"] * SEGMENT_BITS // 8
-        bits[at:at + SEGMENT_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
-    model = spark.sparkContext.broadcast((bits, segments, low))
-    often = counts.where((F.col("kind") == WORDS) & (F.col("c") >= max(1.0, total * FREQUENT))).select("key", "c").toPandas()
-    keys, values = often["key"].to_numpy(np.int64).view(np.uint64), often["c"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    frequent = spark.sparkContext.broadcast((keys[order], values[order]))  # at most 1 / FREQUENT rows
-
     named = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("string").alias("_id"), training.alias("trained"),
         F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    asked = scratch.write(named.mapInPandas(_ask(model, buckets), BATCH), "asked")
-    rest = grams.where(F.col("level") < low).mapInPandas(_with_bucket(buckets), "kind int, key long, level int, bucket int")
-    blocks = asked.where("kind > 0").select("batch", "kind", "bucket", "data")
-    if low > 1:
-        told = blocks.groupBy("kind", "bucket").cogroup(rest.groupBy("kind", "bucket")).applyInPandas(
-            _answer, "batch long, kind int, bucket int, data binary")
-    else:  # the filter holds everything
-        told = blocks.withColumn("data", F.unhex(F.repeat(F.lit("00"), (F.length("data") / 8).cast("int"))))
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("row", "long"), ("_id", "string"), ("trained", "boolean"), ("_text", "string"))]
-    parts = asked.where("kind <= 0").unionAll(told.select("batch", "kind", "bucket", *none, "data")).groupBy("batch").applyInPandas(
-        _score(frequent, buckets, total, distinct),
-        "row long, _id string, trained boolean, key long, times long, n long, known long, base double, score double")
-    exact = counts.where(F.col("kind") == WORDS).select(F.col("key").alias("word"), "c")
-    z = total + 0.5 * (distinct + 1)
-    joined = parts.join(exact, (F.col("key") == F.col("word")) & (F.col("times") > 0), "left")
-    c = F.coalesce("c", F.lit(0))
-    sums = joined.groupBy("row").agg(
-        F.max("_id").cast(id_type).alias("_id"), F.max("trained").alias("trained"),
-        F.sum("n").alias("n_tokens"),
-        (F.sum("known") + F.sum(F.when(c > 0, F.col("times")).otherwise(0))).alias("n_known"),
-        (F.sum("base") + F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(z)))).alias("base_score"),
-        F.sum("score").alias("score"))
-    return sums.select(
-        F.col("_id"), "trained", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def _with_segment(segments: int):
-    def run(frames):
-        for f in frames:
-            name = mix64(f["key"].to_numpy().view(np.uint64) ^ (f["kind"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-            f.insert(0, "segment", (name % np.uint64(segments)).astype(np.int64))
-            yield f
-    return run
+    batches = scratch.write(named.mapInPandas(
+        _batches, "batch long, _id array<string>, trained array<boolean>, sizes array<long>, data binary"), "batches")
+    size, rows = batches.agg(
+        F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b)), F.lit(0)),
+        F.coalesce(F.sum(F.size("sizes")), F.lit(0))).first()
+    # A text of s characters has at most s / 2 + 1.5 tokens, and a bucket no more events than tokens.
+    buckets = max(1, -(-size // BUCKET_CHARS), math.ceil((size / 2 + 1.5 * rows) * BITS_PER_EVENT / 8 / max_bytes))
+    word_buckets = -(-buckets // 4)
+
+    texts = batches.select("batch", "trained", "sizes", "data")
+    pairs = scratch.write(texts.mapInPandas(_ask(PAIRS, buckets), BLOCKS).groupBy("bucket").applyInPandas(
+        _pair_bucket(word_buckets), ANSWERED), "pairs")
+    kept = pairs.where(F.col("kind") == KEPT).drop("data")
+    words = scratch.write(texts.mapInPandas(_ask(WORDS, word_buckets), BLOCKS).unionByName(kept).groupBy("bucket").applyInPandas(
+        _word_bucket, WORD_ANSWERS), "words")
+    total, distinct = words.where("batch < 0").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    answers = pairs.where(F.col("kind") == PAIRS).select("kind", "batch", "bucket", "n", "data").unionByName(
+        words.where("batch >= 0").select(F.lit(WORDS).alias("kind"), "batch", "bucket", "n", "data"))
+    scored = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(_score(total, distinct), SCORES)
+    return scored.select(
+        F.col("_id").cast(id_type).alias("_id"), "trained", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+        "base_score", "score")
 
 
 def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import math
+import pathlib
 import re
 import zlib
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelcast.llm import ann, bpe, common, line_quality, lm_score, mixture, near_dup, packing, sanitise
 from panelcast.llm import token_attribution, toxicity, url_filter
+from panelcast.session import shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -261,6 +263,64 @@ def test_language_model_keeps_rare_pairs(spark):
     assert np.abs(np.array([b for _, b in whole]) / np.array([b for _, b in small]) - 1).max() < 0.02
 
 
+def zipf_texts(n):
+    rng = np.random.default_rng(1)
+    return [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, 300) % 4000)) for i in range(n)]
+
+
+def test_language_model_matches_counting(spark):
+    """Scores and base scores against plain counts, quantised as in the filter, at three sizes of its parts."""
+    data = zipf_texts(150)
+    levels = lambda c: lm_score._LEVEL_VALUE[lm_score.level_of(np.array([c]))[0]]
+    tokens = {i: [*t.split(), None] for i, t in data}
+    train = [t for i, t in tokens.items() if i % 5 != 1]
+    count = collections.Counter(w for t in train for w in t) + collections.Counter(START=len(train))
+    pair = collections.Counter(p for t in train for p in zip(["START", *t], t))
+    kept = collections.Counter()
+    for (h, _), c in pair.items():
+        kept[h] += c - 1
+    n, z = sum(len(t) for t in train), sum(len(t) for t in train) + 0.5 * len(count)
+    want = {}
+    for i, t in tokens.items():
+        want[i] = 0.0
+        for h, w in zip(["START", *t], t):
+            c, k, p = max(levels(count[h]), 1), levels(kept[h]), (levels(count[w]) + 0.5) / z
+            left = min(max(1 - k / c, 0.02), 1)
+            seen = min(max((levels(pair[h, w]) if pair[h, w] > 1 else 0) - 1, 0) / c, 1)
+            want[i] += math.log10(min(((1 - left) * min(seen * c / max(k, 1e-9), 1) if seen > 0 else 0) + left * p, 1))
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    for size in (1 << 26, 1 << 14, 1 << 12):
+        got = lm_score.lm_scores(docs, F.col("doc_id") % 5 != 1, max_bytes=size).collect()
+        assert {r["train_tokens"] for r in got} == {n} and len(got) == 150
+        off = np.array([abs(r["score"] / want[r["_id"]] - 1) for r in got])  # wrong hits of the filter
+        assert off.max() < 0.02 and off.mean() < 0.004
+        for r in got:
+            assert abs(r["base_score"] - sum(math.log10((count[w] + 0.5) / z) for w in tokens[r["_id"]])) < 1e-6
+
+
+def test_language_model_stores_little(spark):
+    """Little more than the compressed texts is stored on the way, also when the filter has many parts: no n-gram travels twice."""
+    data = zipf_texts(1500)
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    root = pathlib.Path(shared_dir(spark).removeprefix("file:"))
+    before = set(root.rglob("*.parquet"))
+    lm_score.lm_scores(docs, F.col("doc_id") % 5 != 1, max_bytes=1 << 16).collect()
+    stored = sum(f.stat().st_size for f in set(root.rglob("*.parquet")) - before if f.is_file())
+    assert stored < 0.6 * sum(len(t) for _, t in data)
+
+
+def test_language_model_blocks():
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 1 << 64, 5000, np.uint64)
+    assert (lm_score.unmix64(common.mix64(keys)) == keys).all()
+    keys, counts = lm_score._summed(keys, rng.integers(0, 1 << 40, 5000))
+    parts = list(lm_score._blocks(keys, counts, 7))
+    assert [p[0] for p in parts] == list(range(7))
+    frame = pd.DataFrame(parts, columns=["bucket", "n", "keys", "counts"])
+    blocks, back, sums = lm_score._read_blocks(frame)
+    assert (np.concatenate(blocks) == keys).all() and (back == keys).all() and (sums == counts).all()
+
+
 def test_bloom_counts():
     counts = np.array([1, 2, 3, 5, 20, 1000])
     key = np.arange(1, 7, dtype=np.uint64) * np.uint64(7919)
