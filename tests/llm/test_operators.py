@@ -211,6 +211,25 @@ def test_encoder_matches_tokenizers():
         assert enc.encode(t).tolist() == enc.full.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_cuts_as_the_public_pattern():
+    """Random runs of white space, quotes, digits and letters, whose cuts the quicker pattern must share."""
+    enc = bpe.Encoder(**bpe.public_files())
+    assert bpe.public_files()["pattern"] == bpe._PATTERN and enc.quick._pat_str == bpe._QUICK_PATTERN
+    rng = np.random.default_rng(5)
+    signs = [" ", "  ", "\n", "\t", "\r", "\xa0", "\x85", "\x1c", "'", "'s", "'ll", "'D", "a", "Zb", "é", "ª", "1", "²", "½", ".", "--", "\xad", "×"]
+    for n in rng.integers(1, 30, 3000):
+        text = "".join(rng.choice(signs, n))
+        assert enc.encode(text).tolist() == enc.full.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_term_counts():
+    rng = np.random.default_rng(6)
+    for n, kind in ((1, "<u2"), (2, "<u4"), (700, "<u2"), (5000, "<u4")):
+        ids = rng.integers(0, 300, n).astype(kind)
+        for got, want in zip(packing.term_counts(ids), np.unique(ids, return_counts=True)):
+            assert got.tolist() == want.tolist()
+
+
 def test_token_attribution(docs, none):
     enc = bpe.Encoder(**bpe.public_files())
     got = collections.defaultdict(list)
