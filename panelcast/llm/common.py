@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,21 +14,44 @@ from panelcast.session import workspace
 # Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_ROWS = 1024  # rows with texts that a Python worker takes at once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Jobs that run inside hand Python at most ``rows`` rows at once; the session's own limit comes back afterwards.
+
+    With Spark's 10,000 rows a worker holds tens of MB of text as Arrow, as pandas and once more in the executor.
+    """
+    held = spark.conf.get(ARROW_ROWS)
+    if rows is None or 0 < int(held) <= rows:
+        yield
+        return
+    spark.conf.set(ARROW_ROWS, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, held)
+
+
 class Scratch:
-    """Intermediate tables in the shared folder; ``drop`` removes those that no later plan reads."""
+    """Intermediate tables in the shared folder; ``drop`` removes those that no later plan reads.
+
+    ``rows`` bounds the batches that the writing jobs hand to Python.
+    """
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.label, self.paths = spark, label, {}
+    def __init__(self, spark: SparkSession, label: str, rows: int | None = None):
+        self.spark, self.label, self.rows, self.paths = spark, label, rows, {}
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = workspace(self.spark, f"{self.label}_{name}")
-        df.write.option("compression", "zstd").parquet(path)
+        with arrow_rows(self.spark, self.rows):
+            df.write.option("compression", "zstd").parquet(path)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -61,7 +85,7 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
 # --- vectorised words of many texts -------------------------------------------------------------------------------
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 _powers: list[np.ndarray] = []
 
 _is_space = np.zeros(256, dtype=bool)

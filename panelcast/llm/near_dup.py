@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelcast.llm.common import Scratch, mix64, sorted_groups, table, text_chunks, word_hashes
+from panelcast.llm.common import TEXT_ROWS, Scratch, mix64, sorted_groups, table, text_chunks, word_hashes
 
 SHINGLE, PERCENT = 5, 85
 REGISTERS, ROWS, BASE, RATE = 128, 4, 1.001, 20.0
@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``kept`` marks the rows with the smallest (id, text_key) of a group; only repeated rows share that pair.
     """
     spark, threshold = docs.sparkSession, percent / 100
-    scratch = Scratch(spark, "neardup")
+    scratch = Scratch(spark, "neardup", TEXT_ROWS)
     id_type = dict(docs.dtypes)[id_col]
     named = docs.select(
         F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn(

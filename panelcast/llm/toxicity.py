@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from panelcast.llm.common import Scratch, crc_fold, table, text_chunks
+from panelcast.llm.common import TEXT_ROWS, Scratch, arrow_rows, crc_fold, table, text_chunks
 
 MAX_LABELS, LEAST_TOXIC, Z = 20_000, 3, 2.0
 PREFIXES = (3, 4, 5, 6)
@@ -259,13 +259,16 @@ def _evidence(cells, bounds, cut: float):
     return score
 
 
-def _score(cells, bounds, cut):
+def _score(cells, bounds, cut, column: str, keep: bool):
     def run(batches):
         score = _evidence(cells, bounds, cut)
         for batch in batches:  # Arrow, so that the other columns pass through unchanged
-            table = pa.Table.from_batches([batch])
-            scores = pa.array([score(t) for t in table["_text"].to_pylist()], pa.float64())
-            yield from table.drop_columns("_text").append_column("score", scores).to_batches()
+            for at in range(0, batch.num_rows, TEXT_ROWS):  # few texts at once are Python strings
+                part = pa.Table.from_batches([batch.slice(at, TEXT_ROWS)])
+                scores = pa.array([score(t or "") for t in part[column].to_pylist()], pa.float64())
+                yield from (part if keep else part.drop_columns(column)).append_column("score", scores).to_batches()
+            batch = part = scores = None
+            pa.default_memory_pool().release_unused()  # workers live on: what Arrow keeps would add to the next steps' memory
     return run
 
 
@@ -275,9 +278,11 @@ class Model:
     def __init__(self, cells, bounds, cut: float):
         self.cells, self.bounds, self.cut = cells, bounds, cut
 
-    def scores(self, frame: DataFrame) -> DataFrame:
-        """``frame`` has a column ``_text`` without NULLs; it becomes ``score``, other columns stay."""
-        return frame.mapInArrow(_score(self.cells, self.bounds, self.cut), StructType([*(f for f in frame.schema if f.name != "_text"), StructField("score", DoubleType())]))
+    def scores(self, frame: DataFrame, column: str = "_text", keep: bool = False) -> DataFrame:
+        """``frame`` has texts in ``column``, which becomes ``score`` or, with ``keep``, stays beside it; other columns stay."""
+        fields = [f for f in frame.schema if keep or f.name != column]
+        return frame.mapInArrow(
+            _score(self.cells, self.bounds, self.cut, column, keep), StructType([*fields, StructField("score", DoubleType())]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labels: int = MAX_LABELS) -> Model:
@@ -286,7 +291,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     text = F.coalesce(F.col(text_col), F.lit(""))
     cells = np.zeros(SYMBOLS**3, np.int64)
     counted = docs.select(text.alias("_text")).mapInPandas(_count_trigrams, "cell long, n long")
-    for r in counted.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most SYMBOLS ** 3 rows
+    with arrow_rows(spark, TEXT_ROWS):
+        rows = counted.groupBy("cell").agg(F.sum("n").alias("n")).collect()  # at most SYMBOLS ** 3 rows
+    for r in rows:
         cells[r["cell"]] = r["n"]
     shared = spark.sparkContext.broadcast(cells)
     known = (
@@ -301,9 +308,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counts = distinct.select("_text", "toxic").mapInPandas(_count_features(shared), "feature string, d long, t long").groupBy(
         "feature").agg(F.sum("d").alias("d"), F.sum("t").alias("t")).where(F.col("t") >= LEAST_TOXIC)
     # Only features above the average share matter; their number is bounded by the labelled sample.
-    held = {r["feature"]: (r["t"], r["d"]) for r in counts.where(F.col("t") > F.col("d") * share).collect()}
+    with arrow_rows(spark, TEXT_ROWS):
+        held = {r["feature"]: (r["t"], r["d"]) for r in counts.where(F.col("t") > F.col("d") * share).collect()}
     judged = distinct.mapInPandas(_left_out(shared, spark.sparkContext.broadcast(held)), "e int, toxic int")
-    rows = judged.groupBy("e").agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).collect()  # at most 1001 rows
+    with arrow_rows(spark, TEXT_ROWS):
+        rows = judged.groupBy("e").agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).collect()  # at most 1001 rows
     bounds = {x: lower_bound(t, d) for x, (t, d) in held.items()}
     return Model(shared, spark.sparkContext.broadcast(bounds), best_cut([tuple(r) for r in rows]))
 
@@ -326,5 +335,5 @@ def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, with all their columns, that are not predicted toxic."""
     model = fit(docs, training_labels(labels))
     columns = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
-    scored = model.scores(docs.select(*columns, F.coalesce("text", F.lit("")).alias("_text")))
+    scored = model.scores(docs.select(*columns), f"c{docs.columns.index('text')}", keep=True)  # a text travels once
     return scored.where("score < 0.5").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

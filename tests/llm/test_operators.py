@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -675,3 +676,46 @@ def test_url_filter(spark):
         assert collections.Counter(map(tuple, url_filter.judge(pages, frame, max_bytes=limit).collect())) == want
     assert url_filter.judge(pages.limit(0), frame).count() == 0
     assert url_filter.judge(pages, frame.limit(0)).where("listed").count() == 0
+
+
+def test_python_takes_few_texts_at_once(spark, monkeypatch):
+    """Spark hands over 10,000 rows by default; with long texts two such workers outgrow an executor."""
+    def few(step):
+        def run(frames):
+            def checked():
+                for f in frames:
+                    if len(f) > 1024:
+                        raise ValueError(f"{len(f)} rows at once")
+                    yield f
+            yield from step(checked())
+        return run
+
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    df = spark.range(0, 3000, 1, 1).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("one two three four five six "), (F.col("id") % 1500).cast("string")).alias("text"))
+    monkeypatch.setattr(near_dup, "_sketch", few(near_dup._sketch))
+    monkeypatch.setattr(near_dup, "_sets", few(near_dup._sets))
+    monkeypatch.setattr(toxicity, "_count_trigrams", few(toxicity._count_trigrams))
+    assert near_dup.near_duplicates(df).where("kept").count() == 1500
+    toxicity.fit(df, df.select(F.col("doc_id").alias("_id"), F.lit(0).alias("toxic")))
+    assert spark.conf.get(setting) == before
+
+
+def test_toxicity_scores_few_texts_at_once():
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    cells = Shared(toxicity.trigram_cells(["some plain words", "an awful text"]))
+    bounds = Shared({"=awful": 0.9})
+    texts = [None if i % 7 == 0 else "" if i % 7 == 1 else "an awful text" if i % 7 == 2 else f"plain {i % 50}" for i in range(3000)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(3000)), "t": texts})
+    for keep in (True, False):
+        out = list(toxicity._score(cells, bounds, 0.5, "t", keep)(iter([batch, batch.slice(0, 0), batch.slice(5, 10)])))
+        assert max(b.num_rows for b in out) <= 1024
+        got = pa.Table.from_batches(out)
+        assert got.column_names == (["id", "t", "score"] if keep else ["id", "score"])
+        assert got["id"].to_pylist() == [*range(3000), *range(5, 15)]
+        scores = got["score"].to_pylist()[:3000]
+        assert all((s >= 0.5) == (t == "an awful text") and (t or s == 0) for s, t in zip(scores, texts))
