@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.llm.bpe import byte_lengths, encoder, public_files
-from panelcast.llm.common import Scratch, sorted_groups, table
+from panelcast.llm.common import TEXT_ROWS, Scratch, arrow_rows, sorted_groups, table
 
 WINDOW, END_ID = 2048, 1
 SHARD_TOKENS, QUERY_TERMS = 1 << 20, 24
@@ -227,13 +227,15 @@ def route(tokens: DataFrame, rows: int, idf, window: int, kind: str, shards: int
     depth = min(MAX_DEPTH, math.ceil(math.log2(4 * shards)))
     chance = min(1.0, min(SAMPLE, 64 << depth) / max(1, rows))
     drawn = tokens.where(F.pmod(F.xxhash64("row", F.lit(SEED)), F.lit(1 << 30)) < int(chance * (1 << 30))).select("ids")
-    vectors = drawn.mapInPandas(_signatures(idf, window, kind), "v array<float>").limit(SAMPLE).toPandas()["v"]
+    with arrow_rows(spark, TEXT_ROWS):
+        vectors = drawn.mapInPandas(_signatures(idf, window, kind), "v array<float>").limit(SAMPLE).toPandas()["v"]
     x = np.stack(vectors) if len(vectors) else np.zeros((1, DIM), np.float32)
     depth = min(depth, max(0, (len(x) // 8).bit_length() - 1))  # eight sampled documents a leaf at least
     splits = spark.sparkContext.broadcast(fit_tree(x, depth))
     coded = lambda keep, shape: tokens.mapInPandas(_codes(idf, splits, window, kind, keep), f"{shape}, code long")
     # Codes are worked out twice, as a stored or joined copy of the encoded documents would cost more.
-    totals = coded(["n"], "n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    with arrow_rows(spark, TEXT_ROWS):
+        totals = coded(["n"], "n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     first, parts = cut_shards(totals["code"].to_numpy(), totals["n"].to_numpy(), shard_tokens)
     cuts = spark.createDataFrame(pd.DataFrame({"code": totals["code"], "first": first, "parts": parts}))
     every = coded(["row", "_id", "ids", "n"], "row long, _id string, ids binary, n long").join(F.broadcast(cuts), "code")
@@ -289,7 +291,7 @@ def pack(
 ) -> DataFrame:
     """Pieces (id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids) of sequences of at most ``window`` ids."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "packing")
+    scratch = Scratch(spark, "packing", TEXT_ROWS)
     id_type = dict(docs.dtypes)[id_col]
     vocab = max(end_id + 1, len(byte_lengths((files or public_files())["path"])))
     kind = "<u2" if vocab <= 65536 else "<u4"
@@ -299,7 +301,9 @@ def pack(
     total, rows = tokens.agg(F.sum("n"), F.count("*")).first()
     frequency = tokens.select("ids").mapInPandas(_frequencies(kind), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     df = np.zeros(vocab, np.float64)
-    for r in frequency.collect():  # at most one row per vocabulary entry
+    with arrow_rows(spark, TEXT_ROWS):
+        counted = frequency.collect()  # at most one row per vocabulary entry
+    for r in counted:
         df[r["term"]] = r["df"]
     idf = spark.sparkContext.broadcast(np.log1p((rows - df + 0.5) / (df + 0.5)))
     shards = max(1, math.ceil((total or 0) / shard_tokens))

@@ -678,18 +678,20 @@ def test_url_filter(spark):
     assert url_filter.judge(pages, frame.limit(0)).where("listed").count() == 0
 
 
+def few(step):
+    """The step of a task, which fails if it is handed more than 1,024 rows at once."""
+    def run(frames):
+        def checked():
+            for f in frames:
+                if len(f) > 1024:
+                    raise ValueError(f"{len(f)} rows at once")
+                yield f
+        yield from step(checked())
+    return run
+
+
 def test_python_takes_few_texts_at_once(spark, monkeypatch):
     """Spark hands over 10,000 rows by default; with long texts two such workers outgrow an executor."""
-    def few(step):
-        def run(frames):
-            def checked():
-                for f in frames:
-                    if len(f) > 1024:
-                        raise ValueError(f"{len(f)} rows at once")
-                    yield f
-            yield from step(checked())
-        return run
-
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(setting)
     df = spark.range(0, 3000, 1, 1).select(
@@ -719,3 +721,12 @@ def test_toxicity_scores_few_texts_at_once():
         assert got["id"].to_pylist() == [*range(3000), *range(5, 15)]
         scores = got["score"].to_pylist()[:3000]
         assert all((s >= 0.5) == (t == "an awful text") and (t or s == 0) for s, t in zip(scores, texts))
+
+
+def test_packing_takes_few_texts_at_once(spark, monkeypatch):
+    steps = {name: getattr(packing, name) for name in ("_encode", "_frequencies", "_signatures")}
+    for name, step in steps.items():
+        monkeypatch.setattr(packing, name, lambda *a, step=step: few(step(*a)))
+    df = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("some text "), F.col("id").cast("string")).alias("text"))
+    pieces = packing.pack(df, shard_tokens=4096, keep_ids=False)
+    assert pieces.select("doc_id").distinct().count() == 3000
