@@ -13,8 +13,9 @@ last window is cut into sequences whose lengths are powers of two, which need no
 Neighbours on two sides of a cut between shards do not meet; the README states how many do.
 
 Scale: a shard bounds what a task holds, whatever a source or a group of copies holds; only the encoded documents are
-shuffled, once. Token ids take two bytes where the vocabulary allows. The driver holds the sample's projections and one total
-for each leaf and hash (``2 ** MAX_DEPTH * TERM_BINS`` at most).
+shuffled, once. They are stored a second time with their place in the tree, and the first table is dropped. Token ids take two
+bytes where the vocabulary allows. The driver holds the sample's projections and one total for each leaf and hash
+(``2 ** MAX_DEPTH * TERM_BINS`` at most).
 
 Defined results: a NULL or empty text is the end id alone. Repeated rows are packed each. A longer text is cut into many
 windows. An empty table gives no pieces. Other columns are not read.
@@ -56,7 +57,7 @@ def term_counts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.ones(len(x) + 1, bool)
     np.not_equal(x[1:], x[:-1], out=new[1:-1])
     at = np.flatnonzero(new)
-    return x[at[:-1]], np.diff(at)
+    return x[at[:-1]], at[1:] - at[:-1]
 
 
 def _frequencies(kind):
@@ -150,8 +151,8 @@ def projection(vocab: int) -> np.ndarray:
 def signature(ids: np.ndarray, window: int, idf: np.ndarray, project: np.ndarray) -> tuple[np.ndarray, int]:
     """Direction of the projected BM25 weights of what full windows leave of a document, and its strongest term."""
     term, tf = term_counts(ids[len(ids) // window * window:] if len(ids) % window else ids)
-    weight = idf[term] * (tf * (K1 + 1) / (tf + K1))
-    v = weight.astype(np.float32) @ project[term]
+    weight = idf.take(term) * (tf * (K1 + 1) / (tf + K1))
+    v = weight.astype(np.float32) @ project.take(term, axis=0)
     return v / max(float(np.sqrt(v @ v)), 1e-9), int(term[np.argmax(weight)])
 
 
@@ -208,7 +209,7 @@ def _signatures(idf_value, window, kind):
     return run
 
 
-def _codes(idf_value, splits_value, window, kind, keep):
+def _codes(idf_value, splits_value, window, kind):
     def run(frames):
         idf, splits = idf_value.value, splits_value.value
         project = projection(len(idf))
@@ -217,12 +218,12 @@ def _codes(idf_value, splits_value, window, kind, keep):
                 found = [signature(np.frombuffer(b, kind), window, idf, project) for b in f["ids"]]
                 term = np.array([t for _, t in found], np.int64)
                 leaf = leaves(np.stack([v for v, _ in found]).astype(np.float64), splits)
-                yield f[keep].assign(code=leaf * TERM_BINS + term * 40503 % 65536 // (65536 // TERM_BINS))
+                yield f.assign(code=leaf * TERM_BINS + term * 40503 % 65536 // (65536 // TERM_BINS))
     return run
 
 
-def route(tokens: DataFrame, rows: int, idf, window: int, kind: str, shards: int, shard_tokens: int) -> DataFrame:
-    """``tokens`` with a column ``shard``: lexical neighbours get the same one."""
+def route(scratch: Scratch, tokens: DataFrame, rows: int, idf, window: int, kind: str, shards: int, shard_tokens: int) -> DataFrame:
+    """The table ``tokens`` of ``scratch`` with a column ``shard``: lexical neighbours get the same one."""
     spark = tokens.sparkSession
     depth = min(MAX_DEPTH, math.ceil(math.log2(4 * shards)))
     chance = min(1.0, min(SAMPLE, 64 << depth) / max(1, rows))
@@ -232,14 +233,13 @@ def route(tokens: DataFrame, rows: int, idf, window: int, kind: str, shards: int
     x = np.stack(vectors) if len(vectors) else np.zeros((1, DIM), np.float32)
     depth = min(depth, max(0, (len(x) // 8).bit_length() - 1))  # eight sampled documents a leaf at least
     splits = spark.sparkContext.broadcast(fit_tree(x, depth))
-    coded = lambda keep, shape: tokens.mapInPandas(_codes(idf, splits, window, kind, keep), f"{shape}, code long")
-    # Codes are worked out twice, as a stored or joined copy of the encoded documents would cost more.
-    with arrow_rows(spark, TEXT_ROWS):
-        totals = coded(["n"], "n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    # The encoded documents are stored once more, with their codes, in place of the first table: codes are worked out once.
+    every = scratch.write(tokens.mapInPandas(_codes(idf, splits, window, kind), "row long, _id string, ids binary, n long, code long"), "coded")
+    scratch.drop("tokens")
+    totals = every.groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     first, parts = cut_shards(totals["code"].to_numpy(), totals["n"].to_numpy(), shard_tokens)
     cuts = spark.createDataFrame(pd.DataFrame({"code": totals["code"], "first": first, "parts": parts}))
-    every = coded(["row", "_id", "ids", "n"], "row long, _id string, ids binary, n long").join(F.broadcast(cuts), "code")
-    return every.withColumn("shard", F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts"))).drop("code", "first", "parts")
+    return every.join(F.broadcast(cuts), "code").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts"))).drop("code", "first", "parts")
 
 
 def _pack(idf_value, window, query_terms, kind, keep_ids):
@@ -309,7 +309,7 @@ def pack(
     shards = max(1, math.ceil((total or 0) / shard_tokens))
     dealt = tokens.withColumn("shard", F.lit(0).cast("long"))
     if shards > 1:
-        dealt = route(tokens, rows, idf, window, kind, shards, shard_tokens)
+        dealt = route(scratch, tokens, rows, idf, window, kind, shards, shard_tokens)
     out = "_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     out += ", ids array<long>" if keep_ids else ""
     return dealt.repartition("shard").sortWithinPartitions("shard").mapInPandas(
